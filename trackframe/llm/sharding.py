@@ -54,7 +54,7 @@ def rebalanced(old: dict[int, int], weights: dict[int, int], n_shards: int) -> d
     for slots in own.values():
         load = sum(weights.get(v, 0) for v in slots)
         for v in sorted(slots, key=lambda v: (-weights.get(v, 0), v)):
-            if load - weights.get(v, 0) >= fair:
+            if weights.get(v, 0) and load - weights.get(v, 0) >= fair:
                 load -= weights.get(v, 0)
                 loose.append(v)
     gone = set(loose)

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,10 +20,11 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: A boundary between tokens in any byte-level BPE of this family: before a single space or line feed between others.
-UNITS = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: A worker remembers the ids of this many units; then it starts anew.
-REMEMBERED = 300_000
+#: White space next to white space, where a space or line feed need not start a token. Elsewhere it always does in a
+#: byte-level BPE of this family, and a line feed is a token of its own, so a text may be cut there.
+DOUBLED = re.compile(r"\s\s")
+#: A worker remembers the ids of this many words (about 250 MB); then it starts anew.
+REMEMBERED = 1_000_000
 #: Rows encoded at once.
 ROWS = 256
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true", "compression": "zstd"}
@@ -38,32 +38,62 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian, 32 bits each). Units between safe boundaries are encoded once and remembered."""
+    """Ids of texts as bytes (little-endian, 32 bits each). Words between safe cuts are encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         #: A text with one of these is encoded whole: they are found before the text is cut.
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        feed = self._ids("\n")
+        self.feed = int(feed[0]) if len(feed) == 1 else None
 
-    def _raw(self, texts: list[str]) -> Iterator[bytes]:
+    def _ids(self, text: str):
         import numpy as np
 
-        for e in self.model.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.asarray(e.ids, dtype="<u4").tobytes()
+        return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return next(self._raw([text]))
-        units = UNITS.split(text) if text else []
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({u for u in units if u not in self.known})
-        self.known.update(zip(new, self._raw(new), strict=True))
-        return b"".join(map(self.known.__getitem__, units))
+    def _learn(self, new: list[str]) -> None:
+        """Words go through the tokenizer as lines of one text: each line feed comes out as one id and parts them."""
+        import numpy as np
+
+        lines = [w[1:] if w[0] == "\n" else w for w in new]
+        ids = self._ids("\n".join(lines))
+        ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+        raw, feed = ids.tobytes(), np.asarray([self.feed], dtype="<u4").tobytes()
+        i = 0
+        for w, j in zip(new, ends.tolist(), strict=True):
+            self.words[w] = feed + raw[4 * i : 4 * j] if w[0] == "\n" else raw[4 * i : 4 * j]
+            i = j + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        cut: list[list[str] | None] = []
+        for t in texts:
+            if not t or self.feed is None or DOUBLED.search(t) or t[0].isspace() or t[-1].isspace() or any(a in t for a in self.added):
+                cut.append(None)
+            else:
+                first, *others = t.replace("\n", " \n").split(" ")
+                cut.append([first, *[w if w[0] == "\n" else " " + w for w in others]])
+        words = self.words
+        new = list({w for c in cut if c for w in c if w not in words})
+        if new:
+            self._learn(new)
+        return [self._ids(t).tobytes() if c is None else b"".join(map(words.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One per worker, for all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str, end: int):
@@ -71,11 +101,11 @@ def _encode(path: str, end: int):
         import numpy as np
         import pyarrow as pa
 
-        encoder, last = Encoder(path), np.asarray([end], dtype="<u4").tobytes()
+        encoder, last = _encoder(path), np.asarray([end], dtype="<u4").tobytes()
         for b in batches:
             for k in range(0, b.num_rows, ROWS):
                 part = b.slice(k, ROWS)
-                ids = [encoder.encode(t) + last for t in part.column(1).to_pylist()]
+                ids = [x + last for x in encoder.encode(part.column(1).to_pylist())]
                 sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
