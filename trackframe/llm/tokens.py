@@ -60,30 +60,31 @@ class Encoder:
         """Words go through the tokenizer as lines of one text: each line feed comes out as one id and parts them."""
         import numpy as np
 
-        lines = [w[1:] if w[0] == "\n" else w for w in new]
-        ids = self._ids("\n".join(lines))
-        ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-        raw, feed = ids.tobytes(), np.asarray([self.feed], dtype="<u4").tobytes()
-        i = 0
-        for w, j in zip(new, ends.tolist(), strict=True):
-            self.words[w] = feed + raw[4 * i : 4 * j] if w[0] == "\n" else raw[4 * i : 4 * j]
-            i = j + 1
+        for k in range(0, len(new), 2000):
+            some = new[k : k + 2000]
+            ids = self._ids("\n".join([w[1:] if w[0] == "\n" else " " + w for w in some]))
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)) * 4
+            raw, feed, i = ids.tobytes(), np.asarray([self.feed], dtype="<u4").tobytes(), 0
+            for w, j in zip(some, ends.tolist(), strict=True):
+                self.words[w] = feed + raw[i:j] if w[0] == "\n" else raw[i:j]
+                i = j + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """A word stands for itself behind a space, or behind a line feed where it begins with one, as the first does."""
         if len(self.words) > REMEMBERED:
             self.words = {}
         cut: list[list[str] | None] = []
+        new: set[str] = set()
         for t in texts:
             if not t or self.feed is None or DOUBLED.search(t) or t[0].isspace() or t[-1].isspace() or any(a in t for a in self.added):
                 cut.append(None)
             else:
-                first, *others = t.replace("\n", " \n").split(" ")
-                cut.append([first, *[w if w[0] == "\n" else " " + w for w in others]])
-        words = self.words
-        new = list({w for c in cut if c for w in c if w not in words})
+                cut.append(("\n" + t.replace("\n", " \n")).split(" "))
+                new.update(set(cut[-1]).difference(self.words))
         if new:
-            self._learn(new)
-        return [self._ids(t).tobytes() if c is None else b"".join(map(words.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+            self._learn(list(new))
+        known = self.words.__getitem__
+        return [self._ids(t).tobytes() if c is None else b"".join(map(known, c))[4:] for t, c in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
