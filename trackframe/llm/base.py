@@ -56,6 +56,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
+def once(value: Column) -> Column:
+    """value as a generated column: it is computed once per row, and no filter or projection above copies it."""
+    return F.explode(F.array(value))
+
+
 def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
