@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
 def order():
     return W.partitionBy("match_id").orderBy("frame_idx", "track_id")
 

@@ -9,13 +9,13 @@ from trackframe.operators import reports
 from trackframe.sources import io
 
 FILES = {"has_events": "events.jsonl", "has_timeline": "score_timeline.json", "has_manifest": "run_manifest.json"}
-RUN = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+RUN = "element_at(split(_metadata.file_path, '/'), -2)"
 
 
 def _texts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """Records of one kind of file with their run; none if no run has it."""
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", not name.endswith("l"))
-    return reader.json(root).withColumn("run", RUN)
+    return reader.json(root).withColumn("run", F.expr(RUN))
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
