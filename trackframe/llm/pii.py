@@ -105,11 +105,11 @@ def _votes(kind: int, start: int, end: int, text: str) -> int:
         "ssn": digits[:3] not in ("000", "666") and digits[:1] != "9" and digits[3:5] != "00" and digits[5:] != "0000", "person": " " in span[5:],
     }[name]
     known = {
-        "email": span.rpartition(".")[2].lower() in ENDINGS, "ip": span.count(".") == 3, "card": digits[:1] in "3456", "phone": digits[:1] != "0",
-        "email_text": re.split("[^A-Za-z]+", span)[-1].lower() in ENDINGS, "iban": span[:2] in IBAN, "ssn": True, "person": True,
+        "email": span.rpartition(".")[2].lower() in ENDINGS, "ip": None, "card": digits[:1] in "3456", "phone": digits[:1] != "0",
+        "email_text": re.split("[^A-Za-z]+", span)[-1].lower() in ENDINGS, "iban": span[:2] in IBAN, "ssn": None, "person": True,
     }[name]
     out = 0
-    for v in (1, 1 if check else 2, 1 if known else 2, 1 if any(w in before for w in CONTEXT[name]) else 0, 2 if any(w in before for w in AGAINST) else 0):
+    for v in (1, 1 if check else 2, 0 if known is None else 1 if known else 2, 1 if any(w in before for w in CONTEXT[name]) else 0, 2 if any(w in before for w in AGAINST) else 0):
         out = out * 3 + v
     return out
 
