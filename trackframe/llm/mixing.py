@@ -129,7 +129,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
         "doc_id", "source", "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"),
         F.when(F.col("passes") > 0, position(F.col("before") / F.col("target"), F.col("rank"), schedules)).alias("position"),
     )
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_rows(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES) -> DataFrame:
