@@ -374,3 +374,17 @@ def test_order_matters():
     finally:
         neardup.PIECE = piece
     assert (neardup.sketches(long) == whole).all()
+
+
+def test_parity_bits_bound_the_similarity():
+    r = random.Random(5)
+    for n in (1, 6, 60, 300, 2000):
+        for share in (0.01, 0.03, 0.1):
+            a = prose(n, n).split()
+            b = [r.choice(WORDS) if r.random() < share else w for w in a]
+            (x, _), (y, _) = one, two = neardup.labelled(" ".join(a)), neardup.labelled(" ".join(b))
+            differ = sum(int(u ^ v).bit_count() for u, v in zip(neardup.parity_bits(x).view("uint64").tolist(), neardup.parity_bits(y).view("uint64").tolist(), strict=True))
+            unshared = len(set(x.tolist()) ^ set(y.tolist()))
+            assert differ <= unshared
+            if neardup.similarity(one, two) >= 0.8:
+                assert 9 * differ <= len(x) + len(y)
