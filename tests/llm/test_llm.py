@@ -382,9 +382,12 @@ def test_parity_bits_bound_the_similarity():
         for share in (0.01, 0.03, 0.1):
             a = prose(n, n).split()
             b = [r.choice(WORDS) if r.random() < share else w for w in a]
-            (x, _), (y, _) = one, two = neardup.labelled(" ".join(a)), neardup.labelled(" ".join(b))
-            differ = sum(int(u ^ v).bit_count() for u, v in zip(neardup.parity_bits(x).view("uint64").tolist(), neardup.parity_bits(y).view("uint64").tolist(), strict=True))
-            unshared = len(set(x.tolist()) ^ set(y.tolist()))
-            assert differ <= unshared
+            one, two = neardup.labelled(" ".join(a)), neardup.labelled(" ".join(b))
+            x, y = one[0][one[1]], two[0][two[1]]
+            *u, n_x = neardup.parity_bits(x).view("uint64").tolist()
+            *v, n_y = neardup.parity_bits(y).view("uint64").tolist()
+            differ = sum((i ^ j).bit_count() for i, j in zip(u, v, strict=True))
+            assert (n_x, n_y) == (len(x), len(y))
+            assert differ <= len(set(x.tolist()) ^ set(y.tolist()))
             if neardup.similarity(one, two) >= 0.8:
-                assert 9 * differ <= len(x) + len(y)
+                assert 9 * differ <= n_x + n_y
