@@ -391,3 +391,36 @@ def test_parity_bits_bound_the_similarity():
             assert differ <= len(set(x.tolist()) ^ set(y.tolist()))
             if neardup.similarity(one, two) >= 0.8:
                 assert 9 * differ <= n_x + n_y
+
+
+def test_crowded_buckets_are_exhausted(docs):
+    """Twins in a large family of copies that have drifted apart: most of their sketches are those of all the others, too."""
+    r, core, rows = random.Random(8), prose(9, 120).split(), []
+    for g in range(150):
+        a = list(core)
+        at = r.randrange(4, 40)
+        a[at : at + 11] = [f"own{g}x{k}" for k in range(11)]
+        b = list(a)
+        at = r.randrange(60, 105)
+        b[at : at + 7] = [f"twin{g}x{k}" for k in range(7)]
+        rows += [(2 * g, " ".join(a), "a"), (2 * g + 1, " ".join(b), "a")]
+    x, y, z = (neardup.labelled(rows[i][1]) for i in (0, 1, 2))
+    assert neardup.similarity(x, y) >= 0.8 > neardup.similarity(x, z)
+    got = collections.defaultdict(set)
+    for m in neardup._members(docs(rows), 0.8, hubs=1).collect():
+        got[m.root].add(m.doc_id)
+    assert sorted(map(sorted, got.values())) == [[2 * g, 2 * g + 1] for g in range(150)]
+
+
+def test_prefixes_of_similar_texts_meet():
+    import numpy as np
+
+    r, counts = random.Random(10), np.ones(neardup.COUNTERS, np.int64) * 2
+    counts[::3] = 7
+    for n in (1, 2, 5, 9, 10, 15, 40, 300):
+        for _ in range(20):
+            a = np.unique(np.array([r.getrandbits(63) for _ in range(n)], np.uint64))
+            both = int(np.ceil(0.8 * n - 1e-9))
+            b = np.unique(np.concatenate([r.sample(a.tolist(), both), [r.getrandbits(63) for _ in range(r.randint(0, max(0, int(both / 0.8 - n))))]]).astype(np.uint64))
+            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                assert len(np.intersect1d(neardup.prefix(a, counts), neardup.prefix(b, counts)))

@@ -9,8 +9,10 @@ Exact copies are one node. In the first pass the nodes of a bucket are laid besi
 Links give classes. Buckets that still hold nodes of several classes are gone through again: up to HUBS nodes from
 outside the bucket's largest class are laid beside all its nodes of other classes, so that a bucket with no more such
 nodes is exhausted by one pass, and m nodes never make more than HUBS * m pairs. Larger ones take other hubs in each
-pass, and fall apart by each second sketch. Passes go on until one finds no link. Pairs whose lengths or parity bits
-rule out the similarity are not laid side by side: both bound it from above, so no link is lost by them.
+pass. Passes go on until one finds no link; buckets with more such nodes are then split exactly: distinct k-mers are put
+in one order, the rare ones first, and two texts at `least` have one in common among the first fifth of each, so all
+pairs of different classes that share such a k-mer are laid side by side. Pairs whose lengths or parity bits rule out
+the similarity are not: both bound it from above, so no link is lost by them.
 
 Defined cases: a null text equals the empty one, and all empty texts are copies; a text of fewer than k words is one
 k-mer, so it is like others with the same words only; null ids come last when a class is named by its lowest id (a class
@@ -35,6 +37,8 @@ SKETCHES, PER_SKETCH = 12, 3
 HUBS = 6
 #: Parity bits of a text, as longs: each distinct k-mer flips one bit.
 BIT_LONGS = 16
+#: Counters by which k-mers are ordered, the rare ones first: k-mers that share one are ordered by hash, which loses nothing.
+COUNTERS = 1 << 20
 #: k-mers hashed at once, so that memory does not follow a text's length.
 PIECE = 1 << 16
 #: Copies of a hub's text are made for every so many of its pairs.
@@ -194,6 +198,48 @@ def _verify(least: float):
     return run
 
 
+def _counts(batches):
+    """(counter, n): how many texts have a distinct k-mer of this counter."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for t in b.column(0):
+            h, first = labelled(t.as_py())
+            np.add.at(n, (h[first] % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["counter", "n"])
+
+
+def prefix(h, counts, least: float = SIMILAR):
+    """Of distinct k-mers, the first ones in the order of their counts: two sets with a Jaccard similarity of `least` share one.
+
+    They share `least` of the k-mers of each at least, so those that come first in each cannot all be missing in the other.
+    """
+    import numpy as np
+
+    n = counts[(h % np.uint64(COUNTERS)).astype(np.int64)]
+    order = np.lexsort((h, n))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+    # A k-mer whose counter is 1 is in this text alone.
+    return h[order[n[order] > 1]]
+
+
+def _prefixes(sent, least: float):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            keys = []
+            for t in b.column(1):
+                h, first = labelled(t.as_py())
+                keys.append(prefix(h[first], sent.value, least).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    return run
+
+
 def _may_be_similar(least: float) -> Column:
     """False only for pairs below `least`: shared k-mers are those of the shorter text at most, and unshared ones are as many as differing bits at least.
 
@@ -288,14 +334,17 @@ def _members(docs: DataFrame, least: float, hubs: int = HUBS) -> DataFrame:
     while True:
         seed += 1
         pairs = base.saved(_open_pairs(entries, roots, tested, seed, least, hubs), "neardup-pairs")
-        if pairs.isEmpty():
-            break
-        found = _links(docs, nodes, pairs, least)
-        if found.isEmpty():
+        if pairs.isEmpty() or (found := _links(docs, nodes, pairs, least)).isEmpty():
             break
         # Rewritten, so that plans do not grow with the passes.
         tested, links = base.saved(tested.union(pairs), "neardup-tested"), base.saved(links.union(found), "neardup-links")
         roots = base.saved(components(links.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "neardup-roots")
+    # The last pass has exhausted all buckets but the crowded ones, and its pairs made no link.
+    rest = _crowded_pairs(docs, nodes, entries, roots, least, hubs)
+    if rest is not None:
+        rest = base.saved(_untested(rest, tested.union(pairs)), "neardup-pairs")
+        links = links.union(_links(docs, nodes, rest, least))
+        roots = base.saved(components(links.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "neardup-roots")
     return sketched.select("doc_id", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
@@ -309,25 +358,55 @@ def _outside(rooted: DataFrame) -> DataFrame:
 
 def _open_pairs(entries: DataFrame, roots: DataFrame, tested: DataFrame, seed: int, least: float, hubs: int) -> DataFrame:
     """Pairs not yet tested, of different classes, from buckets with several classes: at most `hubs` nodes beside the others."""
-    rooted = entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = _rooted(entries, roots)
     open_ = base.saved(rooted.join(_outside(rooted).hint("merge"), "bucket"), "neardup-open")
-    # Two sketches in common: buckets that one frequent passage fills fall apart.
-    crowded = open_.filter(F.col("others") > hubs).select("node", "bucket")
-    kinds = open_.select("node", "root", "kmers", "bits", F.col("bucket").alias("second")).distinct()
-    double = crowded.join(kinds.hint("merge"), "node").filter("bucket <> second")
-    double = double.select("node", "kmers", "bits", "root", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket")).distinct()
-    double = base.saved(double, "neardup-double")
-    all_open = open_.unionByName(double.join(_outside(double).hint("merge"), "bucket"))
     first = Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket", F.lit(seed)), "node")
-    picked = all_open.filter("root <> largest").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= hubs)
+    picked = open_.filter("root <> largest").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= hubs)
     picked = picked.select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("kmers").alias("hub_kmers"), F.col("bits").alias("hub_bits"))
-    beside = all_open.select("bucket", "node", "root", "kmers", "bits").join(picked.hint("merge"), "bucket").filter((F.col("root") != F.col("hub_root")) & _may_be_similar(least))
+    beside = open_.select("bucket", "node", "root", "kmers", "bits").join(picked.hint("merge"), "bucket").filter((F.col("root") != F.col("hub_root")) & _may_be_similar(least))
     # Of two hubs one is the hub: the pair's order does not matter.
-    pairs = beside.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+    return _untested(beside.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), tested)
+
+
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     done = tested.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
     return pairs.join(done.hint("merge"), ["hub", "node"], "left_anti")
 
 
+def _crowded_pairs(docs: DataFrame, nodes: DataFrame, entries: DataFrame, roots: DataFrame, least: float, hubs: int) -> DataFrame | None:
+    """All pairs of different classes that can be similar, of the nodes in buckets that a pass of `hubs` does not exhaust; None if there are no such buckets."""
+    spark = docs.sparkSession
+    rooted = _rooted(entries, roots)
+    crowded = rooted.join(_outside(rooted).filter(F.col("others") > hubs).hint("merge"), "bucket").select("node", "root", "kmers", "bits")
+    crowded = base.saved(crowded.dropDuplicates(["node"]), "neardup-crowded")
+    if crowded.isEmpty():
+        return None
+    texts = base.saved(_texts(docs, nodes, crowded.select("node")).dropDuplicates(["node"]), "neardup-texts")
+    rows = texts.select("text").mapInArrow(_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    # COUNTERS numbers, whatever the number of texts.
+    counts = np_counts(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+    keys = base.saved(texts.select("node", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "node binary, keys array<long>"), "neardup-prefixes")
+    split = keys.join(crowded.select("node", "root").hint("merge"), "node").select("node", "root", F.explode("keys").alias("bucket"))
+    open_ = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    some = base.saved(split.join(open_.hint("merge"), "bucket").select("node", "bucket").join(crowded.hint("merge"), "node"), "neardup-split")
+    left = some.select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("kmers").alias("hub_kmers"), F.col("bits").alias("hub_bits"))
+    pairs = some.join(left.hint("merge"), "bucket").filter((F.col("hub") < F.col("node")) & (F.col("root") != F.col("hub_root")) & _may_be_similar(least))
+    return pairs.select("hub", "node").distinct()
+
+
+def np_counts(at, n):
+    """Counters as one array, from those that are not 0."""
+    import numpy as np
+
+    out = np.zeros(COUNTERS, np.int64)
+    out[at] = n
+    return out
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the lowest id of its class), class_rows; one row per row of docs."""
     members = base.saved(_members(docs, least), "neardup-members")
