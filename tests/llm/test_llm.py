@@ -424,3 +424,11 @@ def test_prefixes_of_similar_texts_meet():
             b = np.unique(np.concatenate([r.sample(a.tolist(), both), [r.getrandbits(63) for _ in range(r.randint(0, max(0, int(both / 0.8 - n))))]]).astype(np.uint64))
             if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
                 assert len(np.intersect1d(neardup.prefix(a, counts), neardup.prefix(b, counts)))
+
+
+def test_near_copies_with_null_ids(docs):
+    a, b, c = (prose(20 + i, 100) for i in range(3))
+    rows = [(None, a, "a"), (None, a + " end", "a"), (None, a, "a"), (0, b, "a"), (None, b + " end", "a"), (None, c, "a"), (None, None, "a")]
+    got = collections.Counter((x.doc_id, x.class_id, x.class_rows) for x in neardup.classes(docs(rows)).collect())
+    assert got == {(None, None, 3): 3, (0, 0, 2): 1, (None, 0, 2): 1, (None, None, 1): 2}
+    assert neardup.deduplicated(docs(rows)).count() == 4

@@ -261,14 +261,11 @@ def _pairs(entries: DataFrame, least: float) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes: each is read from one document that has it."""
-    some = wanted.join(nodes.select("node", "any_id").hint("shuffle_hash"), "node")
-    some = base.saved(some.select("node", F.col("any_id").alias("doc_id")), "neardup-wanted")
-    n = some.count()
-    rows = base.semi(docs.select("doc_id", base.text_of().alias("text")).filter("doc_id IS NOT NULL"), some.select("doc_id"), ["doc_id"], n)
-    read = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    one = base.semi(read, some.select("node"), ["node"], n, limit=base.BROADCAST_ROWS // 2)
-    return one.select("node", "text")
+    """(node, text) of the wanted nodes: each is read from the documents that have its text and its lowest id, null where all its ids are."""
+    named = lambda i: [F.col(i).isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id")]
+    some = base.saved(wanted.join(nodes.select("node", "any_id").hint("shuffle_hash"), "node").select("node", *named("any_id")), "neardup-wanted")
+    read = docs.select("doc_id", base.text_of().alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), *named("doc_id"), "text")
+    return base.semi(read, some, ["node", "no_id", "id"], some.count(), limit=base.BROADCAST_ROWS // 2).select("node", "text")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
