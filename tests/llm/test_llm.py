@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -432,3 +433,26 @@ def test_near_copies_with_null_ids(docs):
     got = collections.Counter((x.doc_id, x.class_id, x.class_rows) for x in neardup.classes(docs(rows)).collect())
     assert got == {(None, None, 3): 3, (0, 0, 2): 1, (None, 0, 2): 1, (None, None, 1): 2}
     assert neardup.deduplicated(docs(rows)).count() == 4
+
+
+def test_every_overlap_has_a_hit():
+    """Whole items with as many substitutions as are allowed, and stretches of four equal words in five, at all places or many."""
+    r, far = random.Random(11), " ".join(f"far{i}" for i in range(60))
+
+    def found(equal, before="x y", after="z"):
+        item = [f"w{i}" for i in range(len(equal))]
+        text = " ".join([before, *(w if e else "other" for w, e in zip(item, equal, strict=True)), after])
+        return decontamination.Seeds([(1, item)]).overlaps(text), decontamination.Seeds([(1, [*far.split(), *item, *far.upper().split()])]).overlaps(text)
+
+    for n in range(6, 14):
+        for off in itertools.combinations(range(n), n - (3 * n + 4) // 5):
+            whole, _ = found([i not in off for i in range(n)])
+            assert whole, (n, off)
+    for n in range(14, 40):
+        for _ in range(40):
+            off = r.sample(range(n), n - (3 * n + 4) // 5)
+            assert found([i not in off for i in range(n)])[0], (n, off)
+            off = r.sample(range(n), n // 5)
+            assert found([i not in off for i in range(n)])[1], (n, off)
+    assert found([i % 4 != 3 for i in range(15)])[1]
+    assert not found([i not in (2, 5, 8) for i in range(13)])[1]

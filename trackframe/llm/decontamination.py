@@ -2,14 +2,19 @@
 
 A mask keeps some positions of a window of words and ignores the others, so that a window with substituted words still
 hashes alike under some mask. Hashes of benchmark windows meet those of training windows; around every hit, text and
-item are laid side by side at the hit's offset, and the best stretch (+1 for an equal word, -4 for another, hence four
-equal words in five at least) is the verified overlap, or the whole item where enough of its words are equal.
+item are laid side by side at the hit's offset. The verified overlap is the whole item where SIMILAR of its words are
+equal, or a stretch of OVERLAP words at least of which four in five are: the best-scoring one (+1 for an equal word, -4
+for another) if it is long enough, the longest otherwise.
+
+Whatever is verified has a hit, at any places of substitutions. An item of n words is cut into one group of two or three
+adjacent words more than words may differ, so one group at least is whole. A stretch of 13 words or more, four in five of
+them equal, has four equal words in a row, or else is three, one other, three, and so on (15 words): MASKS has both.
 
 Words are runs of letters and digits in lower case. The benchmark goes to the tasks in blocks of a fixed number of
 words, one pass over the texts for each block, so what is broadcast does not grow with it.
 
 Defined cases: null and empty texts and items overlap with nothing; items shorter than `min_words` are matched by
-nothing; items of fewer words than a mask spans use a mask of their own length; null and repeated ids are reported as
+nothing; null and repeated ids are reported as
 they are; empty tables give an empty result; extra columns are not read (`overlaps`) or pass through (`clean_rows`).
 """
 
@@ -23,15 +28,17 @@ from pyspark.sql import functions as F
 from . import base
 
 WORD = re.compile(r"[^\W_]+")
-#: Fixed masks: six positions of windows of nine to eleven.
-MASKS = ("11011010101", "1010110111", "111010011", "110010100111")
+#: For stretches of OVERLAP words and more.
+MASKS = ("1111", "1110111")
 #: Words of an overlap at least, or all of a shorter item's.
 OVERLAP = 13
 MIN_WORDS = 6
 #: Or this share of an item's words equal at one offset.
 SIMILAR = 0.6
-#: Benchmark words in a block at most (an item is never cut); with all masks about 60 MB.
+#: Benchmark words in a block at most (an item is never cut).
 BLOCK_WORDS = 500_000
+#: Words laid side by side at once, so that memory does not follow the number of hits.
+PIECE = 1 << 20
 SCHEMA = "doc_id long, item_id long, overlap_words long, equal_words long, item_words long, start_word long"
 
 
@@ -41,28 +48,35 @@ class Seeds:
     def __init__(self, items: list[tuple[int | None, list[str]]], overlap: int = OVERLAP, masks: tuple = MASKS):
         import numpy as np
 
-        self.overlap = overlap
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
         number = lambda w: self.number.setdefault(w, len(self.number) + 1)
         self.items = [np.asarray([number(w) for w in ws], dtype=np.int64) for _, ws in items]
-        self.masks = [np.flatnonzero(np.frombuffer(m.encode(), dtype="u1") == ord("1")) for m in masks]
-        spans = [len(m) for m in masks]
-        short = sorted({len(x) for x in self.items if len(x) < max(spans)})
-        tables: list[tuple] = []
-        for places, span in [*zip(self.masks, spans, strict=True), *((np.arange(n), n) for n in short)]:
-            hashes, owner, at = [], [], []
-            for k, x in enumerate(self.items):
-                if len(x) >= span and (span in spans and len(places) < span or len(x) == span):
-                    h = self._hash(x, places, np.arange(len(x) - span + 1))
-                    hashes.append(h)
-                    owner.append(np.full(len(h), k))
-                    at.append(np.arange(len(h)))
-            if hashes:
-                h, o, a = np.concatenate(hashes), np.concatenate(owner), np.concatenate(at)
+        self.sizes = np.asarray([len(x) for x in self.items], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([*self.items, np.empty(0, np.int64)])
+        #: Words that have to be equal in the whole item, and in a stretch.
+        self.least = np.ceil(SIMILAR * self.sizes - 1e-9).astype(np.int64)
+        self.stretch = np.minimum(overlap, self.sizes)
+        places: dict[str, list] = {"11": [], "111": [], **{m: [] for m in masks}}
+        for k, n in enumerate(self.sizes.tolist()):
+            groups = n - int(self.least[k]) + 1
+            longer = n - 2 * groups
+            at = np.arange(0, 2 * groups, 2) + np.minimum(np.arange(groups), longer)
+            places["111"].append((k, at[: min(longer, groups)]))
+            places["11"].append((k, at[max(0, longer) :]))
+            for m in masks:
+                # Shorter items have no stretch but the whole.
+                places[m].append((k, np.arange(n - len(m) + 1 if n >= overlap else 0)))
+        self.tables: list[tuple] = []
+        for mask, some in places.items():
+            keep = np.flatnonzero(np.frombuffer(mask.encode(), dtype="u1") == ord("1"))
+            owner = np.concatenate([*(np.full(len(at), k) for k, at in some), np.empty(0, np.int64)]).astype(np.int64)
+            at = np.concatenate([*(at for _, at in some), np.empty(0, np.int64)]).astype(np.int64)
+            if len(at):
+                h = self._hash(self.flat, keep, self.begins[owner] + at)
                 order = np.argsort(h, kind="stable")
-                tables.append((places, span, h[order], o[order], a[order]))
-        self.tables = tables
+                self.tables.append((keep, len(mask), h[order], owner[order], at[order]))
 
     @staticmethod
     def _hash(x, places, starts):
@@ -75,24 +89,54 @@ class Seeds:
         return h
 
     def hits(self, words: list[str]):
-        """(item, offset of the item in the text), each once."""
+        """(item, offset of the item in the text), each once, with enough equal words for an overlap."""
         import numpy as np
 
         x = np.fromiter((self.number.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        found = []
+        known, found, n_found, good = x > 0, [], 0, []
         for places, span, hashes, owner, at in self.tables:
             n = len(x) - span + 1
             if n <= 0:
                 continue
-            known = x > 0
             starts = np.flatnonzero(np.logical_and.reduce([known[p : n + p] for p in places]))
             if not len(starts):
                 continue
             h = self._hash(x, places, starts)
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for s, i, j in zip(starts[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                found += zip(owner[i:j].tolist(), (s - at[i:j]).tolist(), strict=True)
-        return x, sorted(set(found))
+            many = hi - lo
+            for part in np.split(np.arange(len(starts)), np.searchsorted(np.cumsum(many), np.arange(PIECE, many.sum(), PIECE))):
+                m = many[part]
+                of = np.repeat(lo[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                found.append(np.unique((owner[of] << 32) + (np.repeat(starts[part], m) - at[of] + (1 << 31))))
+                n_found += len(found[-1])
+                if n_found >= PIECE:
+                    good.append(self._enough(x, np.unique(np.concatenate(found))))
+                    found, n_found = [], 0
+        if n_found:
+            good.append(self._enough(x, np.unique(np.concatenate(found))))
+        packed = np.unique(np.concatenate([*good, np.empty(0, np.int64)]))
+        return x, list(zip((packed >> 32).tolist(), ((packed & ((1 << 32) - 1)) - (1 << 31)).tolist(), strict=True))
+
+    def _enough(self, x, packed):
+        """Those of (item, offset), packed in one number, that have enough equal words for an overlap."""
+        import numpy as np
+
+        item, offset = packed >> 32, (packed & ((1 << 32) - 1)) - (1 << 31)
+        lo, hi = np.maximum(0, -offset), np.minimum(self.sizes[item], len(x) - offset)
+        # Four in five of a stretch, or the whole item's share.
+        need = np.minimum(self.least[item], np.ceil(0.8 * self.stretch[item] - 1e-9).astype(np.int64))
+        some = np.flatnonzero(hi - lo >= need)
+        out = []
+        ends = np.cumsum((hi - lo)[some])
+        for part in np.split(some, np.searchsorted(ends, np.arange(PIECE, ends[-1] if len(ends) else 0, PIECE))):
+            if not len(part):
+                continue
+            size = (hi - lo)[part]
+            first = np.cumsum(size) - size
+            within = np.arange(size.sum()) - np.repeat(first, size) + np.repeat(lo[part], size)
+            same = self.flat[np.repeat(self.begins[item[part]], size) + within] == x[np.repeat(offset[part], size) + within]
+            out.append(packed[part[np.add.reduceat(same.astype(np.int64), first) >= need[part]]])
+        return np.concatenate([*out, np.empty(0, np.int64)])
 
     def overlaps(self, text: str):
         """(item_id, words of the overlap, equal words, words of the item, first word) of every item's best overlap."""
@@ -104,7 +148,7 @@ class Seeds:
             item = self.items[k]
             lo, hi = max(0, -offset), min(len(item), len(x) - offset)
             same = x[offset + lo : offset + hi] == item[lo:hi]
-            if same.sum() >= SIMILAR * len(item):
+            if same.sum() >= self.least[k]:
                 one = (int(hi - lo), int(same.sum()), len(item), int(offset + lo))
                 if k not in best or one[:2] > best[k][:2]:
                     best[k] = one
@@ -113,7 +157,12 @@ class Seeds:
             low = np.minimum.accumulate(score)
             end = int(np.argmax(score - low))
             start = int(np.argmin(score[: end + 1]))
-            if end - start >= min(self.overlap, len(item)):
+            if end - start < self.stretch[k]:
+                # The longest stretch with four equal words in five: to each end, the first start with no higher score.
+                starts = np.searchsorted(-low, -score)
+                end = int(np.argmax(np.arange(len(score)) - starts))
+                start = int(starts[end])
+            if end - start >= self.stretch[k]:
                 one = (end - start, int(same[start:end].sum()), len(item), offset + lo + start)
                 if k not in best or one[:2] > best[k][:2]:
                     best[k] = one
