@@ -408,7 +408,7 @@ def test_crowded_buckets_are_exhausted(docs):
     x, y, z = (neardup.labelled(rows[i][1]) for i in (0, 1, 2))
     assert neardup.similarity(x, y) >= 0.8 > neardup.similarity(x, z)
     got = collections.defaultdict(set)
-    for m in neardup._members(docs(rows), 0.8, hubs=1).collect():
+    for m in neardup._members(docs(rows), 0.8, few=1).collect():
         got[m.root].add(m.doc_id)
     assert sorted(map(sorted, got.values())) == [[2 * g, 2 * g + 1] for g in range(150)]
 
@@ -424,7 +424,7 @@ def test_prefixes_of_similar_texts_meet():
             both = int(np.ceil(0.8 * n - 1e-9))
             b = np.unique(np.concatenate([r.sample(a.tolist(), both), [r.getrandbits(63) for _ in range(r.randint(0, max(0, int(both / 0.8 - n))))]]).astype(np.uint64))
             if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
-                assert len(np.intersect1d(neardup.prefix(a, counts), neardup.prefix(b, counts)))
+                assert len(np.intersect1d(neardup.prefix(a, counts)[0], neardup.prefix(b, counts)[0]))
 
 
 def test_near_copies_with_null_ids(docs):

@@ -36,13 +36,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of `scratch` that nothing reads any more, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(taken: list[str], name: str) -> str:
+    """name, or with underscores after it, so that no column is called like that."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 

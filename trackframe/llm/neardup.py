@@ -5,14 +5,12 @@ takes the few labelled k-mers with the lowest hashes and keeps them in text orde
 another order differ. Texts that agree in a sketch are candidates; a banded alignment decides: common labelled k-mers in
 the same order, at most `band` positions apart, as a share of all k-mers of both.
 
-Exact copies are one node. In the first pass the nodes of a bucket are laid beside one hub: m nodes make m - 1 pairs.
-Links give classes. Buckets that still hold nodes of several classes are gone through again: up to HUBS nodes from
-outside the bucket's largest class are laid beside all its nodes of other classes, so that a bucket with no more such
-nodes is exhausted by one pass, and m nodes never make more than HUBS * m pairs. Larger ones take other hubs in each
-pass. Passes go on until one finds no link; buckets with more such nodes are then split exactly: distinct k-mers are put
-in one order, the rare ones first, and two texts at `least` have one in common among the first fifth of each, so all
-pairs of different classes that share such a k-mer are laid side by side. Pairs whose lengths or parity bits rule out
-the similarity are not: both bound it from above, so no link is lost by them.
+Exact copies are one node. First the nodes of a bucket are laid beside one hub: m nodes make m - 1 pairs, and links give
+classes. Then every pair of different classes that shares a bucket is settled, without a limit on a bucket's size. A
+bucket with few nodes outside its largest class lays those beside its nodes of other classes. Nodes of the other buckets
+are joined by prefixes: distinct k-mers are put in one order, the rare ones first, and two texts at `least` have one in
+common among the first of each. There are these two rounds and no others. Pairs whose lengths, parity bits or places in
+the prefixes rule out the similarity are not made: all bound it from above, so no link is lost by them.
 
 Defined cases: a null text equals the empty one, and all empty texts are copies; a text of fewer than k words is one
 k-mer, so it is like others with the same words only; null ids come last when a class is named by its lowest id (a class
@@ -24,7 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
@@ -33,8 +31,8 @@ K = 5
 SIMILAR = 0.8
 #: Sketches per text, and k-mers per sketch: a pair at 0.8 is missed by all with a chance of 0.0002.
 SKETCHES, PER_SKETCH = 12, 3
-#: Hubs of an unsettled bucket in a pass: pairs stay in proportion to nodes, whatever the size of a bucket.
-HUBS = 6
+#: A bucket with so many nodes outside its largest class is gone through pair by pair, beyond that it is split by prefixes.
+FEW = 6
 #: Parity bits of a text, as longs: each distinct k-mer flips one bit.
 BIT_LONGS = 16
 #: Counters by which k-mers are ordered, the rare ones first: k-mers that share one are ordered by hash, which loses nothing.
@@ -213,7 +211,7 @@ def _counts(batches):
 
 
 def prefix(h, counts, least: float = SIMILAR):
-    """Of distinct k-mers, the first ones in the order of their counts: two sets with a Jaccard similarity of `least` share one.
+    """(k-mers, their places): of distinct k-mers, the first ones in the order of their counts. Two sets with a Jaccard similarity of `least` share one.
 
     They share `least` of the k-mers of each at least, so those that come first in each cannot all be missing in the other.
     """
@@ -222,7 +220,8 @@ def prefix(h, counts, least: float = SIMILAR):
     n = counts[(h % np.uint64(COUNTERS)).astype(np.int64)]
     order = np.lexsort((h, n))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
     # A k-mer whose counter is 1 is in this text alone.
-    return h[order[n[order] > 1]]
+    at = np.flatnonzero(n[order] > 1)
+    return h[order[at]], at
 
 
 def _prefixes(sent, least: float):
@@ -231,11 +230,14 @@ def _prefixes(sent, least: float):
         import pyarrow as pa
 
         for b in batches:
-            keys = []
+            keys, places = [], []
             for t in b.column(1):
                 h, first = labelled(t.as_py())
-                keys.append(prefix(h[first], sent.value, least).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+                k, at = prefix(h[first], sent.value, least)
+                keys.append(k.astype(np.int64))
+                places.append(at)
+            columns = [b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "places"])
 
     return run
 
@@ -251,30 +253,43 @@ def _may_be_similar(least: float) -> Column:
     return long_enough & (differ <= (F.col("bits")[BIT_LONGS] + F.col("hub_bits")[BIT_LONGS]) * ((1 - least) / (1 + least)) + 1e-6)
 
 
-def _pairs(entries: DataFrame, least: float) -> DataFrame:
-    """(hub, node) of entries (bucket, node, kmers, bits): the hub is the node with the lowest hash in its bucket."""
-    rank = F.struct(F.xxhash64("node", "bucket"), "node", "kmers", "bits")
-    hubs = entries.groupBy("bucket").agg(F.min(rank).alias("hub"), F.max(rank).alias("last")).filter("hub <> last")
-    hubs = hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.kmers").alias("hub_kmers"), F.col("hub.bits").alias("hub_bits"))
+def _as_hub(*columns: str) -> list[Column]:
+    return [F.col(c).alias("hub" if c == "node" else f"hub_{c}") for c in columns]
+
+
+def _entries(nodes: DataFrame, work: str) -> DataFrame:
+    """(bucket, node, kmers, bits, near) of buckets with two nodes and more; near: nodes in all buckets of the node."""
+    entries = nodes.select("node", F.explode("keys").alias("bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = base.saved(entries.join(sizes.hint("merge"), "bucket"), "shared", work)
+    near = shared.groupBy("node").agg(F.sum("n").alias("near")).join(nodes.select("node", "kmers", "bits").hint("merge"), "node")
+    return base.saved(shared.select("bucket", "node").join(near.hint("merge"), "node"), "entries", work)
+
+
+def _star_pairs(entries: DataFrame, least: float) -> DataFrame:
+    """(hub, node): the nodes of a bucket beside one hub, for one half of the buckets the node that meets most others, for the rest any node."""
+    rank = F.struct(F.when(F.col("bucket") % 2 == 0, -F.col("near")).otherwise(0), F.xxhash64("node", "bucket"), "node", "kmers", "bits")
+    hubs = entries.groupBy("bucket").agg(F.min(rank).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.kmers").alias("hub_kmers"), F.col("hub.bits").alias("hub_bits"))
     pairs = entries.join(hubs.hint("merge"), "bucket").filter((F.col("node") != F.col("hub")) & _may_be_similar(least))
     return pairs.select("hub", "node").distinct()
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, work: str) -> DataFrame:
     """(node, text) of the wanted nodes: each is read from the documents that have its text and its lowest id, null where all its ids are."""
     named = lambda i: [F.col(i).isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id")]
-    some = base.saved(wanted.join(nodes.select("node", "any_id").hint("shuffle_hash"), "node").select("node", *named("any_id")), "neardup-wanted")
+    some = base.saved(wanted.join(nodes.select("node", "any_id").hint("shuffle_hash"), "node").select("node", *named("any_id")), "wanted", work)
     read = docs.select("doc_id", base.text_of().alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), *named("doc_id"), "text")
-    return base.semi(read, some, ["node", "no_id", "id"], some.count(), limit=base.BROADCAST_ROWS // 2).select("node", "text")
+    found = base.semi(read, some, ["node", "no_id", "id"], some.count(), limit=base.BROADCAST_ROWS // 2).select("node", "text")
+    return base.saved(found.dropDuplicates(["node"]), "texts", work)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs that the alignment accepts, written to the shared folder.
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, work: str) -> DataFrame:
+    """The pairs (hub, node) that the alignment accepts.
 
     A hub with many pairs is copied, one copy for every PAIRS_PER_COPY of them, so that no task gets all its pairs.
     """
-    wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-    texts = base.saved(_texts(docs, nodes, wanted).dropDuplicates(["node"]), "neardup-texts")
+    pairs = base.saved(pairs, "pairs", work)
+    texts = _texts(docs, nodes, pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), work)
     copies = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", F.ceil(F.col("n") / PAIRS_PER_COPY).cast("int").alias("n_copies"))
     salted = pairs.join(copies.hint("merge"), "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("n_copies")).cast("int"))
     hub_texts = (
@@ -283,11 +298,11 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) ->
     )
     with_node = salted.select("hub", "copy", "node").join(texts.hint("merge"), "node")
     both = with_node.join(hub_texts.hint("merge"), ["hub", "copy"]).select("hub", "node", "hub_text", "text")
-    return base.saved(both.mapInArrow(_verify(least), "hub binary, node binary"), "neardup-links")
+    return base.saved(both.mapInArrow(_verify(least), "hub binary, node binary"), "links", work)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the lowest node of every connected component, by large-star and small-star steps.
+def components(links: DataFrame, work: str | None = None) -> DataFrame:
+    """(node, root): the lowest node of every connected component, by large-star and small-star steps; nodes without links are left out.
 
     links: (a, b). Each step is grouped minima and joins over edges; the edges are written to the shared folder.
     """
@@ -301,98 +316,64 @@ def components(links: DataFrame) -> DataFrame:
             return out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         return out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = base.saved(links.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = state(edges)
-    while before[0]:
-        edges = base.saved(star(star(edges, True), False), "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+    def step(edges: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        out = base.saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges", work)
+        return out, seen.get
+
+    edges, now = step(links.select("a", "b").filter("a <> b").distinct())
+    before = None
+    while now["n"] and now != before:
+        before = now
+        edges, now = step(star(star(edges, True), False))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _members(docs: DataFrame, least: float, hubs: int = HUBS) -> DataFrame:
-    """(doc_id, node, root) of every row of docs."""
-    sketched = base.saved(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, node binary, keys array<long>, kmers long, bits array<long>"), "neardup-sketches")
-    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("any_id"), F.first("keys").alias("keys"), F.first("kmers").alias("kmers"), F.first("bits").alias("bits"))
-    nodes = base.saved(nodes, "neardup-nodes")
-    entries = nodes.select("node", "kmers", "bits", F.explode("keys").alias("bucket"))
-    # Only buckets of two nodes and more make pairs; the others are gone before anything is joined.
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    entries = base.saved(entries.join(shared.hint("merge"), "bucket").select("node", "kmers", "bits", "bucket"), "neardup-entries")
-    tested = base.saved(_pairs(entries, least), "neardup-pairs")
-    links = _links(docs, nodes, tested, least)
-    roots = base.saved(components(links.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "neardup-roots")
-    seed = 0
-    while True:
-        seed += 1
-        pairs = base.saved(_open_pairs(entries, roots, tested, seed, least, hubs), "neardup-pairs")
-        if pairs.isEmpty() or (found := _links(docs, nodes, pairs, least)).isEmpty():
-            break
-        # Rewritten, so that plans do not grow with the passes.
-        tested, links = base.saved(tested.union(pairs), "neardup-tested"), base.saved(links.union(found), "neardup-links")
-        roots = base.saved(components(links.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "neardup-roots")
-    # The last pass has exhausted all buckets but the crowded ones, and its pairs made no link.
-    rest = _crowded_pairs(docs, nodes, entries, roots, least, hubs)
-    if rest is not None:
-        rest = base.saved(_untested(rest, tested.union(pairs)), "neardup-pairs")
-        links = links.union(_links(docs, nodes, rest, least))
-        roots = base.saved(components(links.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "neardup-roots")
-    return sketched.select("doc_id", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-
-
-def _outside(rooted: DataFrame) -> DataFrame:
-    """Buckets with several classes: bucket, largest (the root of its largest class), others (nodes outside that class)."""
+def _open(entries: DataFrame, roots: DataFrame, work: str) -> DataFrame:
+    """Entries of buckets that hold several classes, with root, largest (the root of the bucket's largest class) and others (its nodes outside that class)."""
+    rooted = base.saved(entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", work)
     per_class = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    size = F.struct("n", "root")
-    out = per_class.groupBy("bucket").agg(F.max(size).alias("most"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    return out.select("bucket", F.col("most.root").alias("largest"), "others")
-
-
-def _open_pairs(entries: DataFrame, roots: DataFrame, tested: DataFrame, seed: int, least: float, hubs: int) -> DataFrame:
-    """Pairs not yet tested, of different classes, from buckets with several classes: at most `hubs` nodes beside the others."""
-    rooted = _rooted(entries, roots)
-    open_ = base.saved(rooted.join(_outside(rooted).hint("merge"), "bucket"), "neardup-open")
-    first = Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket", F.lit(seed)), "node")
-    picked = open_.filter("root <> largest").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= hubs)
-    picked = picked.select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("kmers").alias("hub_kmers"), F.col("bits").alias("hub_bits"))
-    beside = open_.select("bucket", "node", "root", "kmers", "bits").join(picked.hint("merge"), "bucket").filter((F.col("root") != F.col("hub_root")) & _may_be_similar(least))
-    # Of two hubs one is the hub: the pair's order does not matter.
-    return _untested(beside.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), tested)
-
+    most = per_class.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    return base.saved(rooted.join(most.select("bucket", F.col("most.root").alias("largest"), "others").hint("merge"), "bucket"), "open", work)
 
-def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    return entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+def _few_pairs(open_: DataFrame, few: int, least: float) -> DataFrame:
+    """All pairs of different classes in buckets with at most `few` nodes outside their largest class: few times the bucket's nodes."""
+    some = open_.filter(F.col("others") <= few)
+    hubs = some.filter("root <> largest").select("bucket", *_as_hub("node", "root", "kmers", "bits"))
+    pairs = some.select("bucket", "node", "root", "kmers", "bits").join(hubs.hint("merge"), "bucket").filter((F.col("root") != F.col("hub_root")) & _may_be_similar(least))
+    # Of two hubs one is the hub: the pair's order does not matter.
+    return pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    done = tested.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-    return pairs.join(done.hint("merge"), ["hub", "node"], "left_anti")
 
+def _crowded_pairs(docs: DataFrame, nodes: DataFrame, open_: DataFrame, few: int, least: float, work: str) -> DataFrame | None:
+    """All pairs of different classes that can be similar, of the nodes in buckets with more than `few` nodes outside their largest class; None if there are none.
 
-def _crowded_pairs(docs: DataFrame, nodes: DataFrame, entries: DataFrame, roots: DataFrame, least: float, hubs: int) -> DataFrame | None:
-    """All pairs of different classes that can be similar, of the nodes in buckets that a pass of `hubs` does not exhaust; None if there are no such buckets."""
-    spark = docs.sparkSession
-    rooted = _rooted(entries, roots)
-    crowded = rooted.join(_outside(rooted).filter(F.col("others") > hubs).hint("merge"), "bucket").select("node", "root", "kmers", "bits")
-    crowded = base.saved(crowded.dropDuplicates(["node"]), "neardup-crowded")
+    An exact join by prefixes of distinct k-mers: the longer text gives its first ones in the common order, the shorter
+    one as many as suffice beside a text that is no shorter, and the places where they meet bound what can follow.
+    """
+    crowded = base.saved(open_.filter(F.col("others") > few).select("node", "root", "kmers", "bits").dropDuplicates(["node"]), "crowded", work)
     if crowded.isEmpty():
         return None
-    texts = base.saved(_texts(docs, nodes, crowded.select("node")).dropDuplicates(["node"]), "neardup-texts")
+    texts = _texts(docs, nodes, crowded.select("node"), work)
     rows = texts.select("text").mapInArrow(_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     # COUNTERS numbers, whatever the number of texts.
     counts = np_counts(rows.column(0).to_numpy(), rows.column(1).to_numpy())
-    keys = base.saved(texts.select("node", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), least), "node binary, keys array<long>"), "neardup-prefixes")
-    split = keys.join(crowded.select("node", "root").hint("merge"), "node").select("node", "root", F.explode("keys").alias("bucket"))
-    open_ = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    some = base.saved(split.join(open_.hint("merge"), "bucket").select("node", "bucket").join(crowded.hint("merge"), "node"), "neardup-split")
-    left = some.select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("kmers").alias("hub_kmers"), F.col("bits").alias("hub_bits"))
-    pairs = some.join(left.hint("merge"), "bucket").filter((F.col("hub") < F.col("node")) & (F.col("root") != F.col("hub_root")) & _may_be_similar(least))
-    return pairs.select("hub", "node").distinct()
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    keys = base.saved(texts.select("node", "text").mapInArrow(_prefixes(sent, least), "node binary, keys array<long>, places array<long>"), "prefixes", work)
+    split = keys.join(crowded.select("node", "root").hint("merge"), "node").select("node", "root", F.explode(F.arrays_zip("keys", "places")).alias("x"))
+    split = split.select("node", "root", F.col("x.keys").alias("bucket"), F.col("x.places").alias("place"))
+    mixed = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    some = split.join(mixed.hint("merge"), "bucket").select("node", "bucket", "place").join(crowded.hint("merge"), "node")
+    longer = base.saved(some.withColumn("n", F.col("bits")[BIT_LONGS]), "split", work)
+    share = least / (1 + least)
+    shorter = longer.filter(F.col("place") <= F.col("n") - F.ceil(2 * share * F.col("n") - 1e-6)).select("bucket", *_as_hub("node", "root", "kmers", "bits", "place", "n"))
+    # Where two texts meet first, nothing that they share lies before.
+    after = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+    ordered = (F.col("hub_n") < F.col("n")) | ((F.col("hub_n") == F.col("n")) & (F.col("hub") < F.col("node")))
+    meets = ordered & (F.col("root") != F.col("hub_root")) & (after >= share * (F.col("n") + F.col("hub_n")) - 1e-6)
+    pairs = longer.join(shorter.hint("merge"), "bucket").filter(meets & _may_be_similar(least))
+    return pairs.select("hub", "node")
 
 
 def np_counts(at, n):
@@ -404,29 +385,57 @@ def np_counts(at, n):
     return out
 
 
+def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
+    """(doc_id, node, root) of every row of docs, written; all that was written on the way is removed."""
+    spark = docs.sparkSession
+    work = base.scratch(spark, "neardup")
+    sketched = base.saved(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, node binary, keys array<long>, kmers long, bits array<long>"), "sketches", work)
+    nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("any_id"), F.first("keys").alias("keys"), F.first("kmers").alias("kmers"), F.first("bits").alias("bits"))
+    nodes = base.saved(nodes, "nodes", work)
+    entries = _entries(nodes, work)
+    links = _links(docs, nodes, _star_pairs(entries, least), least, work)
+    roots = components(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), work)
+    open_ = _open(entries, roots, work)
+    pairs = _few_pairs(open_, few, least)
+    crowded = _crowded_pairs(docs, nodes, open_, few, least, work)
+    pairs = pairs if crowded is None else pairs.union(crowded)
+    links = _links(docs, nodes, pairs.distinct(), least, work)
+    # Classes so far are stars already: with the links between them, few steps are left.
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("hub", "node"))
+    roots = components(edges, work)
+    members = sketched.select("doc_id", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    out = base.saved(members, "neardup-members")
+    base.remove(spark, work)
+    return out
+
+
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the lowest id of its class), class_rows; one row per row of docs."""
-    members = base.saved(_members(docs, least), "neardup-members")
+    members = _members(docs, least)
     # Sums per root are map-side combined; the join is on the root, whose hot side AQE can split.
     named = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     return members.join(named.hint("merge"), "root").select("doc_id", "class_id", "class_rows")
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """One row of every class, that with the lowest id, with the columns of docs."""
-    own = docs.columns
-    members = _members(docs, least)
-    kept = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("one"))
-    kept = base.saved(kept.select(F.xxhash64("one.doc_id", "one.node").alias("dedup_key")).distinct(), "neardup-kept")
-    keyed = docs.withColumn("dedup_key", F.xxhash64("doc_id", F.unhex(F.md5(base.text_of().cast("binary")))))
-    rows = base.semi(keyed, kept, ["dedup_key"], kept.count())
-    again = base.saved(keyed.groupBy("dedup_key").count().filter("count > 1").select("dedup_key"), "neardup-repeated")
-    if again.isEmpty():
-        return rows.select(*own)
-    # Rows repeated with id and text: those alone are shuffled, and one of each stays.
-    n = again.count()
-    once = rows.join(F.broadcast(again) if n <= base.BROADCAST_ROWS else again.hint("shuffle_hash"), ["dedup_key"], "left_anti")
-    return once.unionByName(base.semi(rows, again, ["dedup_key"], n).dropDuplicates(["dedup_key"])).select(*own)
+    """One row of every class, that with the lowest id, with the columns of docs.
+
+    A row is named by its id and its text's digest. Rows repeated with both are one: any of them stays.
+    """
+    row, key = (base.free(docs.columns, x) for x in ("row", "key"))
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "node")
+    members = _members(docs, least).select("root", one.alias(key))
+    kept = base.saved(members.groupBy("root").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n")).select(key, "n"), "neardup-kept")
+    node = F.unhex(F.md5(base.text_of().cast("binary"))).alias("node")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)
+    keyed = docs.select(own, F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), node).alias(key))
+    rows = base.semi(keyed, kept.select(key), [key], kept.count(), limit=base.BROADCAST_ROWS // 2)
+    # A class of one row has no row to repeat; of the others, one row of each key stays.
+    several = base.saved(kept.filter("n > 1").select(key), "neardup-several")
+    n = several.count()
+    once = rows.join(F.broadcast(several) if n <= base.BROADCAST_ROWS // 2 else several.hint("shuffle_hash"), [key], "left_anti")
+    again = base.semi(rows, several, [key], n, limit=base.BROADCAST_ROWS // 2).dropDuplicates([key])
+    return once.union(again).select(f"{row}.*")
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
