@@ -11,8 +11,10 @@ text; an empty table gives no row; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,8 +25,11 @@ from . import base
 #: White space next to white space, where a space or line feed need not start a token. Elsewhere it always does in a
 #: byte-level BPE of this family, and a line feed is a token of its own, so a text may be cut there.
 DOUBLED = re.compile(r"\s\s")
-#: A worker remembers the ids of this many words (about 250 MB); then it starts anew.
-REMEMBERED = 1_000_000
+#: Punctuation that may follow a word: a token of its own behind letters. Not the quote, with which contractions begin.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A worker remembers words and their ids up to this many bytes; then it starts anew. Longer words are not remembered.
+REMEMBERED_BYTES = 128 << 20
+WORD_BYTES = 256
 #: Rows encoded at once.
 ROWS = 256
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true", "compression": "zstd"}
@@ -37,46 +42,93 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def cuts_at_spaces(model: dict) -> bool:
+    """Whether a tokenizer (its file as a dict) is of the family whose texts may be cut: byte-level BPE on its usual pieces, text as it is."""
+    before, inner = model.get("pre_tokenizer") or {}, model.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and model.get("normalizer") is None
+    return plain and inner.get("type", "BPE") == "BPE" and not any(inner.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level letters: bytes that print stand for themselves, the others for letters from U+0100 on, in order."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts as bytes (little-endian, 32 bits each). Words between safe cuts are encoded once and remembered."""
+    """Ids of texts as bytes (little-endian, 32 bits each). Words between safe cuts are encoded once and remembered.
+
+    Tokenizers of another family than `cuts_at_spaces` get every text whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.bpe = self.model.model
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.room = REMEMBERED_BYTES
         #: A text with one of these is encoded whole: they are found before the text is cut.
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         feed = self._ids("\n")
-        self.feed = int(feed[0]) if len(feed) == 1 else None
+        self.cuts = len(feed) == 1 and cuts_at_spaces(json.loads(self.model.to_str()))
+        self.feed = int(feed[0])
+        self.letters = byte_letters()
 
     def _ids(self, text: str):
         import numpy as np
 
         return np.asarray(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def _part(self, piece: str) -> bytes:
+        """Ids of one piece, that is, of what the tokenizer's own cutting leaves whole."""
+        if piece.isascii() and piece[0] != " ":
+            letters = piece
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.bpe.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, new: list[str]) -> None:
-        """Words go through the tokenizer as lines of one text: each line feed comes out as one id and parts them."""
+        """Letters and punctuation behind them are two pieces. Other words go through the tokenizer as lines of one text: each line feed comes out as one id and parts them."""
         import numpy as np
 
-        for k in range(0, len(new), 2000):
-            some = new[k : k + 2000]
+        others, feed, space = [], struct.pack("<I", self.feed), self.letters[32]
+        tokenize, words, parts, letters = self.bpe.tokenize, self.words, self.parts, self.letters
+        if len(parts) > 10_000:
+            parts.clear()
+        for w in new:
+            core = w.rstrip(TAIL)
+            ascii_ = core.isascii()
+            if not core.isalpha() or not (ascii_ or max(core) < "\u0250"):
+                others.append(w)
+                continue
+            ids = [t.id for t in tokenize(space + (core if ascii_ else core.encode().decode("latin-1").translate(letters)))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in parts:
+                    parts[tail] = self._part(tail)
+                out += parts[tail]
+            words[w] = out
+        for k in range(0, len(others), 2000):
+            some = others[k : k + 2000]
             ids = self._ids("\n".join([w[1:] if w[0] == "\n" else " " + w for w in some]))
             ends = np.append(np.flatnonzero(ids == self.feed), len(ids)) * 4
-            raw, feed, i = ids.tobytes(), np.asarray([self.feed], dtype="<u4").tobytes(), 0
+            raw, i = ids.tobytes(), 0
             for w, j in zip(some, ends.tolist(), strict=True):
-                self.words[w] = feed + raw[i:j] if w[0] == "\n" else raw[i:j]
+                words[w] = feed + raw[i:j] if w[0] == "\n" else raw[i:j]
                 i = j + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A word stands for itself behind a space, or behind a line feed where it begins with one, as the first does."""
-        if len(self.words) > REMEMBERED:
-            self.words = {}
         cut: list[list[str] | None] = []
         new: set[str] = set()
         for t in texts:
-            if not t or self.feed is None or DOUBLED.search(t) or t[0].isspace() or t[-1].isspace() or any(a in t for a in self.added):
+            if not t or not self.cuts or DOUBLED.search(t) or t[0].isspace() or t[-1].isspace() or any(a in t for a in self.added):
                 cut.append(None)
             else:
                 cut.append(("\n" + t.replace("\n", " \n")).split(" "))
@@ -84,7 +136,17 @@ class Encoder:
         if new:
             self._learn(list(new))
         known = self.words.__getitem__
-        return [self._ids(t).tobytes() if c is None else b"".join(map(known, c))[4:] for t, c in zip(texts, cut, strict=True)]
+        out = [self._ids(t).tobytes() if c is None else b"".join(map(known, c))[4:] for t, c in zip(texts, cut, strict=True)]
+        for w in new:
+            # A word, its ids and its place in the dict.
+            size = 2 * len(w) + len(self.words[w]) + 180
+            if size > WORD_BYTES + 180:
+                del self.words[w]
+            else:
+                self.room -= size
+        if self.room < 0:
+            self.words, self.room = {}, REMEMBERED_BYTES
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
