@@ -60,16 +60,16 @@ def hex_to_bgr(text: Column) -> Column:
 def sample_rect(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, h: Column, region: str = "upper") -> Column:
     """Pixels of a box that show the shirt: whole numbers, clipped to the frame; null for an empty box.
 
-    upper: the top 40 % of the unclipped height; center: 30 to 70 % of both unclipped sides; full: the box.
+    upper: the top 40 % of the unclipped height; center: 30 to 70 % of it; full: the box. Heights count from the clipped
+    top and end at the clipped bottom; sides are those of the box.
     """
     a, b, c, d = (x.cast("int") for x in (x1, y1, x2, y2))
     height, width = d - b, c - a
     low_x, low_y = F.greatest(F.lit(0), F.least(a, w - 1)), F.greatest(F.lit(0), F.least(b, h - 1))
     high_x, high_y = F.greatest(F.lit(0), F.least(c, w)), F.greatest(F.lit(0), F.least(d, h))
     if region == "upper":
-        high_y = low_y + (height * 0.4).cast("int")
+        high_y = F.least(low_y + (height * 0.4).cast("int"), high_y)
     elif region == "center":
-        low_x, high_x = low_x + (width * 0.3).cast("int"), low_x + (width * 0.7).cast("int")
-        low_y, high_y = low_y + (height * 0.3).cast("int"), low_y + (height * 0.7).cast("int")
+        low_y, high_y = low_y + (height * 0.3).cast("int"), F.least(low_y + (height * 0.7).cast("int"), high_y)
     rect = F.struct(low_x.cast("int").alias("rx1"), low_y.cast("int").alias("ry1"), high_x.cast("int").alias("rx2"), high_y.cast("int").alias("ry2"))
     return F.when((height > 0) & (width > 0), rect)

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
+from trackframe.operators import boxes
 
 #: Fixed display colours as B, G, R text.
-COLORS = {"player": "0,255,0", "ball": "0,0,255", "other": "128,128,128", "ours": "255,0,0", "opponent": "0,255,255"}
+COLORS = {"player": "0,255,0", "ball": "0,0,255", "other": "128,128,128", "ours": "255,0,0", "opponent": "0,0,255"}
 
 
 def label_text(df: DataFrame, show_conf: bool = True, show_ids: bool = True) -> DataFrame:
@@ -22,19 +23,21 @@ def label_text(df: DataFrame, show_conf: bool = True, show_ids: bool = True) ->
 
 
 def display_color(df: DataFrame, colors: dict[str, str] = COLORS) -> DataFrame:
-    c = F.when(F.col("team_name") == "ours", colors["ours"]).when(F.col("team_name") == "opponent", colors["opponent"])
-    c = c.when(F.col("object_type") == "player", colors["player"]).when(F.col("object_type") == "ball", colors["ball"]).otherwise(colors["other"])
-    return df.withColumn("color", c)
+    """Players have their team's colour, if it is ours or the opponent's; a team changes nothing else."""
+    player = F.when(F.col("team_name") == "ours", colors["ours"]).when(F.col("team_name") == "opponent", colors["opponent"]).otherwise(colors["player"])
+    kind = F.col("object_type")
+    return df.withColumn("color", F.when(kind == "player", player).when(kind == "ball", colors["ball"]).otherwise(colors["other"]))
 
 
-def event_display(df: DataFrame) -> DataFrame:
-    """Clock, marker position in % of the last event's time (1 if that is 0), high from 0.7, details."""
-    last = F.max("ts_s").over(W.partitionBy("match_id"))
+def event_display(df: DataFrame, matches: DataFrame) -> DataFrame:
+    """Clock, marker position in % of the match's duration (1 if that is 0 or unknown), high from 0.7, details."""
+    duration = F.when(F.col("match_duration") != 0, F.col("match_duration")).otherwise(1.0)
     speed = F.when((F.col("event_type") == "shot") & (F.col("speed") != 0), F.concat(F.lit("Speed: "), F.format_string("%.1f", "speed"), F.lit("px/f")))
     region = F.concat(F.when(F.col("event_type") == "shot", " • Target: ").otherwise(" • Region: "), F.col("region"))
-    return df.withColumns({
-        "clock": G.clock(F.col("ts_s")), "marker": F.col("ts_s") / F.when(last == 0, 1.0).otherwise(last) * 100, "high": F.col("confidence") >= 0.7,
-        "details": F.concat_ws("", speed, region)})
+    known = df.join(matches.select("match_id", F.col("duration").alias("match_duration")), "match_id", "left")
+    return known.withColumns({
+        "clock": G.clock(F.col("ts_s")), "marker": F.col("ts_s") / duration * 100, "high": F.col("confidence") >= 0.7,
+        "details": F.concat_ws("", speed, region)}).drop("match_duration")
 
 
 def event_fields(df: DataFrame) -> DataFrame:
@@ -46,9 +49,9 @@ def event_fields(df: DataFrame) -> DataFrame:
 
 
 def trails(tracks: DataFrame, length: int = 30) -> DataFrame:
-    """The last centres of each track up to each of its frames (two at least) and the thickness of each segment."""
+    """The last centres of each track up to each of its frames (two at least) and the thickness of each segment; boxes that are not finite have none."""
     run = W.partitionBy("match_id", "track_id").orderBy("frame_idx").rowsBetween(1 - length, 0)
     center = F.struct(((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
-    out = tracks.withColumn("trail", F.collect_list(center).over(run)).withColumn("n_trail", F.size("trail")).filter("n_trail >= 2")
-    width = F.transform(F.sequence(F.lit(1), F.col("n_trail") - 1), lambda i: F.greatest(F.lit(1), F.floor(3 * (i + 1) / F.col("n_trail")).cast("int")))
+    out = boxes.valid_boxes(tracks).withColumn("trail", F.collect_list(center).over(run)).withColumn("n_trail", F.size("trail")).filter("n_trail >= 2")
+    width = F.transform(F.sequence(F.lit(1), F.col("n_trail") - 1), lambda i: F.greatest(F.lit(1), F.floor(3 * i / F.col("n_trail")).cast("int")))
     return out.select("match_id", "track_id", "frame_idx", "n_trail", "trail", width.alias("thickness"))

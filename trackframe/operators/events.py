@@ -60,27 +60,38 @@ def goals(path: DataFrame, shot_rows: DataFrame, matches: DataFrame, confidence:
     return dedup_events(rows, apart)
 
 
+def _best_of_windows(seconds: float, match: int, time: int, confidence: int):
+    """Rows sorted by match and time in, the best of every window out: one row is kept, whatever a match's length."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key = anchor = most = best = None
+        for b in batches:
+            out = []
+            for i, (m, t, c) in enumerate(zip(*(b.column(k).to_pylist() for k in (match, time, confidence)), strict=True)):
+                if best is None or m != key or t - anchor > seconds:
+                    if best is not None:
+                        out.append(best)
+                    key, anchor, most, best = m, t, c, b.slice(i, 1)
+                elif c > most:
+                    most, best = c, b.slice(i, 1)
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if best is not None:
+            yield best
+
+    return run
+
+
 def dedup_events(df: DataFrame, seconds: float = 5.0) -> DataFrame:
     """The best event of every window: the first event opens one of `seconds` (its end belongs), the next event behind it the next.
 
-    Of equal confidences the earliest stays. A fold over the time-ordered candidates of a match, which are few.
+    Of equal confidences the earliest stays. Windows follow from each other, so a match's events are gone through in order.
     """
-    own = [c for c in df.columns if c != "match_id"]
-    item = F.struct(F.col("ts_s").alias("_t"), F.col("frame_idx").alias("_f"), F.struct(*own).alias("row"))
-    grouped = df.groupBy("match_id").agg(F.sort_array(F.collect_list(item)).alias("all"))
-    row = f"struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in df.schema if f.name in own)}>"
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(None).cast(row).alias("best"), F.array().cast(f"array<{row}>").alias("out"))
-    def step(a, x):
-        same = x["_t"] - a["anchor"] <= seconds
-        better = x["row"]["confidence"] > a["best"]["confidence"]
-        return (
-            F.when(a["anchor"].isNull(), F.struct(x["_t"].alias("anchor"), x["row"].alias("best"), a["out"].alias("out")))
-            .when(same & better, F.struct(a["anchor"].alias("anchor"), x["row"].alias("best"), a["out"].alias("out")))
-            .when(same, a)
-            .otherwise(F.struct(x["_t"].alias("anchor"), x["row"].alias("best"), F.concat(a["out"], F.array(a["best"])).alias("out")))
-        )
-    folded = F.aggregate("all", start, step, lambda a: F.concat(a["out"], F.array(a["best"])))
-    return grouped.select("match_id", F.inline(folded)).select(*df.columns)
+    ordered = df.repartition("match_id").sortWithinPartitions("match_id", "ts_s", "frame_idx")
+    at = [df.columns.index(c) for c in ("match_id", "ts_s", "confidence")]
+    return ordered.mapInArrow(_best_of_windows(seconds, *at), df.schema)
 
 
 def all_events(shot_rows: DataFrame, goal_rows: DataFrame) -> DataFrame:

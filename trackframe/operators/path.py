@@ -67,4 +67,4 @@ def stays_in_goal(path: DataFrame, rows: int = 10, region: str = "goal_region",
     """Column stays: at least half of this and the next rows are in the goal or near its line; true near the path's end."""
     near = (F.col(region).isNotNull() | (F.col("cy") < F.col(height) * 0.2) | (F.col("cy") > F.col(height) * 0.8)).cast("int")
     inside = F.sum(near).over(order().rowsBetween(0, rows - 1))
-    return path.withColumn("stays", (F.col("row") - 1 + rows >= F.col("n")) | (inside >= rows // 2))
+    return path.withColumn("stays", (F.col("row") - 1 + rows >= F.col("n")) | (2 * inside >= rows))

@@ -168,6 +168,6 @@ def event_timeline(df: DataFrame) -> DataFrame:
 
 def sample_tracks(df: DataFrame, limit: int = 1000, seed: int = 42) -> DataFrame:
     """Exactly `limit` rows of each match, chosen by a seeded hash, sorted by frame, with the number of rows there are."""
-    order = W.partitionBy(BY).orderBy(F.xxhash64("track_id", "frame_idx", F.lit(seed)), "track_id", "frame_idx")
+    order = W.partitionBy(BY).orderBy(F.md5(F.concat_ws(":", "track_id", "frame_idx", F.lit(seed)).cast("binary")), "track_id", "frame_idx")
     out = df.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy(BY)))
     return out.filter(F.col("rank") <= limit).drop("rank").orderBy(BY, "frame_idx", "track_id")

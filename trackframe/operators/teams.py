@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions import color as C
+from trackframe.operators import boxes
+from trackframe.sources import io
 
 UNKNOWN = (-1, "unknown")
-ROUNDS = 10
+#: Rounds of k-means at most.
+ROUNDS = 100
 
 
 def valid_colors(df: DataFrame) -> DataFrame:
@@ -20,8 +23,8 @@ def valid_colors(df: DataFrame) -> DataFrame:
 
 
 def color_samples(tracks: DataFrame, frames: DataFrame) -> DataFrame:
-    """Rows of player tracks on the frames (match_id, frame_idx) at hand."""
-    return tracks.filter("object_type = 'player'").join(frames, ["match_id", "frame_idx"], "left_semi")
+    """Rows of player tracks with finite boxes on the frames (match_id, frame_idx) at hand."""
+    return boxes.valid_boxes(tracks.filter("object_type = 'player'")).join(frames, ["match_id", "frame_idx"], "left_semi")
 
 
 def track_mean_color(samples: DataFrame, least: int = 3) -> DataFrame:
@@ -29,25 +32,33 @@ def track_mean_color(samples: DataFrame, least: int = 3) -> DataFrame:
     return out.filter(F.col("n_samples") >= least)
 
 
-def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, tile: int = 64) -> DataFrame:
-    """Pixels (frame_idx, x, y, b, g, r) in boxes (box_id, frame_idx, x1, y1, x2, y2), lower bounds included.
+def pixels_in_boxes(pixels: DataFrame, areas: DataFrame, tile: int = 64) -> DataFrame:
+    """Pixels (frame_idx, x, y, b, g, r) in areas (box_id, frame_idx, x1, y1, x2, y2), lower bounds included.
 
-    Boxes are listed under the tiles they meet, so that a pixel meets only the boxes of its tile.
+    Areas are listed under the tiles they meet, so that a pixel meets only the areas of its tile.
     """
     t = lambda c: F.floor(F.col(c) / tile)
     last = lambda c: F.floor((F.col(c) - 1) / tile)
-    some = boxes.filter("x2 > x1 AND y2 > y1")
+    some = areas.filter("x2 > x1 AND y2 > y1")
     tiled = some.withColumn("tile_x", F.explode(F.sequence(t("x1"), last("x2")))).withColumn("tile_y", F.explode(F.sequence(t("y1"), last("y2"))))
     at = pixels.withColumns({"tile_x": t("x"), "tile_y": t("y")})
-    met = at.join(tiled, ["frame_idx", "tile_x", "tile_y"]).filter("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
+    met = at.join(tiled.hint("merge"), ["frame_idx", "tile_x", "tile_y"]).filter("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
     return met.select("box_id", "frame_idx", "x", "y", "b", "g", "r")
 
 
-def region_mean_color(pixels: DataFrame, boxes: DataFrame, extract: Callable[[Column, Column, Column], dict[str, Column]] | None = None) -> DataFrame:
-    """Mean colour per box, or what the caller's aggregate columns over (b, g, r) make of its pixels."""
+def sampled_areas(areas: DataFrame, region: str, width: int, height: int) -> DataFrame:
+    """Boxes cut down to the pixels that are sampled in a frame of this size: region is upper, center or full."""
+    rect = C.sample_rect(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(width), F.lit(height), region)
+    out = areas.withColumn("rect", rect).filter("rect IS NOT NULL")
+    return out.select("box_id", "frame_idx", *[F.col(f"rect.r{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def region_mean_color(pixels: DataFrame, areas: DataFrame, extract: Callable[[Column, Column, Column], dict[str, Column]] | None = None, region: str | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Mean colour per box, or what the caller's aggregate columns over (b, g, r) make of its pixels; of a region, with the frame's size."""
     b, g, r = F.col("b"), F.col("g"), F.col("r")
     cols = extract(b, g, r) if extract else {"b": F.avg(b), "g": F.avg(g), "r": F.avg(r)}
-    return pixels_in_boxes(pixels, boxes).groupBy("box_id").agg(*[c.alias(n) for n, c in cols.items()])
+    some = areas if region is None else sampled_areas(areas, region, *size)
+    return pixels_in_boxes(pixels, some).groupBy("box_id").agg(*[c.alias(n) for n, c in cols.items()])
 
 
 def predict_team(colors: DataFrame, centers: list[tuple[int, tuple[float, float, float]]], space: str = "hsv") -> DataFrame:
@@ -65,40 +76,52 @@ def predict_team(colors: DataFrame, centers: list[tuple[int, tuple[float, float,
 
 
 def kmeans(points: DataFrame, key: list[str], features: list[str], k: int, rounds: int = ROUNDS) -> DataFrame:
-    """points with `cluster` (0 to k - 1 by centre) per key, and `n_points` and centre columns c_<feature>.
+    """points with `cluster` (0, 1, ... by centre) per key, and `n_points` and centre columns c_<feature>.
 
-    Lloyd's steps as joins and grouped means; the first centres are points at even ranks of the sorted features. Points
-    of keys with fewer than k distinct points are left out.
+    Lloyd's steps as joins and grouped means, until no centre moves (`rounds` at most); centres are written in each
+    round. The first ones are points at even ranks of the sorted features. A key with fewer than k distinct points has
+    as many clusters as those.
     """
+    points = io.saved(points, "kmeans-points")
+    at = F.struct(*features)
     distinct = points.select(*key, *features).distinct().withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy(*features)) - 1)
-    sized = distinct.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*key))).filter(F.col("n") >= k)
-    centers = sized.withColumn("cluster", F.floor(F.col("i") * k / F.col("n"))).groupBy(*key, "cluster").agg(*[F.min_by(f, "i").alias(f"c_{f}") for f in features])
+    sized = distinct.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*key))).withColumn("k", F.least(F.lit(k), "n"))
+    first = sized.withColumn("cluster", F.floor(F.col("i") * F.col("k") / F.col("n"))).groupBy(*key, "cluster").agg(F.min_by(at, "i").alias("at"))
+    centers = io.saved(first, "kmeans-centers")
 
     def assign(c: DataFrame) -> DataFrame:
-        listed = c.groupBy(*key).agg(F.collect_list(F.struct("cluster", *[f"c_{f}" for f in features])).alias("centers"))
-        near = points.join(listed, key)
-        best = F.array_min(F.transform("centers", lambda x: F.struct(
-            sum((F.col(f) - x[f"c_{f}"]) * (F.col(f) - x[f"c_{f}"]) for f in features).alias("d"), x["cluster"].alias("cluster"))))
+        listed = c.groupBy(*key).agg(F.collect_list(F.struct("cluster", "at")).alias("centers"))
+        near = points.join(listed.hint("merge"), key)
+        best = F.array_min(F.transform("centers", lambda x: F.struct(sum((F.col(f) - x["at"][f]) * (F.col(f) - x["at"][f]) for f in features).alias("d"), x["cluster"].alias("cluster"))))
         return near.withColumn("cluster", best["cluster"]).drop("centers")
 
     for _ in range(rounds):
-        centers = assign(centers).groupBy(*key, "cluster").agg(*[F.avg(f).alias(f"c_{f}") for f in features])
-    out = assign(centers)
+        # Means of whole numbers or of a few digits: rounding makes them stand still.
+        means = assign(centers).groupBy(*key, "cluster").agg(F.struct(*[F.round(F.avg(f), 9).alias(f) for f in features]).alias("at"))
+        means = io.saved(means, "kmeans-centers")
+        moved = means.join(centers.hint("merge"), [*key, "cluster", "at"], "left_anti")
+        centers = means
+        if moved.isEmpty():
+            break
+    out = io.saved(assign(centers), "kmeans-clusters")
     final = out.groupBy(*key, "cluster").agg(*[F.avg(f).alias(f"c_{f}") for f in features], F.count(F.lit(1)).alias("n_points"))
     named = final.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*[f"c_{f}" for f in features])) - 1)
-    return out.join(named, [*key, "cluster"]).drop("cluster").withColumnRenamed("rank", "cluster")
+    return out.join(named.hint("merge"), [*key, "cluster"]).drop("cluster").withColumnRenamed("rank", "cluster")
 
 
-def assign_teams(samples: DataFrame, k: int = 2, min_samples: int = 3) -> DataFrame:
-    """match_id, track_id, team_id and the team's centre in HSV; matches with too few tracks have no row."""
-    hsv = C.bgr_to_hsv(F.col("b"), F.col("g"), F.col("r"))
-    mean = track_mean_color(valid_colors(samples), min_samples).select("match_id", "track_id", hsv.alias("x")).select("match_id", "track_id", "x.*")
-    return kmeans(mean, ["match_id"], ["h", "s", "v"], k).withColumnRenamed("cluster", "team_id").drop("h", "s", "v", "n_points")
+def assign_teams(samples: DataFrame, k: int = 2, min_samples: int = 3, space: str = "hsv") -> DataFrame:
+    """match_id, track_id, team_id and the team's centre (in HSV or BGR); matches with fewer tracks than k have no row."""
+    found = track_mean_color(valid_colors(samples), min_samples)
+    found = found.withColumn("tracks", F.count(F.lit(1)).over(W.partitionBy("match_id"))).filter(F.col("tracks") >= k)
+    x = C.bgr_to_hsv(F.col("b"), F.col("g"), F.col("r")) if space == "hsv" else F.struct("b", "g", "r")
+    features = list(space)
+    mean = found.select("match_id", "track_id", x.alias("x")).select("match_id", "track_id", "x.*")
+    return kmeans(mean, ["match_id"], features, k).withColumnRenamed("cluster", "team_id").drop(*features, "n_points")
 
 
-def dominant_color(pixels: DataFrame, boxes: DataFrame, k: int = 3) -> DataFrame:
+def dominant_color(pixels: DataFrame, areas: DataFrame, k: int = 3) -> DataFrame:
     """Centre of the largest of k clusters of each box's pixels (first by centre on ties)."""
-    inside = pixels_in_boxes(pixels, boxes).select("box_id", *[F.col(c).cast("double").alias(c) for c in "bgr"])
+    inside = pixels_in_boxes(pixels, areas).select("box_id", *[F.col(c).cast("double").alias(c) for c in "bgr"])
     found = kmeans(inside, ["box_id"], ["b", "g", "r"], k).select("box_id", "cluster", "c_b", "c_g", "c_r", "n_points").distinct()
     best = F.max_by(F.struct("c_b", "c_g", "c_r", "n_points"), F.struct("n_points", -F.col("cluster"))).alias("best")
     return found.groupBy("box_id").agg(best).select("box_id", F.col("best.c_b").alias("b"), F.col("best.c_g").alias("g"), F.col("best.c_r").alias("r"), F.col("best.n_points").alias("n_points"))

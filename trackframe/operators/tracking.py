@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackframe.sources import io
+
 #: Fixed noise: of positions, and of velocities by quantity; first variances.
 Q_POS, Q_VEL, P_POS, P_VEL = 1.0, (0.01, 0.01, 0.01, 0.0001), 10.0, 10_000.0
 SCHEMA = (
@@ -106,30 +108,54 @@ def ticked(detections: DataFrame) -> DataFrame:
     return detections.withColumn("tick", F.dense_rank().over(W.partitionBy("match_id").orderBy("frame_idx")).cast("long"))
 
 
+def _tracker(*rules: float):
+    """Sorted rows of whole (match, type) groups in, rows of confirmed tracks out, batch by batch: the live tracks are all that is kept."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+        group, frame, tracks, found, out = None, None, [], [], []
+
+        def close() -> None:
+            nonlocal tracks
+            tracks = advance(tracks, frame[2], found, *rules)
+            out.extend((*group, *t.born, frame[0], frame[1], *t.box, t.confidence, t.age, t.hits, t.missed) for t in tracks if t.confirmed)
+
+        for b in batches:
+            for match, kind, idx, ts, tick, slot, x1, y1, x2, y2, confidence in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if frame is None or tick != frame[2] or (match, kind) != group:
+                    if frame is not None:
+                        close()
+                    if (match, kind) != group:
+                        group, tracks = (match, kind), []
+                    frame, found = (idx, ts, tick), []
+                if slot is not None and confidence is not None and confidence == confidence:
+                    found.append((slot, (x1, y1, x2, y2), confidence))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out.clear()
+        if frame is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
 def track(detections: DataFrame, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3) -> DataFrame:
     """Confirmed tracks on every frame of their match while they live, also where only predicted. track_id counts births from 1."""
     cols = ["match_id", "object_type", "frame_idx", "ts_s", "tick", "slot", "x1", "y1", "x2", "y2", "confidence"]
     rows = ticked(detections).select(*cols)
     frames = rows.groupBy("match_id", "frame_idx", "tick").agg(F.min("ts_s").alias("ts_s"))
     types = rows.select("match_id", "object_type").distinct()
-    # A type also ages on frames where only others were seen: every frame of the match comes with an empty row.
+    # A type also ages on frames where only others were seen: every frame of the match comes with an empty row, which sorts first.
     empty = frames.join(types, "match_id").select(
         "match_id", "object_type", "frame_idx", "ts_s", "tick", F.lit(None).cast("long").alias("slot"), *[F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "confidence")])
     both = rows.withColumn("slot", F.col("slot").cast("long")).unionByName(empty)
-
-    def run(key, pdf):
-        import pandas as pd
-
-        tracks, out = [], []
-        pdf = pdf.sort_values(["tick", "slot"], na_position="first")
-        for (tick, frame), part in pdf.groupby(["tick", "frame_idx"], sort=True):
-            found = [(int(r.slot), (r.x1, r.y1, r.x2, r.y2), r.confidence) for r in part.itertuples() if r.slot == r.slot and r.confidence == r.confidence]
-            tracks = advance(tracks, int(tick), found, thresh, buffer, min_iou, min_hits)
-            ts = float(part.ts_s.iloc[0])
-            out += [(key[0], key[1], *t.born, int(frame), ts, *t.box, t.confidence, t.age, t.hits, t.missed) for t in tracks if t.confirmed]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    found = both.groupBy("match_id", "object_type").applyInPandas(run, SCHEMA)
+    ordered = both.repartition("match_id", "object_type").sortWithinPartitions("match_id", "object_type", "tick", "slot")
+    # Written, because both the numbering and the result read it.
+    found = io.saved(ordered.mapInArrow(_tracker(thresh, buffer, min_iou, min_hits), SCHEMA), "tracks")
     births = found.select("match_id", "birth_tick", "birth_slot").distinct()
     ids = births.withColumn("track_id", F.row_number().over(W.partitionBy("match_id").orderBy("birth_tick", "birth_slot")).cast("long"))
-    return found.join(ids, ["match_id", "birth_tick", "birth_slot"]).drop("birth_tick", "birth_slot")
+    return found.join(ids.hint("merge"), ["match_id", "birth_tick", "birth_slot"]).drop("birth_tick", "birth_slot")

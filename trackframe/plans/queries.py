@@ -11,7 +11,7 @@ from trackframe.functions import geometry as G
 from trackframe.operators import boxes, display, events, path, reports, teams, tracking
 from trackframe.plans.fixtures import FIXTURES, fx
 from trackframe.plans.registry import ORACLE, QUERIES, oracle, query, rounded
-from trackframe.sources import io
+from trackframe.sources import io, runs
 
 KEY = "match_id, frame_idx, slot"
 BOX = ("x1", "y1", "x2", "y2")
@@ -26,6 +26,22 @@ def _smooth(b):
     return path.smooth(_ball(b))
 
 
+def _shifted(d):
+    """Boxes moved over every edge of the frame, some without height."""
+    dx, dy = (F.col("frame_idx") % 5 - 2) * 480.5, (F.col("frame_idx") % 7 - 3) * 180.5
+    y2 = F.when(F.col("frame_idx") % 11 == 0, F.col("y1")).otherwise(F.col("y2"))
+    return d.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": y2 + dy})
+
+
+def _adder(field):
+    return lambda a, x: a + x[field]
+
+
+def _present(d):
+    """Rows of every 30th frame that a match has."""
+    return boxes.sample_present_frames(d)
+
+
 # ---- boxes -------------------------------------------------------------------------------------------------------
 query("B1_box_geometry", f"SELECT {KEY.replace('slot', 'i(slot) AS slot')}, r((x1 + x2) / 2) AS cx, r((y1 + y2) / 2) AS cy, r(x2 - x1) AS width, r(y2 - y1) AS height, r((x2 - x1) * (y2 - y1)) AS area FROM fx_det", "fx_det")(
     lambda d: boxes.box_geometry(d).select("match_id", "frame_idx", "slot", "cx", "cy", "width", "height", "area"))
@@ -33,8 +49,8 @@ query("B2_classify_boxes", "SELECT match_id, frame_idx, i(slot) AS slot, CASE cl
     lambda d: boxes.classify_boxes(d.drop("object_type")).select("match_id", "frame_idx", "slot", "object_type", "confidence"))
 query("B3_sample_frames", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE frame_idx >= 5 AND frame_idx < 900 AND frame_idx % 10 = 0", "fx_det")(
     lambda d: boxes.sample_frames(d, "every_nth", 10, 5, 900).select("match_id", "frame_idx", "slot"))
-query("B3_sample_every_2nd", "SELECT match_id, i(count(*)) AS n FROM fx_det WHERE frame_idx % 2 = 0 GROUP BY match_id", "fx_det")(
-    lambda d: boxes.sample_frames(d, "every_2nd").groupBy("match_id").agg(F.count(F.lit(1)).alias("n")))
+query("B3_sample_every_2nd", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE frame_idx % 2 = 0", "fx_det")(
+    lambda d: boxes.sample_frames(d, "every_2nd").select("match_id", "frame_idx", "slot"))
 query("B4_with_time", "SELECT d.match_id, d.frame_idx, i(slot) AS slot, r(d.frame_idx / fps) AS ts_s FROM fx_det d JOIN fx_match m ON d.match_id = m.match_id", "fx_det", "fx_match")(
     lambda d, m: boxes.with_time(d.drop("ts_s"), m).select("match_id", "frame_idx", "slot", "ts_s"))
 query("B4_frame_at", "SELECT d.match_id, i(floor((ts_s + 0.01) * fps)) AS frame_idx, i(slot) AS slot FROM fx_det d JOIN fx_match m ON d.match_id = m.match_id", "fx_det", "fx_match")(
@@ -48,7 +64,8 @@ query("B6_team", "SELECT match_id, frame_idx, track_id FROM fx_trk WHERE team_na
 query("B7_time_slice", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE ts_s <= 10.0", "fx_det")(lambda d: boxes.time_slice(d, 10.0).select("match_id", "frame_idx", "slot"))
 query("B8_high_conf_ball", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE object_type = 'ball' AND confidence > 0.8", "fx_det")(lambda d: boxes.high_conf(d).select("match_id", "frame_idx", "slot"))
 query("B8_high_conf_events", "SELECT match_id, frame_idx FROM fx_evt WHERE confidence > 0.8", "fx_evt")(lambda e: boxes.high_conf(e, None).select("match_id", "frame_idx"))
-query("B8_large", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE object_type = 'player' AND (x2 - x1) * (y2 - y1) > 3000", "fx_det")(lambda d: boxes.large(d, area=3000).select("match_id", "frame_idx", "slot"))
+query("B8_large", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE object_type = 'player' AND (x2 + frame_idx % 30 - x1) * (y2 - y1) > 5000", "fx_det")(
+    lambda d: boxes.large(d.withColumn("x2", F.col("x2") + F.col("frame_idx") % 30), area=5000).select("match_id", "frame_idx", "slot"))
 query("B9_valid_boxes", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE frame_idx % 7 NOT IN (0, 3)", "fx_det")(
     lambda d: boxes.valid_boxes(d.withColumn("x1", F.when(F.col("frame_idx") % 7 == 0, float("nan")).when(F.col("frame_idx") % 7 == 3, float("-inf")).otherwise(F.col("x1")))).select("match_id", "frame_idx", "slot"))
 query("B10_player_centers", "SELECT match_id, track_id, frame_idx, r(ts_s) AS ts_s, r((x1 + x2) / 2) AS cx, r((y1 + y2) / 2) AS cy, team_name FROM fx_trk WHERE object_type = 'player'", "fx_trk")(boxes.player_centers)
@@ -61,31 +78,42 @@ query("B13_near_edge", "SELECT match_id, frame_idx, cx < 192 OR cx > 1920 - 192
     lambda b: b.select("match_id", "frame_idx", G.near_edge(F.col("cx"), F.col("cy"), F.lit(1920), F.lit(1080)).alias("near")))
 query("B14_label_text", "SELECT match_id, frame_idx, track_id, concat_ws(' ', object_type, printf('%.2f', confidence + 0.001), 'ID:' || track_id) AS label FROM fx_trk", "fx_trk")(
     lambda t: display.label_text(t.withColumn("confidence", F.col("confidence") + 0.001)).select("match_id", "frame_idx", "track_id", "label"))
-query("B15_display_color", "SELECT match_id, frame_idx, track_id, CASE WHEN team_name = 'team_A' THEN '255,0,0' WHEN team_name = 'team_B' THEN '0,255,255' WHEN object_type = 'player' THEN '0,255,0' ELSE '0,0,255' END AS color FROM fx_trk", "fx_trk")(
-    lambda t: display.display_color(t.withColumn("team_name", F.when(F.col("team_name") == "team_A", "ours").when(F.col("team_name") == "team_B", "opponent"))).select("match_id", "frame_idx", "track_id", "color"))
-query("B16_event_display", """SELECT match_id, frame_idx, CAST(floor(ts_s / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(ts_s % 60) AS BIGINT) AS VARCHAR), 2, '0') AS clock,
-r(ts_s / CASE WHEN max(ts_s) OVER (PARTITION BY match_id) = 0 THEN 1 ELSE max(ts_s) OVER (PARTITION BY match_id) END * 100) AS marker, confidence >= 0.7 AS high,
-CASE WHEN event_type = 'shot' THEN ' • Target: ' ELSE ' • Region: ' END || region AS details FROM fx_evt""", "fx_evt")(
-    lambda e: display.event_display(e.withColumn("speed", F.lit(None).cast("double"))).select("match_id", "frame_idx", "clock", "marker", "high", "details"))
+query("B15_display_color", """SELECT match_id, frame_idx, track_id, CASE WHEN object_type = 'ball' THEN '0,0,255' WHEN object_type <> 'player' THEN '128,128,128' WHEN slot % 3 = 0 THEN '255,0,0' WHEN slot % 3 = 1 THEN '0,0,255' ELSE '0,255,0' END AS color
+FROM (SELECT match_id, frame_idx, track_id, track_id % 100 AS slot, CASE WHEN track_id % 100 = 5 THEN 'referee' ELSE object_type END AS object_type FROM fx_trk)""", "fx_trk")(
+    lambda t: display.display_color(t.withColumns({
+        "team_name": F.get(F.lit(["ours", "opponent", "unknown"]), (F.col("track_id") % 100 % 3).cast("int")),
+        "object_type": F.when(F.col("track_id") % 100 == 5, "referee").otherwise(F.col("object_type"))})).select("match_id", "frame_idx", "track_id", "color"))
+query("B16_event_display", """SELECT e.match_id, frame_idx, CAST(floor(ts_s / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(ts_s % 60) AS BIGINT) AS VARCHAR), 2, '0') AS clock,
+r(ts_s / CASE WHEN e.match_id % 3 = 0 OR coalesce(duration, 0) = 0 THEN 1 ELSE duration END * 100) AS marker, confidence >= 0.7 AS high,
+CASE WHEN event_type = 'shot' THEN CASE WHEN round(speed) <> 0 THEN 'Speed: ' || printf('%.1f', round(speed) + 0.3) || 'px/f' ELSE '' END || ' • Target: ' ELSE ' • Region: ' END || region AS details
+FROM fx_evt e LEFT JOIN fx_match m ON e.match_id = m.match_id""", "fx_evt", "fx_match")(
+    lambda e, m: display.event_display(
+        e.withColumn("speed", F.when(F.round("speed") != 0, F.round("speed") + 0.3).otherwise(0.0)), m.withColumn("duration", F.when(F.col("match_id") % 3 == 0, 0.0).otherwise(F.col("duration"))),
+    ).select("match_id", "frame_idx", "clock", "marker", "high", "details"))
 query("B17_event_fields", """SELECT match_id, frame_idx, CASE WHEN event_type = 'shot' THEN printf('%.1f', round(speed) + 0.3) ELSE 'N/A' END AS speed_text, CASE WHEN event_type = 'shot' THEN region ELSE 'unknown' END AS target_text,
 CASE WHEN event_type = 'goal' THEN region ELSE 'unknown' END AS region_text, 'no shot' AS shot_text FROM fx_evt""", "fx_evt")(
     lambda e: display.event_fields(e.withColumns({
         "target_goal": F.when(F.col("event_type") == "shot", F.col("region")), "goal_region": F.when(F.col("event_type") == "goal", F.col("region")),
         "speed": F.when(F.col("event_type") == "shot", F.round("speed") + 0.3), "shot_timestamp": F.lit(None).cast("double")})).select("match_id", "frame_idx", "speed_text", "target_text", "region_text", "shot_text"))
-query("B18_sample_rect", """SELECT match_id, frame_idx, i(slot) AS slot, i(greatest(0, least(trunc(x1), 1919))) AS rx1, i(greatest(0, least(trunc(y1), 1079))) AS ry1, i(greatest(0, least(trunc(x2), 1920))) AS rx2,
-i(greatest(0, least(trunc(y1), 1079)) + trunc((trunc(y2) - trunc(y1)) * 0.4)) AS ry2 FROM fx_det""", "fx_det")(
-    lambda d: d.select("match_id", "frame_idx", "slot", C.sample_rect(*[F.col(c) for c in BOX], F.lit(1920), F.lit(1080)).alias("rect")).select("match_id", "frame_idx", "slot", "rect.*"))
+#: Boxes over every edge, and empty ones; heights and widths of the box, low and high ends within the frame.
+RECT_SQL = """b AS (SELECT match_id, frame_idx, slot, trunc(x1 + dx) AS a, trunc(y1 + dy) AS b, trunc(x2 + dx) AS c, trunc(CASE WHEN frame_idx % 11 = 0 THEN y1 ELSE y2 END + dy) AS d
+FROM (SELECT *, (frame_idx % 5 - 2) * 480.5 AS dx, (frame_idx % 7 - 3) * 180.5 AS dy FROM fx_det)),
+q AS (SELECT *, d - b AS h, greatest(0, least(a, 1919)) AS lx, greatest(0, least(b, 1079)) AS ly, greatest(0, least(c, 1920)) AS hx, greatest(0, least(d, 1080)) AS hy FROM b WHERE d > b AND c > a)"""
+for _region, _low, _high in (("upper", "ly", "least(ly + trunc(h * 0.4), hy)"), ("center", "ly + trunc(h * 0.3)", "least(ly + trunc(h * 0.7), hy)"), ("full", "ly", "hy")):
+    query(f"B18_sample_rect_{_region}", f"WITH {RECT_SQL} SELECT match_id, frame_idx, i(slot) AS slot, i(lx) AS rx1, i({_low}) AS ry1, i(hx) AS rx2, i({_high}) AS ry2 FROM q", "fx_det")(
+        lambda d, region=_region: _shifted(d).select("match_id", "frame_idx", "slot", C.sample_rect(*[F.col(c) for c in BOX], F.lit(1920), F.lit(1080), region).alias("rect")).filter("rect IS NOT NULL").select("match_id", "frame_idx", "slot", "rect.*"))
 query("B19_valid_colors", "SELECT match_id, frame_idx, i(slot) AS slot FROM fx_det WHERE frame_idx % 5 <> 0", "fx_det")(
     lambda d: teams.valid_colors(d.withColumns({c: F.when(F.col("frame_idx") % 5 == 0, 1e-9).otherwise(F.col(c)) for c in "bgr"})).select("match_id", "frame_idx", "slot"))
 
 # ---- joins -------------------------------------------------------------------------------------------------------
 query("C1_label_tracks", "SELECT match_id, track_id, frame_idx, i(CASE WHEN track_id % 3 = 0 THEN -1 ELSE team_id END) AS team_id, CASE WHEN track_id % 3 = 0 THEN 'unknown' ELSE team_name END AS team_name FROM fx_trk", "fx_trk")(
     lambda t: teams.label_tracks(t, t.filter("track_id % 3 <> 0").select("match_id", "track_id", "team_id").distinct(), t.select("match_id", "team_id", "team_name").distinct()).select("match_id", "track_id", "frame_idx", "team_id", "team_name"))
-query("C2_with_match", "SELECT d.match_id, i(count(*)) AS n, i(max(width)) AS width, r(max(fps)) AS fps FROM fx_det d JOIN fx_match m ON d.match_id = m.match_id GROUP BY d.match_id", "fx_det", "fx_match")(
-    lambda d, m: boxes.with_match(d, m).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("width"), F.max("fps").alias("fps")))
+query("C2_with_match", "SELECT d.match_id, frame_idx, i(slot) AS slot, i(width) AS width, i(height) AS height, r(fps) AS fps FROM fx_det d JOIN fx_match m ON d.match_id = m.match_id", "fx_det", "fx_match")(
+    lambda d, m: boxes.with_match(d, m).select("match_id", "frame_idx", "slot", "width", "height", "fps"))
 IOU_SQL = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
-query("C3_iou_pairs", f"""WITH j AS (SELECT a.match_id, a.frame_idx AS pair_frame, a.object_type, a.slot AS a_slot, b.slot AS b_slot, {IOU_SQL} AS i_, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s_
-FROM fx_det a JOIN fx_det b ON a.match_id = b.match_id AND a.object_type = b.object_type AND b.frame_idx = a.frame_idx + 1)
+query("C3_iou_pairs", f"""WITH d AS MATERIALIZED (SELECT match_id, frame_idx, object_type, slot, x1, y1, x2, y2 FROM fx_det),
+j AS (SELECT a.match_id, a.frame_idx AS pair_frame, a.object_type, a.slot AS a_slot, b.slot AS b_slot, {IOU_SQL} AS i_, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s_
+FROM d a JOIN d b ON a.match_id = b.match_id AND b.frame_idx = a.frame_idx + 1 AND a.object_type = b.object_type)
 SELECT match_id, pair_frame, object_type, i(a_slot) AS a_slot, i(b_slot) AS b_slot, r(i_ / (s_ - i_)) AS iou FROM j WHERE i_ > 0 AND i_ / (s_ - i_) >= 0.3""", "fx_det")(
     lambda d: boxes.iou_pairs(d.withColumn("pair_frame", F.col("frame_idx")), d.withColumn("pair_frame", F.col("frame_idx") - 1)))
 query("C4_recent_shot", """WITH s AS (SELECT * FROM fx_evt WHERE event_type = 'shot'),
@@ -93,8 +121,9 @@ j AS (SELECT g.match_id, g.frame_idx, min(s.frame_idx) AS shot_frame FROM fx_evt
 SELECT match_id, frame_idx, shot_frame FROM j""", "fx_evt")(
     lambda e: events.recent_shot(e.filter("event_type = 'goal'").withColumn("fps", F.lit(25.0)).select("match_id", "frame_idx", "ts_s", "fps"), e.filter("event_type = 'shot'").withColumn("target_goal", F.col("region"))).select("match_id", "frame_idx", "shot_frame"))
 query("C6_pixels_in_boxes", "SELECT box_id, p.frame_idx, x, y, b, g, r FROM fx_pixel p JOIN fx_box q ON p.frame_idx = q.frame_idx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2", "fx_pixel", "fx_box")(teams.pixels_in_boxes)
-query("C7_color_samples", "SELECT match_id, track_id, frame_idx FROM fx_trk WHERE object_type = 'player' AND frame_idx % 30 = 0", "fx_trk")(
-    lambda t: teams.color_samples(t, t.filter("frame_idx % 30 = 0").select("match_id", "frame_idx").distinct()).select("match_id", "track_id", "frame_idx"))
+query("C7_color_samples", """WITH k AS (SELECT *, (dense_rank() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1) % 30 = 0 AS sampled FROM fx_trk)
+SELECT match_id, track_id, frame_idx FROM k WHERE sampled AND object_type = 'player' AND track_id % 5 <> 2""", "fx_trk")(
+    lambda t: teams.color_samples(t.withColumn("y2", F.when(F.col("track_id") % 5 == 2, float("nan")).otherwise(F.col("y2"))), _present(t).select("match_id", "frame_idx").distinct()).select("match_id", "track_id", "frame_idx"))
 query("C8_busy_frame_times", """WITH b AS (SELECT match_id, frame_idx, row_number() OVER (PARTITION BY match_id ORDER BY frame_idx) AS k FROM (SELECT match_id, frame_idx FROM fx_det WHERE object_type = 'player' GROUP BY ALL HAVING count(*) > 15))
 SELECT DISTINCT d.match_id, d.frame_idx, r(ts_s) AS ts_s FROM fx_det d JOIN b ON d.match_id = b.match_id AND d.frame_idx = b.frame_idx WHERE k <= 5""", "fx_det")(lambda d: reports.busy_frame_times(d, 15))
 HSV_SQL = """h AS (SELECT *, floor(CASE WHEN mx = mn THEN 0 WHEN mx = r_ THEN CASE WHEN g_ < b_ THEN 360 + 60.0 * (g_ - b_) / (mx - mn) ELSE 60.0 * (g_ - b_) / (mx - mn) END
@@ -138,9 +167,13 @@ query("D23_describe_events", f"SELECT match_id, event_type, {DESCRIBE.format(c='
 query("D24_event_health", "SELECT match_id, false AS no_events, count(*) FILTER (event_type = 'shot') > 0 AND count(*) FILTER (event_type = 'goal') = 0 AS no_goals, count(*) FILTER (event_type = 'goal') > 10 AS many_goals, count(*) FILTER (confidence < 0.5) > 0.5 * count(*) AS low_confidence FROM fx_evt GROUP BY match_id", "fx_evt", "fx_match")(
     lambda e, m: reports.health_of(m, e))
 query("D25_event_type_counts", "SELECT match_id, i(count(*) FILTER (event_type = 'shot')) AS n_shot, i(count(*) FILTER (event_type = 'goal')) AS n_goal, i(count(*) FILTER (event_type = 'other')) AS n_other FROM fx_evt GROUP BY match_id", "fx_evt")(reports.event_type_counts)
-query("D26_track_mean_color", "SELECT match_id, i(slot) AS track_id, r(avg(b)) AS b, r(avg(g)) AS g, r(avg(r)) AS r, i(count(*)) AS n_samples FROM fx_det WHERE frame_idx % 30 = 0 GROUP BY match_id, slot HAVING count(*) >= 3", "fx_det")(
-    lambda d: teams.track_mean_color(d.filter("frame_idx % 30 = 0").withColumn("track_id", F.col("slot"))))
+query("D26_track_mean_color", """WITH k AS (SELECT *, (dense_rank() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1) % 30 = 0 AS sampled FROM fx_det)
+SELECT match_id, i(slot) AS track_id, r(avg(b)) AS b, r(avg(g)) AS g, r(avg(r)) AS r, i(count(*)) AS n_samples FROM k WHERE sampled GROUP BY match_id, slot HAVING count(*) >= 3""", "fx_det")(
+    lambda d: teams.track_mean_color(_present(d).withColumn("track_id", F.col("slot"))))
 query("D27_region_mean_color", "SELECT box_id, r(avg(b)) AS b, r(avg(g)) AS g, r(avg(r)) AS r FROM fx_pixel p JOIN fx_box q ON p.frame_idx = q.frame_idx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY box_id", "fx_pixel", "fx_box")(teams.region_mean_color)
+for _region, _low, _high in (("upper", "y1", "y1 + trunc((y2 - y1) * 0.4)"), ("center", "y1 + trunc((y2 - y1) * 0.3)", "y1 + trunc((y2 - y1) * 0.7)")):
+    query(f"D27_region_mean_color_{_region}", f"SELECT box_id, r(avg(b)) AS b, r(avg(g)) AS g, r(avg(r)) AS r FROM fx_pixel p JOIN fx_box q ON p.frame_idx = q.frame_idx AND x >= x1 AND x < least(x2, 20) AND y >= {_low} AND y < least({_high}, y2, 20) GROUP BY box_id", "fx_pixel", "fx_box")(
+        lambda p, q, region=_region: teams.region_mean_color(p, q, region=region, size=(20, 20)))
 query("K1_own_color_extraction", "SELECT box_id, i(max(b)) AS b, i(min(g)) AS g, r(median(r)) AS r FROM fx_pixel p JOIN fx_box q ON p.frame_idx = q.frame_idx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY box_id", "fx_pixel", "fx_box")(
     lambda p, q: teams.region_mean_color(p, q, lambda b, g, r: {"b": F.max(b), "g": F.min(g), "r": F.median(r)}))
 
@@ -173,8 +206,11 @@ query("E6_stays_in_goal", f"WITH {GOALS} SELECT match_id, frame_idx, stays FROM
     lambda b, m: path.stays_in_goal(boxes.with_match(path.numbered(b), m).withColumn("goal_region", G.goal_region_of(F.col("cx"), F.col("cy"), F.col("width"), F.col("height")))).select("match_id", "frame_idx", "stays"))
 query("E7_score_timeline", "SELECT match_id, r(ts_s) AS ts_s, frame_idx, i(count(*) FILTER (region = 'top') OVER o) AS team_a, i(count(*) FILTER (region = 'bottom') OVER o) AS team_b, r(confidence) AS confidence, region AS goal_region FROM fx_evt WHERE event_type = 'goal' WINDOW o AS (PARTITION BY match_id ORDER BY ts_s, frame_idx)", "fx_evt")(
     lambda e: events.score_timeline(e.filter("event_type = 'goal'").withColumnRenamed("region", "goal_region")))
-query("E8_trails", "SELECT match_id, track_id, frame_idx, i(least(30, row_number() OVER o)) AS n_trail, r(sum((x1 + x2) / 2) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) AS sum_cx, i(3) AS last_width FROM fx_trk WINDOW o AS (PARTITION BY match_id, track_id ORDER BY frame_idx) QUALIFY row_number() OVER o >= 2", "fx_trk")(
-    lambda t: display.trails(t).select("match_id", "track_id", "frame_idx", "n_trail", F.aggregate("trail", F.lit(0.0), lambda a, x: a + x["cx"]).alias("sum_cx"), F.element_at("thickness", -1).alias("last_width")))
+query("E8_trails", """WITH t AS (SELECT *, i(least(30, row_number() OVER o)) AS n_trail, sum((x1 + x2) / 2) OVER w AS sx, sum((y1 + y2) / 2) OVER w AS sy FROM fx_trk WHERE frame_idx % 7 NOT IN (2, 5)
+WINDOW o AS (PARTITION BY match_id, track_id ORDER BY frame_idx), w AS (PARTITION BY match_id, track_id ORDER BY frame_idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT match_id, track_id, frame_idx, n_trail, r(sx) AS sum_cx, r(sy) AS sum_cy, array_to_string(list_transform(range(1, n_trail), lambda i: greatest(1, CAST(floor(3.0 * i / n_trail) AS BIGINT))), ',') AS widths FROM t WHERE n_trail >= 2""", "fx_trk")(
+    lambda t: display.trails(t.withColumn("x1", F.when(F.col("frame_idx") % 7 == 2, float("nan")).when(F.col("frame_idx") % 7 == 5, float("inf")).otherwise(F.col("x1")))).select(
+        "match_id", "track_id", "frame_idx", "n_trail", *[F.aggregate("trail", F.lit(0.0), _adder(c)).alias(f"sum_{c}") for c in ("cx", "cy")], F.array_join("thickness", ",").alias("widths")))
 query("E9_ticks", "SELECT match_id, frame_idx, i(slot) AS slot, i(dense_rank() OVER (PARTITION BY match_id ORDER BY frame_idx)) AS tick FROM fx_det", "fx_det")(lambda d: tracking.ticked(d).select("match_id", "frame_idx", "slot", "tick"))
 
 
@@ -209,10 +245,12 @@ query("F1_top_shots", "SELECT match_id, frame_idx, r(confidence) AS confidence,
     lambda e: reports.top_shots(e).select("match_id", "frame_idx", "confidence", "rank"))
 query("F2_longest_tracks", "SELECT match_id, track_id, team_name, i(length) AS length, i(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY length DESC, track_id, team_name) AS rank FROM (SELECT match_id, track_id, team_name, count(*) AS length FROM fx_trk GROUP BY ALL)) WHERE rank <= 20", "fx_trk")(reports.longest_tracks)
 query("F4_event_timeline", "SELECT match_id, event_type, frame_idx, r(ts_s) AS ts_s, r(confidence) AS confidence FROM fx_evt", "fx_evt")(reports.event_timeline)
-query("F5_sample_tracks", None, "fx_trk")(lambda t: reports.sample_tracks(t).select("match_id", "track_id", "frame_idx", "total"))
+query("F5_sample_tracks", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY md5(concat_ws(':', track_id, frame_idx, 42)), track_id, frame_idx) AS rank, count(*) OVER (PARTITION BY match_id) AS total FROM fx_trk)
+SELECT match_id, frame_idx, track_id, total FROM k WHERE rank <= 1000""", "fx_trk")(lambda t: reports.sample_tracks(t).select("match_id", "track_id", "frame_idx", "total"))
 
 # ---- scalar functions --------------------------------------------------------------------------------------------
-query("H1_iou", f"SELECT a.match_id, a.frame_idx, i(a.slot) AS slot, r(CASE WHEN {IOU_SQL} > 0 THEN {IOU_SQL} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {IOU_SQL}) ELSE 0.0 END) AS iou FROM fx_det a JOIN (SELECT match_id, frame_idx, slot, x1 + 10 AS x1, y1 - slot * 8 AS y1, x2 + 10 AS x2, y2 - slot * 8 AS y2 FROM fx_det) b USING (match_id, frame_idx, slot)", "fx_det")(
+MOVED_SQL = "greatest(0.0, least(x2, x2 + 10) - greatest(x1, x1 + 10)) * greatest(0.0, least(y2, y2 - slot * 8) - greatest(y1, y1 - slot * 8))"
+query("H1_iou", f"SELECT match_id, frame_idx, i(slot) AS slot, r(CASE WHEN {MOVED_SQL} > 0 THEN {MOVED_SQL} / (2 * (x2 - x1) * (y2 - y1) - {MOVED_SQL}) ELSE 0.0 END) AS iou FROM fx_det", "fx_det")(
     lambda d: d.select("match_id", "frame_idx", "slot", G.iou(tuple(F.col(c) for c in BOX), (F.col("x1") + 10, F.col("y1") - F.col("slot") * 8, F.col("x2") + 10, F.col("y2") - F.col("slot") * 8)).alias("iou")))
 query("H2_box_state", "SELECT match_id, frame_idx, i(slot) AS slot, r((x1 + x2) / 2) AS xc, r((y1 + y2) / 2) AS yc, r((x2 - x1) * (y2 - y1)) AS area, r((x2 - x1) / (y2 - y1)) AS aspect FROM fx_det", "fx_det")(
     lambda d: d.select("match_id", "frame_idx", "slot", G.box_state(*[F.col(c) for c in BOX]).alias("s")).select("match_id", "frame_idx", "slot", "s.*"))
@@ -233,7 +271,7 @@ query("H9_clock", "SELECT match_id, frame_idx, CAST(floor(ts_s / 60) AS BIGINT)
 
 # ---- multi-step --------------------------------------------------------------------------------------------------
 query("I3_track", None, "fx_det")(lambda d: tracking.track(d))
-query("I5_assign_teams", None, "fx_det")(lambda d: teams.assign_teams(d.filter("object_type = 'player' AND frame_idx % 30 = 0").withColumn("track_id", F.col("slot"))))
+query("I5_assign_teams", None, "fx_det")(lambda d: teams.assign_teams(boxes.players(_present(d)).withColumn("track_id", F.col("slot"))))
 query("I6_name_teams", "SELECT DISTINCT match_id, i(slot % 6) AS team_id, CASE WHEN slot % 6 < 4 THEN 'team_' || chr(CAST(65 + slot % 6 AS INTEGER)) ELSE 'team_' || (slot % 6) END AS team_name FROM fx_det", "fx_det")(
     lambda d: teams.name_teams(d.select("match_id", (F.col("slot") % 6).alias("team_id")).distinct()))
 query("I7_dominant_color", None, "fx_pixel", "fx_box")(teams.dominant_color)
@@ -259,6 +297,10 @@ def _file(name: str, sql: str | None, inputs: tuple, write, read) -> None:
         ORACLE[name] = oracle(sql)
 
 
+def _csv(spark, at, schema):
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(at)
+
+
 def _as_detections(d):
     return io.packed(d.select("match_id", "frame_idx", "ts_s", "slot", "object_type", F.col("class_id").cast("int"), *BOX, "confidence"))
 
@@ -267,8 +309,10 @@ DET_SQL = "SELECT match_id, frame_idx, r(ts_s) AS ts_s, i(slot) AS slot, object_
 DET_COLS = ("match_id", "frame_idx", "ts_s", "slot", "object_type", "x1", "y2", "confidence")
 _file("A1_read_detections", DET_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at), lambda s, at: io.read_detections(s, at).select(*DET_COLS))
 _file("A2_detections_json", DET_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at, "json", ("match_id",)), lambda s, at: io.read_detections(s, at, "json").select(*DET_COLS))
-_file("A3_detections_csv", "SELECT match_id, i(count(*)) AS n, r(sum(x1)) AS sum_x1 FROM fx_det GROUP BY match_id", ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at, "csv"),
-      lambda s, at: s.read.option("header", True).csv(at).groupBy(F.col("match_id").cast("long")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bbox_0").cast("double")).alias("sum_x1")).toDF("match_id", "n", "sum_x1"))
+_file("A3_detections_csv", "SELECT match_id, frame_idx, r(ts_s) AS ts_s, i(slot) AS slot, object_type, i(class_id) AS class_id, r(x1) AS x1, r(y1) AS y1, r(x2) AS x2, r(y2) AS y2, r(confidence) AS confidence FROM fx_det", ("fx_det",),
+      lambda at, d: io.write_table(_as_detections(d), at, "csv"),
+      lambda s, at: _csv(s, at, "match_id long, frame_idx long, timestamp double, det_idx long, object_type string, class_id int, confidence double, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double").toDF(
+          "match_id", "frame_idx", "ts_s", "slot", "object_type", "class_id", "confidence", *BOX))
 TRK_SQL = "SELECT match_id, track_id, frame_idx, r(ts_s) AS ts_s, object_type, r(x1) AS x1, i(hits) AS hits, i(team_id) AS team_id, team_name FROM fx_trk"
 TRK_COLS = ("match_id", "track_id", "frame_idx", "ts_s", "object_type", "x1", "hits", "team_id", "team_name")
 _file("A4_read_tracks", TRK_SQL, ("fx_trk",), lambda at, t: io.write_table(io.packed(t.withColumn("team_id", F.col("team_id").cast("int"))), at), lambda s, at: io.read_tracks(s, at).select(*TRK_COLS))
@@ -285,27 +329,65 @@ def _as_events(e):
 _file("A6_events_json", EVT_SQL, ("fx_evt",), lambda at, e: io.write_events(_as_events(e), at), lambda s, at: io.read_events(s, at).select("match_id", "event_type", "frame_idx", "ts_s", "confidence", "target_goal", "goal_region", "speed"))
 _file("A7_score_document", "SELECT match_id, r(ts_s) AS ts_s, frame_idx, i(count(*) FILTER (region = 'top') OVER o) AS team_a, i(count(*) FILTER (region = 'bottom') OVER o) AS team_b, r(confidence) AS confidence, region AS goal_region FROM fx_evt WHERE event_type = 'goal' WINDOW o AS (PARTITION BY match_id ORDER BY ts_s, frame_idx)", ("fx_evt",),
       lambda at, e: io.write_score(events.score_timeline(e.filter("event_type = 'goal'").withColumnRenamed("region", "goal_region")), at), io.read_score)
-_file("A8_team_document", "SELECT DISTINCT match_id, track_id, i(team_id) AS team_id FROM fx_trk WHERE team_id >= 0", ("fx_trk",),
-      lambda at, t: io.write_teams(t.filter("team_id >= 0").select("match_id", "team_id", "team_name", F.lit(1.0).alias("b"), F.lit(2.0).alias("g"), F.lit(3.0).alias("r")).distinct(), t.filter("team_id >= 0").select("match_id", "team_id", "track_id").distinct(), at),
-      lambda s, at: io.read_teams(s, at)[1].select("match_id", "track_id", "team_id"))
-_file("A9_read_matches", "SELECT match_id, r(fps) AS fps, i(total_frames) AS total_frames, i(width) AS width, i(height) AS height, r(duration) AS duration FROM fx_match", ("fx_match",), lambda at, m: m.write.json(at), lambda s, at: io.read_matches(s, at).drop("codec"))
-_file("A10_read_manifests", "SELECT match_id, '1.0' AS schema_version FROM fx_match", ("fx_match",), lambda at, m: m.select("match_id", F.lit("1.0").alias("schema_version")).write.json(at),
-      lambda s, at: s.read.schema("match_id long, schema_version string").json(at))
-_file("A11_export_detections_csv", "SELECT match_id, frame_idx, r(avg(confidence)) AS mean_confidence FROM fx_det GROUP BY ALL", ("fx_det",), lambda at, d: io.export_csv(reports.frame_summary(d), at),
-      lambda s, at: s.read.option("header", True).schema("match_id long, frame_idx long, objects string, ts_s double, mean_confidence double").csv(at).select("match_id", "frame_idx", "mean_confidence"))
-_file("A12_export_tracks_csv", "SELECT match_id, track_id, i(count(*)) AS frame_idx_count FROM fx_trk GROUP BY ALL", ("fx_trk",), lambda at, t: io.export_csv(reports.track_summary(t), at),
-      lambda s, at: s.read.option("header", True).csv(at).select(F.col("match_id").cast("long").alias("match_id"), F.col("track_id").cast("long").alias("track_id"), F.col("frame_idx_count").cast("long").alias("frame_idx_count")))
-_file("A13_export_by_team", "SELECT team_name, i(count(*)) AS n FROM fx_trk WHERE team_name <> 'unknown' GROUP BY ALL", ("fx_trk",), lambda at, t: io.export_by_team(t, at),
-      lambda s, at: s.read.option("header", True).csv(at).groupBy("team_name").agg(F.count(F.lit(1)).alias("n")))
-_file("A14_export_events_csv", "SELECT match_id, event_type, frame_idx, r(ts_s) AS ts_s, r(confidence) AS confidence FROM fx_evt", ("fx_evt",), lambda at, e: io.export_csv(reports.event_timeline(e), at),
-      lambda s, at: s.read.option("header", True).schema("match_id long, event_type string, frame_idx long, ts_s double, confidence double").csv(at))
-
-
-def _write_run(at, e, m):
-    """One run: Spark's part files under the names a run has, one folder each."""
-    io.write_events(_as_events(e), f"{at}/run_a/events")
-    m.write.json(f"{at}/run_a/matches")
-
-
-_file("A17_run_events", "SELECT match_id, event_type, frame_idx, i(count(*) OVER ()) AS n_events FROM fx_evt", ("fx_evt", "fx_match"), _write_run,
-      lambda s, at: (lambda e: e.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("n_events")))))(io.read_events(s, f"{at}/run_a/events")).select("match_id", "event_type", "frame_idx", "n_events"))
+_file("A8_team_document", "SELECT match_id, track_id, i(team_id) AS team_id, team_name, r(team_id * 10.0) AS b, r(2.0) AS g, r(3.0) AS r FROM (SELECT DISTINCT match_id, track_id, team_id, team_name FROM fx_trk WHERE team_id >= 0)", ("fx_trk",),
+      lambda at, t: io.write_teams(t.filter("team_id >= 0").select("match_id", "team_id", "team_name", (F.col("team_id") * 10.0).alias("b"), F.lit(2.0).alias("g"), F.lit(3.0).alias("r")).distinct(), t.filter("team_id >= 0").select("match_id", "team_id", "track_id").distinct(), at),
+      lambda s, at: (lambda named, who: who.join(named, ["match_id", "team_id"]).select("match_id", "track_id", "team_id", "team_name", "b", "g", "r"))(*io.read_teams(s, at)))
+_file("A9_read_matches", "SELECT match_id, r(fps) AS fps, i(total_frames) AS total_frames, i(width) AS width, i(height) AS height, r(duration) AS duration, 'avc1' AS codec FROM fx_match", ("fx_match",),
+      lambda at, m: io.write_documents(m.withColumn("codec", F.lit("avc1")), at), io.read_matches)
+_file("A10_read_manifests", """SELECT match_id, '1.0' AS schema_version, 'v' || match_id || '.mp4' AS video_path, 'runs/' || match_id AS output_dir, '2024-01-01T10:00:00' AS start_time, '2024-01-01T11:00:00' AS end_time,
+'{"sampling":{"n":' || match_id || '}}' AS config, 'detect,track' AS stages FROM fx_match""", ("fx_match",),
+      lambda at, m: io.write_documents(_manifests(m), at), lambda s, at: io.read_manifests(s, at).withColumn("config", F.to_json(F.from_json("config", "sampling struct<n: long>"))).withColumn("stages", F.array_join("stages", ",")))
+
+
+def _manifests(m):
+    return m.select(
+        "match_id", F.lit("1.0").alias("schema_version"), F.format_string("v%d.mp4", "match_id").alias("video_path"), F.format_string("runs/%d", "match_id").alias("output_dir"), F.lit("2024-01-01T10:00:00").alias("start_time"),
+        F.lit("2024-01-01T11:00:00").alias("end_time"), F.struct(F.struct(F.col("match_id").alias("n")).alias("sampling")).alias("config"), F.array(F.lit("detect"), F.lit("track")).alias("stages"))
+
+
+# ---- the exports of the report scripts, each with all its columns
+FRAME_CSV = "match_id long, frame_idx long, objects string, ts_s double, mean_confidence double"
+DET_CSV = "match_id long, frame_idx long, timestamp double, det_idx long, object_type string, class_id int, confidence double, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double"
+for _name, _where, _pick in (("balls", "object_type = 'ball'", boxes.balls), ("first_minute", "ts_s <= 60", boxes.time_slice)):
+    _file(f"A11_export_{_name}_csv", f"SELECT match_id, frame_idx, r(ts_s) AS timestamp, i(slot) AS det_idx, object_type, i(class_id) AS class_id, r(confidence) AS confidence, r(x1) AS bbox_0, r(y1) AS bbox_1, r(x2) AS bbox_2, r(y2) AS bbox_3 FROM fx_det WHERE {_where}", ("fx_det",),
+          lambda at, d, pick=_pick: io.export_csv(_as_detections(pick(d)), at), lambda s, at: _csv(s, at, DET_CSV))
+_file("A11_export_frame_summary_csv", "SELECT match_id, frame_idx, count(*) FILTER (object_type = 'player') || ' players, ' || count(*) FILTER (object_type = 'ball') || ' balls' AS object_type, r(min(ts_s)) AS timestamp, r(avg(confidence)) AS confidence FROM fx_det GROUP BY match_id, frame_idx", ("fx_det",),
+      lambda at, d: io.export_csv(reports.frame_summary(d), at), lambda s, at: _csv(s, at, FRAME_CSV).toDF("match_id", "frame_idx", "object_type", "timestamp", "confidence"))
+TRK_CSV = "match_id long, track_id long, frame_idx long, timestamp double, object_type string, confidence double, age long, hits long, time_since_update long, team_id int, team_name string, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double"
+for _name, _where, _pick in (("tracks", "true", lambda t: t), ("ball_tracks", "object_type = 'ball'", boxes.balls)):
+    _file(f"A12_export_{_name}_csv", f"SELECT match_id, track_id, frame_idx, r(ts_s) AS timestamp, object_type, r(confidence) AS confidence, i(age) AS age, i(hits) AS hits, i(time_since_update) AS time_since_update, i(team_id) AS team_id, team_name, r(x1) AS bbox_0, r(y1) AS bbox_1, r(x2) AS bbox_2, r(y2) AS bbox_3 FROM fx_trk WHERE {_where}", ("fx_trk",),
+          lambda at, t, pick=_pick: io.export_csv(io.packed(pick(t)), at), lambda s, at: _csv(s, at, TRK_CSV))
+_file("A12_export_track_summary_csv", """SELECT match_id, track_id, any_value(object_type) AS object_type_first, min(frame_idx) AS frame_idx_min, max(frame_idx) AS frame_idx_max, i(count(*)) AS frame_idx_count, r(min(ts_s)) AS timestamp_min, r(max(ts_s)) AS timestamp_max,
+r(avg(confidence)) AS confidence_mean, i(max(hits)) AS hits_max, i(max(age)) AS age_max FROM fx_trk GROUP BY match_id, track_id""", ("fx_trk",), lambda at, t: io.export_csv(reports.track_summary(t), at),
+      lambda s, at: _csv(s, at, "match_id long, track_id long, object_type_first string, frame_idx_min long, frame_idx_max long, frame_idx_count long, timestamp_min double, timestamp_max double, confidence_mean double, hits_max long, age_max long"))
+_file("A12_export_trajectories_csv", "SELECT match_id, track_id, frame_idx, r(ts_s) AS ts_s, r((x1 + x2) / 2) AS cx, r((y1 + y2) / 2) AS cy FROM fx_trk WHERE object_type = 'player'", ("fx_trk",),
+      lambda at, t: io.export_csv(boxes.player_centers(t).select("match_id", "track_id", "frame_idx", "ts_s", "cx", "cy"), at), lambda s, at: _csv(s, at, "match_id long, track_id long, frame_idx long, ts_s double, cx double, cy double"))
+_file("A13_export_by_team", "SELECT match_id, track_id, frame_idx, team_name, r(x1) AS bbox_0, r(y2) AS bbox_3 FROM fx_trk WHERE team_name <> 'unknown'", ("fx_trk",), lambda at, t: io.export_by_team(io.packed(t), at),
+      lambda s, at: s.read.option("header", True).csv(at).select(*[F.col(c).cast("long").alias(c) for c in ("match_id", "track_id", "frame_idx")], "team_name", *[F.col(c).cast("double").alias(c) for c in ("bbox_0", "bbox_3")]))
+EVT_CSV = "match_id long, event_type string, frame_idx long, ts_s double, confidence double, region string, speed double"
+for _name, _where in (("shots", "event_type = 'shot'"), ("goals", "event_type = 'goal'"), ("events", "true")):
+    _file(f"A14_export_{_name}_csv", f"SELECT match_id, event_type, frame_idx, r(ts_s) AS ts_s, r(confidence) AS confidence, region, r(speed) AS speed FROM fx_evt WHERE {_where}", ("fx_evt",),
+          lambda at, e, kind=_name[:-1]: io.export_csv(e if kind == "event" else boxes.events_of(e, kind), at), lambda s, at: _csv(s, at, EVT_CSV))
+_file("A14_export_event_timeline_csv", "SELECT match_id, event_type, frame_idx, r(ts_s) AS ts_s, r(confidence) AS confidence FROM fx_evt", ("fx_evt",), lambda at, e: io.export_csv(reports.event_timeline(e), at),
+      lambda s, at: _csv(s, at, "match_id long, event_type string, frame_idx long, ts_s double, confidence double"))
+
+
+# ---- runs
+def _write_runs(at, e, m):
+    """Runs a and b: a has events, metadata, a manifest and a timeline, b has metadata alone. Spark's part files stand in folders of the files' names."""
+    io.write_events(_as_events(e), f"{at}/a/events.jsonl")
+    one = m.agg(F.max("fps").alias("fps"), F.max("total_frames").alias("total_frames"), F.max("width").alias("width"), F.max("height").alias("height"), F.max("duration").alias("duration"), F.lit("avc1").alias("codec"))
+    as_text = lambda d: d.select(F.to_json(F.struct("*"), {"pretty": "true"}))
+    for run in "ab":
+        as_text(one).write.text(f"{at}/{run}/video_metadata.json")
+    as_text(_manifests(m.agg(F.min("match_id").alias("match_id"))).drop("match_id")).write.text(f"{at}/a/run_manifest.json")
+    as_text(m.agg(F.count(F.lit(1)).alias("goals"))).write.text(f"{at}/a/score_timeline.json")
+
+
+_RUN_META_SQL = "(SELECT r(max(fps)) AS fps, i(max(width)) AS width, i(max(height)) AS height, r(max(duration)) AS duration FROM fx_match)"
+_file("A15_list_runs", f"""SELECT run, run = 'a' AS has_events, run = 'a' AS has_timeline, run = 'a' AS has_manifest, fps, duration, width, height, i(CASE WHEN run = 'a' THEN s ELSE 0 END) AS n_shot, i(CASE WHEN run = 'a' THEN g ELSE 0 END) AS n_goal, i(0) AS n_other
+FROM (VALUES ('a'), ('b')) v(run), {_RUN_META_SQL} m, (SELECT count(*) FILTER (event_type = 'shot') AS s, count(*) FILTER (event_type = 'goal') AS g FROM fx_evt) e""", ("fx_evt", "fx_match"), _write_runs, runs.list_runs)
+_file("A16_run_metadata", f"""SELECT run, fps, width, duration, CASE WHEN run = 'a' THEN 'v' || (SELECT min(match_id) FROM fx_match) || '.mp4' END AS video_path, CASE WHEN run = 'a' THEN '1.0' END AS schema_version, false AS has_teams
+FROM (VALUES ('a'), ('b')) v(run), {_RUN_META_SQL} m""", ("fx_evt", "fx_match"), _write_runs,
+      lambda s, at: runs.run_metadata(s, at, "a").unionByName(runs.run_metadata(s, at, "b")).select("run", "video_metadata.fps", "video_metadata.width", "video_metadata.duration", "manifest.video_path", "manifest.schema_version", F.col("teams").isNotNull().alias("has_teams")))
+_file("A17_run_events", "SELECT match_id, event_type, frame_idx, i(count(*) OVER ()) AS n_events FROM fx_evt", ("fx_evt", "fx_match"), _write_runs, lambda s, at: runs.run_events(s, at, "a").select("match_id", "event_type", "frame_idx", "n_events"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +15,24 @@ MATCHES = "match_id BIGINT, fps DOUBLE, total_frames BIGINT, width INT, height I
 TEAMS = "match_id BIGINT, n_teams INT, team_colors MAP<STRING, ARRAY<DOUBLE>>, team_names MAP<STRING, STRING>, track_assignments MAP<STRING, STRING>"
 SCORES = "match_id BIGINT, goals BIGINT, final_score STRUCT<team_a: BIGINT, team_b: BIGINT>, timeline ARRAY<STRUCT<timestamp: DOUBLE, frame_idx: BIGINT, score: STRUCT<team_a: BIGINT, team_b: BIGINT>, confidence: DOUBLE, goal_region: STRING>>"
 
+MANIFEST = "match_id BIGINT, schema_version STRING, video_path STRING, output_dir STRING, start_time STRING, end_time STRING, config STRING, stages ARRAY<STRING>"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only in local mode, where a session may name none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="trackframe-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="trackframe-")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: it is computed once, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -79,16 +93,27 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("match_id", "event_type", "frame_idx", F.col("timestamp").alias("ts_s"), "confidence", F.get("location", 0).alias("x"), F.get("location", 1).alias("y"), "metadata.*")
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """An indented document per match, each in its match's folder: path/match_id=<id>/."""
+    body = F.to_json(F.struct(*[c for c in docs.columns if c != "match_id"]), {"pretty": "true"})
+    docs.select("match_id", body.alias("value")).write.partitionBy("match_id").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A row per file, each one document, indented or not. match_id comes from the folder, else from the document, else it is null."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def write_score(timeline: DataFrame, path: str) -> None:
     """One document per match from `score_timeline`."""
     item = F.struct(F.col("ts_s").alias("timestamp"), "frame_idx", F.struct("team_a", "team_b").alias("score"), "confidence", "goal_region")
     docs = timeline.groupBy("match_id").agg(
         F.count(F.lit(1)).alias("goals"), F.struct(F.max("team_a").alias("team_a"), F.max("team_b").alias("team_b")).alias("final_score"), F.sort_array(F.collect_list(item)).alias("timeline"))
-    docs.write.json(path)
+    write_documents(docs, path)
 
 
 def read_score(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(SCORES).json(path).select("match_id", F.explode("timeline").alias("t"))
+    rows = read_documents(spark, path, SCORES).select("match_id", F.explode("timeline").alias("t"))
     return rows.select("match_id", F.col("t.timestamp").alias("ts_s"), "t.frame_idx", "t.score.team_a", "t.score.team_b", "t.confidence", "t.goal_region")
 
 
@@ -99,11 +124,11 @@ def write_teams(teams: DataFrame, track_teams: DataFrame, path: str) -> None:
         F.count(F.lit(1)).cast("int").alias("n_teams"), F.map_from_entries(F.collect_list(F.struct(key, F.array("b", "g", "r")))).alias("team_colors"),
         F.map_from_entries(F.collect_list(F.struct(key, "team_name"))).alias("team_names"))
     who = track_teams.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("track_id").cast("string"), key))).alias("track_assignments"))
-    docs.join(who, "match_id", "left").write.json(path)
+    write_documents(docs.join(who, "match_id", "left"), path)
 
 
 def read_teams(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    docs = spark.read.schema(TEAMS).json(path)
+    docs = read_documents(spark, path, TEAMS)
     names = docs.select("match_id", F.explode("team_names").alias("team_id", "team_name"), "team_colors")
     color = F.col("team_colors")[F.col("team_id")]
     teams = names.select("match_id", F.col("team_id").cast("int").alias("team_id"), "team_name", *[F.get(color, i).alias(c) for i, c in enumerate("bgr")])
@@ -112,8 +137,9 @@ def read_teams(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MATCHES).json(path)
+    return read_documents(spark, path, MATCHES)
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """config is the JSON text of the run's settings."""
+    return read_documents(spark, path, MANIFEST)

@@ -19,44 +19,47 @@ NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
 class LiveTracks(StatefulProcessor):
-    """State of a match: tick, tracks by type, detections that wait."""
+    """State of a match: tick and tracks by type, and per time the detections that wait, each time with its own timer."""
 
     def __init__(self, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3):
         self.rules = (thresh, buffer, min_iou, min_hits)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("live", "state binary")
-
-    def _load(self) -> tuple:
-        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else (0, {}, [])  # noqa: S301
+        self.live = handle.getValueState("live", "state binary")
+        self.waiting = handle.getMapState("waiting", "ms long", "found binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
-        tick, tracks, waiting = self._load()
+        new: dict[int, list] = {}
         for pdf in rows:
-            waiting += [(int(r.event_time.timestamp() * 1000), int(r.frame_idx), int(r.slot), r.object_type, (r.x1, r.y1, r.x2, r.y2), float(r.confidence)) for r in pdf.itertuples()]
-        self.state.update((pickle.dumps((tick, tracks, waiting)),))
-        if waiting:
-            self.handle.registerTimer(max(w[0] for w in waiting) + 1)
+            for r in pdf.itertuples():
+                new.setdefault(int(r.event_time.timestamp() * 1000), []).append((int(r.frame_idx), int(r.slot), r.object_type, (r.x1, r.y1, r.x2, r.y2), float(r.confidence)))
+        for ms, found in new.items():
+            if self.waiting.containsKey((ms,)):
+                found = pickle.loads(bytes(self.waiting.getValue((ms,))[0])) + found  # noqa: S301
+            self.waiting.updateValue((ms,), (pickle.dumps(found),))
+            self.handle.registerTimer(ms + 1)
         yield pd.DataFrame(columns=NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
-        tick, tracks, waiting = self._load()
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        ready = sorted(w for w in waiting if w[0] < until)
+        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        ready = pickle.loads(bytes(self.waiting.getValue((ms,))[0])) if self.waiting.containsKey((ms,)) else []  # noqa: S301
+        tick, tracks = pickle.loads(bytes(self.live.get()[0])) if self.live.exists() else (0, {})  # noqa: S301
         out = []
-        for frame in sorted({w[1] for w in ready}):
+        for frame in sorted({w[0] for w in ready}):
             tick += 1
-            here = [w for w in ready if w[1] == frame]
-            for kind in sorted({w[3] for w in here} | set(tracks)):
-                found = [(w[2], w[4], w[5]) for w in here if w[3] == kind]
+            here = sorted((w for w in ready if w[0] == frame), key=lambda w: w[1])
+            for kind in sorted({w[2] for w in here} | set(tracks)):
+                found = [(w[1], w[3], w[4]) for w in here if w[2] == kind]
                 tracks[kind] = T.advance(tracks.get(kind, []), tick, found, *self.rules)
                 out += [(key[0], frame, kind, *t.born, *t.box, t.confidence, t.age, t.hits, t.missed) for t in tracks[kind] if t.confirmed]
-        self.state.update((pickle.dumps((tick, tracks, [w for w in waiting if w[0] >= until])),))
+        self.live.update((pickle.dumps((tick, tracks)),))
+        if ready:
+            self.waiting.removeKey((ms,))
         yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
