@@ -140,25 +140,20 @@ def mixed_rows(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     sizes = base.saved(_sizes(docs), "mix-sizes")
     placed = _placed(sizes, share, cap, weights, schedules).withColumn("passes", _passes()).filter("passes > 0")
     # Of rows with the same id and text each is placed by itself; numbering both sides pairs them one to one.
-    same = ["doc_id", "source", "tie"]
-    plan = placed.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy("before"))).select(
-        *[F.col(c).alias(f"mix_{c}") for c in [*same, "nth"]],
+    own, key, no, at = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), ["doc_id", "source", "tie"], "nth", "positions"
+    plan = placed.withColumn(no, F.row_number().over(W.partitionBy(*key).orderBy("before"))).select(
+        *key, no,
         F.transform(
             F.sequence(F.lit(0), F.col("passes") - 1),
             lambda p: position(F.least(F.lit(1.0), (F.col("before") + p * F.col("source_size")) / F.col("target")), F.col("rank"), schedules),
-        ).alias("mix_positions"),
+        ).alias(at),
     )
-    own = docs.columns
-    rows = docs.withColumn("mix_hash", F.xxhash64("text")).withColumn(
-        "mix_no", F.row_number().over(W.partitionBy("doc_id", "source", "mix_hash").orderBy("doc_id"))
-    )
-    joined = rows.join(
-        plan.hint("merge"),
-        F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
-        & (F.col("mix_hash") == F.col("mix_tie")) & (F.col("mix_no") == F.col("mix_nth")),
-    )
-    taken = joined.select(*own, F.explode("mix_positions").alias("mix_position"))
-    return taken.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*own)
+    # The caller's columns are one struct, so that no name of theirs meets one of these.
+    rows = docs.select(own.alias("row"), *(F.col(c).alias(f"row_{c}") for c in key[:2]), F.xxhash64("text").alias("row_tie"))
+    rows = rows.withColumn("row_nth", F.row_number().over(W.partitionBy("row_doc_id", "row_source", "row_tie").orderBy("row_doc_id")))
+    met = [F.col(f"row_{c}").eqNullSafe(F.col(c)) for c in key[:2]] + [F.col(f"row_{c}") == F.col(c) for c in ("tie", no)]
+    taken = rows.join(plan.hint("merge"), met).select("row", F.explode(at).alias("position"))
+    return taken.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,6 +403,7 @@ def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
     # Classes so far are stars already: with the links between them, few steps are left.
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("hub", "node"))
     roots = components(edges, work)
+    roots = base.saved(roots, "roots", work)
     members = sketched.select("doc_id", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     out = base.saved(members, "neardup-members")
     base.remove(spark, work)
@@ -412,8 +413,8 @@ def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the lowest id of its class), class_rows; one row per row of docs."""
     members = _members(docs, least)
-    # Sums per root are map-side combined; the join is on the root, whose hot side AQE can split.
-    named = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
+    # Sums per root are map-side combined and written; the join is of two plain shuffles, whose hot side AQE can split.
+    named = base.saved(members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")), "neardup-classes")
     return members.join(named.hint("merge"), "root").select("doc_id", "class_id", "class_rows")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from . import base
 
 N_SLOTS = 4096
+#: The map is edited when a shard has more than so many times its part of the bytes.
+UNEVEN = 1.001
 MAP_SCHEMA = "version int, vslot int, shard int"
 
 
@@ -75,6 +78,35 @@ def store_map(spark: SparkSession, mapping: dict[int, int], path: str, version:
     return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version)
 
 
+def load_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """(version, map) of the newest version at path; version 0 and nothing where there is none."""
+    try:
+        stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+    except AnalysisException:
+        return 0, {}
+    newest = stored.agg(F.max("version")).first()[0] or 0
+    return newest, {r.vslot: r.shard for r in stored.filter(F.col("version") == newest).collect()}
+
+
+def current_map(spark: SparkSession, path: str, weights: dict[int, int], n_shards: int, n_slots: int = N_SLOTS, uneven: float = UNEVEN) -> DataFrame:
+    """The map in force: the newest version, edited and stored as the next one where it does not fit n_shards or the bytes any more.
+
+    The very first version is dealt before anything is known of the bytes; it is edited at once where they ask for it.
+    """
+    version, mapping = load_map(spark, path)
+    if not version:
+        version, mapping = 1, first_map({}, n_shards, n_slots)
+        store_map(spark, mapping, path, version)
+    loads = dict.fromkeys(range(n_shards), 0)
+    for v, w in weights.items():
+        loads[mapping[v]] = loads.get(mapping[v], 0) + w
+    if len(loads) > n_shards or set(mapping.values()) != set(range(n_shards)) or max(loads.values()) > uneven * sum(loads.values()) / n_shards:
+        edited = rebalanced(mapping, weights, n_shards)
+        if edited != mapping:
+            return store_map(spark, edited, path, version + 1)
+    return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version)
+
+
 def weights_of(records: DataFrame) -> dict[int, int]:
     """Bytes per slot on the driver: n_slots numbers, whatever the number of records."""
     return {r.vslot: r.n_bytes for r in slot_stats(records).collect()}
@@ -91,14 +123,16 @@ def _records(docs: DataFrame, n_slots: int) -> DataFrame:
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard and slot, the row's place in its shard (0, 1, ... without gaps).
 
+    map_path: where the versions of the slot map are kept. A later call goes on from the newest one and edits it.
+
     Text is dropped at the scan. Rows are numbered within their virtual slot; the rows of the shard's slots before it
     come from the table of slot counts, so that no task sees a whole shard.
     """
     spark = docs.sparkSession
     records = base.saved(_records(docs, n_slots), "shard-records")
     stats = {r.vslot: r for r in slot_stats(records).collect()}
-    mapping = first_map({v: r.n_bytes for v, r in stats.items()}, n_shards, n_slots)
-    current = store_map(spark, mapping, map_path or base.scratch(spark, "slot-map"), 1)
+    weights = {v: r.n_bytes for v, r in stats.items()}
+    current = current_map(spark, map_path or base.scratch(spark, "slot-map"), weights, n_shards, n_slots)
     count = spark.createDataFrame([(v, r.n_rows) for v, r in stats.items()], "vslot int, n_rows long")
     ahead = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
     placed = current.join(F.broadcast(count), "vslot").withColumn("first", F.coalesce(F.sum("n_rows").over(ahead), F.lit(0))).drop("version", "n_rows")
@@ -109,12 +143,13 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path:
     )
 
 
-def write_shards(docs: DataFrame, mapping: DataFrame, path: str, n_slots: int = N_SLOTS) -> None:
-    """Writes docs partitioned by shard (mapping: vslot, shard; n_slots rows). Each shard's files come from many tasks."""
-    own = docs.columns
-    slotted = docs.withColumn("shard_vslot", vslot_of(F.col("doc_id"), F.col("text"), n_slots))
-    placed = slotted.join(F.broadcast(mapping.select(F.col("vslot").alias("shard_vslot"), F.col("shard").alias("shard_no"))), "shard_vslot")
-    placed.repartition("shard_no", "shard_vslot").select(*own, "shard_no").write.partitionBy("shard_no").parquet(path)
+def write_shards(docs: DataFrame, mapping: DataFrame, path: str, n_slots: int = N_SLOTS) -> str:
+    """Writes docs partitioned by shard (mapping: vslot, shard; n_slots rows) and returns the name of that column. Each shard's files come from many tasks."""
+    slot, shard_no = base.free(docs.columns, "vslot"), base.free(docs.columns, "shard_no")
+    slotted = docs.withColumn(slot, vslot_of(F.col("doc_id"), F.col("text"), n_slots))
+    placed = slotted.join(F.broadcast(mapping.select(F.col("vslot").alias(slot), F.col("shard").alias(shard_no))), slot)
+    placed.repartition(shard_no, slot).drop(slot).write.partitionBy(shard_no).parquet(path)
+    return shard_no
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
