@@ -286,6 +286,31 @@ def test_secrets_match_plain_regexes(docs):
         assert got[i] == plain_secrets(t), t
 
 
+def test_added_rules_match_a_full_scan(docs):
+    """Every rule with an index gives what its regex gives on whole texts, also where a text has thousands of matches."""
+    r = random.Random(15)
+    parts = ["-----BEGIN ", "RSA ", "OPENSSH ", "PRIVATE KEY-----", "ghp_", "gho_", "xoxb-", "AIza", "sk_live_", "eyJ", ".", "A1b2C3d4E5F6a7B8c9", "0123456789abcdefXY", "-", "_", " ", "é", "\n"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 20))), "a") for i in range(600)]
+    rows += [(1000, "ghp_" + "a" * 36 + " xoxb-0123456789 AIza" + "b" * 35 + " sk_live_" + "c" * 16 + " eyJ" + "d" * 9 + ".eyJ" + "e" * 9 + "." + "f" * 9, "a"), (1001, "AKIA" + "Z" * 17 + " x " + "secret=abcdefgh " * 3000, "a")]
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in secrets.scan(docs(rows)).collect()}
+    for i, t, _ in rows:
+        want = [(m.start(), n, m.end()) for n, rule in enumerate(rules) for m in re.finditer(rule.regex, t, re.ASCII) if len(m[rule.group]) >= rule.least]
+        assert got[i] == sorted(want), t[:200]
+    assert {n for s in got.values() for _, n, _ in s} == set(range(len(rules)))
+
+
+def test_lists_are_read_by_trigram(spark, docs):
+    d = docs([(1, "xabcx bcd", "a"), (2, "ABC", "a"), (3, "bcd", "a"), (3, "bcd", "a")])
+    path = base.scratch(spark, "index")
+    secrets.write_index(d.select("doc_id", "text", secrets.text_key().alias("text_key")), ["abc", "bcd"], path)
+    assert secrets.read_lists(spark, path, ["abc"]).count() == 2
+    assert "PartitionFilters: [isnotnull(list" in secrets.read_lists(spark, path, ["abc"])._jdf.queryExecution().toString()
+    f = frozenset
+    found = secrets.candidates(spark, path, {"both": (f({f({"abc", "bcd"})}),), "either": (f({f({"abc"}), f({"bcd"})}),)}).collect()
+    assert sorted((r.both, r.either) for r in found) == [(False, True), (False, True), (True, True)]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query(r"(?i:foo|quux)[0-9]+bar?z")
     assert frozenset({frozenset({"foo"}), frozenset({"quu", "uux"})}) in q
@@ -339,22 +364,55 @@ def test_quality_rules_hold_on_other_rows(spark, docs):
 
 
 def test_leaks_are_found_with_substitutions(spark, docs):
-    items = [(i, prose(100 + i, 15 + i)) for i in range(30)] + [(99, None), (98, ""), (97, "one two"), (96, "Six words, not one more: here")]
+    items = [(i, prose(100 + i, 15 + i)) for i in range(30)] + [(99, None), (98, ""), (97, "one two"), (95, "One, two."), (96, "Six words, not one more: here")]
     r, rows = random.Random(6), []
     for i in range(30):
         w = items[i][1].split()
         w = [x if r.random() > 0.1 else "zz" for x in w]
         rows.append((i, f"{prose(i, 60)} {' '.join(w).upper()}! {prose(500 + i, 60)}", "a"))
-    rows += [(1000 + i, prose(2000 + i, 200), "a") for i in range(30)] + [(50, None, "a"), (51, "", "a"), (52, "six words not one more here", "a")]
+    rows += [(1000 + i, prose(2000 + i, 200), "a") for i in range(30)] + [(50, None, "a"), (51, "", "a"), (52, "six words not one more here", "a"), (53, "ONE two!", "a"), (54, "one two three", "a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (decontamination.BLOCK_WORDS, 200):
         got = {(x.doc_id, x.item_id) for x in decontamination.overlaps(docs(rows), bench, block_words=block).collect()}
-        assert got == {(i, i) for i in range(30)} | {(52, 96)}
+        assert got == {(i, i) for i in range(30)} | {(52, 96), (53, 97), (53, 95)}
     kept = {x.doc_id for x in decontamination.clean_rows(docs(rows), bench).collect()}
-    assert kept == {i for i, _, _ in rows} - set(range(30)) - {52}
+    assert kept == {i for i, _, _ in rows} - set(range(30)) - {52, 53}
     assert decontamination.overlaps(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_match_brute_force(docs):
+    """All offsets of all items against all texts, by the rule that the module states."""
+    words = re.compile(r"[^\W_]+")
+
+    def overlap(x, item):
+        for o in range(1 - len(item), len(x)):
+            lo, hi = max(0, -o), min(len(item), len(x) - o)
+            same = [x[o + i] == item[i] for i in range(lo, hi)]
+            if sum(same) >= 0.6 * len(item) - 1e-9:
+                return True
+            for i in range(len(same)):
+                for j in range(i + 13, len(same) + 1):
+                    if sum(same[i:j]) >= 0.8 * (j - i) - 1e-9:
+                        return True
+        return False
+
+    r = random.Random(21)
+    few = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
+    items = [(i, " ".join(r.choice(few) if r.random() < 0.3 else f"{r.choice(WORDS)}{r.randint(0, 9)}" for _ in range(r.randint(6, 40)))) for i in range(40)]
+    rows = []
+    for d in range(120):
+        w = prose(9000 + d, r.randint(0, 40)).split()
+        src = items[r.randrange(40)][1].split()
+        a, b = sorted(r.sample(range(len(src) + 1), 2))
+        part = [x if r.random() > 0.25 * (d % 3) / 2 else "zz" for x in src[a:b]]
+        rows.append((d, " ".join([*w, *part, *prose(d, r.randint(0, 20)).split()]), "a"))
+    bench = docs(rows).sparkSession.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t, _ in rows for i, item in items if overlap(words.findall(t.lower()), words.findall(item.lower()))}
+    got = {(x.doc_id, x.item_id) for x in decontamination.overlaps(docs(rows), bench).collect()}
+    assert got == want
+    assert 20 < len(want) < 120
+
+
 def brute_classes(rows):
     sets = {}
     for i, t, _ in rows:

@@ -10,12 +10,13 @@ Whatever is verified has a hit, at any places of substitutions. An item of n wor
 adjacent words more than words may differ, so one group at least is whole. A stretch of 13 words or more, four in five of
 them equal, has four equal words in a row, or else is three, one other, three, and so on (15 words): MASKS has both.
 
-Words are runs of letters and digits in lower case. The benchmark goes to the tasks in blocks of a fixed number of
-words, one pass over the texts for each block, so what is broadcast does not grow with it.
+Words are runs of letters and digits in lower case. Test hashes go to the tasks in blocks of a fixed number of words
+(equal items once), one pass over the texts for each block; the driver holds one block at a time, and a block's result is
+written before the next is made. So what is sent is bounded, and the number of passes grows with the benchmark.
 
-Defined cases: null and empty texts and items overlap with nothing; items shorter than `min_words` are matched by
-nothing; null and repeated ids are reported as
-they are; empty tables give an empty result; extra columns are not read (`overlaps`) or pass through (`clean_rows`).
+Defined cases: null and empty texts and items overlap with nothing; an item shorter than `min_words` overlaps with texts
+of just its words alone; null and repeated ids are reported as they are, each; empty tables give an empty result; extra
+columns are not read (`overlaps`) or pass through (`clean_rows`).
 """
 
 from __future__ import annotations
@@ -39,15 +40,25 @@ SIMILAR = 0.6
 BLOCK_WORDS = 500_000
 #: Words laid side by side at once, so that memory does not follow the number of hits.
 PIECE = 1 << 20
-SCHEMA = "doc_id long, item_id long, overlap_words long, equal_words long, item_words long, start_word long"
+#: Letters and digits, as Spark counts them.
+LETTERS = r"[\p{L}\p{N}]+"
+FOUND = "doc_id long, text_key string, item_key string, overlap_words long, equal_words long, item_words long, start_word long"
 
 
 class Seeds:
     """Hashes of a block of items, and the matching of texts against them."""
 
-    def __init__(self, items: list[tuple[int | None, list[str]]], overlap: int = OVERLAP, masks: tuple = MASKS):
+    def __init__(self, items: list[tuple], overlap: int = OVERLAP, masks: tuple = MASKS, min_words: int = MIN_WORDS):
+        """items: (name, words)."""
         import numpy as np
 
+        #: Short items by their words: they are compared as a whole.
+        self.min_words = min_words
+        self.short: dict[tuple, list] = {}
+        for i, ws in items:
+            if 0 < len(ws) < min_words:
+                self.short.setdefault(tuple(ws), []).append(i)
+        items = [(i, ws) for i, ws in items if len(ws) >= min_words]
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
         number = lambda w: self.number.setdefault(w, len(self.number) + 1)
@@ -139,10 +150,11 @@ class Seeds:
         return np.concatenate([*out, np.empty(0, np.int64)])
 
     def overlaps(self, text: str):
-        """(item_id, words of the overlap, equal words, words of the item, first word) of every item's best overlap."""
+        """(name of the item, words of the overlap, equal words, words of the item, first word) of every item's best overlap."""
         import numpy as np
 
-        x, found = self.hits(WORD.findall(text.lower()))
+        words = WORD.findall(text.lower())
+        x, found = self.hits(words)
         best: dict[int, tuple] = {}
         for k, offset in found:
             item = self.items[k]
@@ -166,66 +178,82 @@ class Seeds:
                 one = (end - start, int(same[start:end].sum()), len(item), offset + lo + start)
                 if k not in best or one[:2] > best[k][:2]:
                     best[k] = one
-        return [(self.ids[k], *v) for k, v in best.items()]
+        out = [(self.ids[k], *v) for k, v in best.items()]
+        n = len(words)
+        return out + [(i, n, n, n, 0) for i in (self.short.get(tuple(words), ()) if n < self.min_words else ())]
 
 
-def _blocks(benchmark: DataFrame, block_words: int, min_words: int):
-    """Lists of (item_id, words) whose words are about block_words at most: hashes deal the items to blocks of known size."""
-    items = benchmark.select("item_id", base.text_of().alias("text")).withColumn("n", F.size(base.words_of(F.col("text"))))
-    total = items.agg(F.sum("n")).first()[0] or 0
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("item_key", F.md5(F.col("text").cast("binary")))
+
+
+def _blocks(items: DataFrame, block_words: int):
+    """Lists of (item_key, words) of about block_words words at most: hashes deal the items to blocks of known size. items: item_key, text."""
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(LETTERS)))).first()[0] or 0
     n = -(-total // block_words) if total > block_words else 1
     n = n + n // 4 if n > 1 else 1
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        some = [(r.item_id, WORD.findall(r.text.lower())) for r in part.select("item_id", "text").collect()]
-        if some := [x for x in some if len(x[1]) >= min_words]:
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_key"), F.lit(n)) == k)
+        if some := [(r.item_key, WORD.findall(r.text.lower())) for r in part.collect()]:
             yield some
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document and item that overlap: doc_id, item_id, overlap_words, equal_words, item_words, start_word (in words of the text)."""
+def _found(docs: DataFrame, items: DataFrame, overlap: int, min_words: int, block_words: int) -> DataFrame:
+    """A row per document and different item that overlap, with the keys of both texts; written."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL")
     out = None
-    for items in _blocks(benchmark, block_words, min_words):
-        one = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(Seeds(items, overlap))), SCHEMA)
+    for block in _blocks(items, block_words):
+        sent = spark.sparkContext.broadcast(Seeds(block, overlap, min_words=min_words))
+        one = base.saved(rows.mapInArrow(_matcher(sent), FOUND), "overlaps")
+        sent.destroy()
         out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    return spark.createDataFrame([], FOUND) if out is None else out
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Different items: item_key, text."""
+    return _keyed(benchmark.select("text").filter("text IS NOT NULL")).dropDuplicates(["item_key"])
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row per document and item that overlap: doc_id, item_id, overlap_words, equal_words, item_words, start_word (in words of the text)."""
+    found = _found(docs, _items(benchmark), overlap, min_words, block_words)
+    named = _keyed(benchmark.select("item_id", "text").filter("text IS NOT NULL")).select("item_id", "item_key")
+    return found.join(named.hint("merge"), "item_key").select("doc_id", "item_id", "overlap_words", "equal_words", "item_words", "start_word")
 
 
 def _matcher(sent):
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches):
+        import hashlib
+
         import pyarrow as pa
 
-        seeds, schema = sent.value, pa.schema([(n, pa.int64()) for n in names])
+        seeds, schema = sent.value, pa.schema([(n, pa.string() if n.endswith("key") else pa.int64()) for n in names])
         for b in batches:
-            rows = [(doc_id, *o) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for o in seeds.overlaps(text.as_py())]
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if hit := seeds.overlaps(t := text.as_py()):
+                    key = hashlib.md5(t.encode()).hexdigest()  # noqa: S324
+                    rows += [(doc_id, key, *o) for o in hit]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that overlap with no item, with the columns of docs: each row is judged where it is read."""
-    out = docs
-    for items in _blocks(benchmark, block_words, min_words):
-        sent = docs.sparkSession.sparkContext.broadcast(Seeds(items, overlap))
-        out = out.mapInArrow(_keeper(sent, docs.columns.index("text")), docs.schema)
-    return out
-
-
-def _keeper(sent, at: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            keep = [t is None or not sent.value.overlaps(t) for t in (x.as_py() for x in b.column(at))]
-            yield b.filter(pa.array(keep))
-
-    return run
+    """The rows of docs that overlap with no item, with the columns of docs."""
+    found = _found(docs, _items(benchmark), overlap, min_words, block_words)
+    # Whether a text leaks is the text's own property, so its digest is the key.
+    leaks = base.saved(found.select("text_key").distinct(), "leaks")
+    key = base.free(docs.columns, "text_key")
+    n = leaks.count()
+    keyed = docs.withColumn(key, F.md5(base.text_of().cast("binary")))
+    side = leaks.withColumnRenamed("text_key", key)
+    return keyed.join(F.broadcast(side) if n <= base.BROADCAST_ROWS // 2 else side.hint("shuffle_hash"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

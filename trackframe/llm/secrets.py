@@ -1,11 +1,12 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regex a Boolean trigram query is derived: what every match must contain, as an AND of ORs of trigram
-sets. The index has a posting (trigram, text) for every trigram that some query asks for, in lower case. Postings are
-intersected per text, and only texts that a rule's query lets through are verified with its regex. A rule whose regex
-has no mandatory trigram is matched against every text, in the same scan that makes the postings.
+sets. The index is a table of postings (trigram, text), stored by trigram: a query reads the lists of its own trigrams
+and no others. Lists are intersected by counting: a text is in the intersection of a set's lists if it is in all of
+them. Only texts that a rule's query lets through are verified with its regex. A rule whose regex has no mandatory
+trigram is matched against every text. The index holds the trigrams that some rule asks for, in lower case.
 
-A text is known in the index by a hash of its id and content; a collision can only add a text to verify.
+A text is known in the index by the digest of its id and content.
 
 Defined cases: a null text is the empty one; null ids and repeated rows get results like any other row; matches that
 fail a rule's check are dropped without a retry; an empty table gives an empty result; extra columns are not read.
@@ -47,6 +48,9 @@ MORE_RULES = (
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+#: Files of one list at most, and matches of a text folded at once.
+SPREAD = 32
+CHUNK = 256
 #: AND of ORs of trigram sets.
 Query = tuple[frozenset[frozenset[str]], ...]
 
@@ -111,28 +115,49 @@ def trigram_query(regex: str, most: int = 64) -> Query:
     return tuple(dict.fromkeys(clauses))
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), base.text_of()).cast("binary")))
+
+
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index over these trigrams: (trigram, text_key), each pair once. texts: text_key, text."""
+    """(trigram, text_key) for these trigrams, each pair once per row. texts: text_key, text."""
     lower = texts.select("text_key", base.once(F.lower("text")).alias("lower"))
     # Each of a text's trigrams once, before anything moves.
     return lower.select("text_key", F.explode(F.filter(F.lit(sorted(trigrams)), lambda t: F.contains(F.col("lower"), t))).alias("trigram"))
 
 
-def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """text_key and, per rule, whether the postings satisfy its query; only texts that satisfy one."""
-    per_text = index.groupBy("text_key").agg(F.collect_set("trigram").alias("has"))
+def write_index(texts: DataFrame, trigrams: list[str], path: str) -> None:
+    """The inverted index at path, a folder per trigram; a long list is in several files, as its texts hash."""
+    hexed = F.hex("trigram").alias("list")
+    spread = F.pmod(F.xxhash64("text_key"), F.lit(SPREAD))
+    postings(texts, trigrams).select("text_key", hexed).repartition("list", spread).write.partitionBy("list").parquet(path)
+
+
+def read_lists(spark: SparkSession, path: str, trigrams: list[str]) -> DataFrame:
+    """(list, text_key): the lists of these trigrams; the others are not opened."""
+    stored = spark.read.schema("text_key binary, list string").parquet(path)
+    return stored.filter(F.col("list").isin([_list_of(t) for t in trigrams]))
+
+
+def _list_of(trigram: str) -> str:
+    return trigram.encode().hex().upper()
 
-    def all_of(trigrams: frozenset[str]) -> Column:
-        wanted = sorted(trigrams)
-        return F.size(F.array_intersect("has", F.lit(wanted))) == len(wanted)
+
+def candidates(spark: SparkSession, path: str, queries: dict[str, Query]) -> DataFrame:
+    """text_key and, per rule, whether the lists satisfy its query; only texts that satisfy one."""
+    sets = sorted({s for q in queries.values() for clause in q for s in clause}, key=sorted)
+    asked = sorted({t for s in sets for t in s})
+    # By trigram, the sets that it belongs to: as many as the rules have, so it is a literal.
+    of = F.create_map(*[x for t in asked for x in (F.lit(_list_of(t)), F.lit([n for n, s in enumerate(sets) if t in s]))])
+    sizes = F.lit([len(s) for s in sets])
+    met = read_lists(spark, path, asked).distinct().select("text_key", F.explode(F.element_at(of, F.col("list"))).alias("set_no"))
+    whole = met.groupBy("text_key", "set_no").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.get(sizes, F.col("set_no")))
+    per_text = whole.groupBy("text_key").agg(F.collect_list("set_no").alias("sets"))
 
     def holds(query: Query) -> Column:
         out = F.lit(True)
         for clause in query:
-            one = F.lit(False)
-            for trigrams in sorted(clause, key=sorted):
-                one = one | all_of(trigrams)
-            out = out & one
+            out = out & F.arrays_overlap("sets", F.lit([n for n, s in enumerate(sets) if s in clause]))
         return out
 
     flags = per_text.select("text_key", *[holds(q).alias(kind) for kind, q in queries.items()])
@@ -152,24 +177,27 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     pieces, found = _matches(text, rule)
     steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(p.alias("p"), m["n"].alias("n"), m["c"].alias("c")))
     none = F.array().cast("array<struct<start:int,number:int,end:int>>")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["p"] + x["n"]).alias("at"),
-            F.when(
-                x["c"] >= rule.least,
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["p"]).alias("start"), F.lit(number).alias("number"), (a["at"] + x["p"] + x["n"]).alias("end")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def step(a: Column, x: Column) -> Column:
+        start, end = a["at"] + x["p"], a["at"] + x["p"] + x["n"]
+        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["c"] >= rule.least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    def chunk(a: Column, first: Column) -> Column:
+        """Matches are folded in chunks, so that what is appended to stays short."""
+        done = F.aggregate(F.slice(steps, first, F.lit(CHUNK)), F.struct(a["at"].alias("at"), none.alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(a["out"], F.array(done["out"])).alias("out"))
+
+    lists = F.array().cast("array<array<struct<start:int,number:int,end:int>>>")
+    firsts = F.filter(F.sequence(F.lit(1), F.size(found) + 1, F.lit(CHUNK)), lambda i: i <= F.size(found))
+    folded = F.aggregate(firsts, F.struct(F.lit(0).alias("at"), lists.alias("out")), chunk, lambda a: F.flatten(a["out"]))
     return F.when(F.regexp_like(text, F.lit(rule.regex)), folded).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
     """doc_id and `spans`, an array of (start, number, end) sorted by start, then rule; one row per row of docs."""
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"), base.text_of().alias("text"))
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", text_key().alias("text_key"), base.text_of().alias("text"))
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = [(i, r) for i, r in enumerate(rules) if queries[r.kind]]
     full = [(i, r) for i, r in enumerate(rules) if not queries[r.kind]]
@@ -178,7 +206,9 @@ def scan(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
     scanned = texts.select("doc_id", "text_key", F.concat(none, *[spans_of(F.col("text"), r, i) for i, r in full]).alias("full"))
     if not indexed:
         return scanned.select("doc_id", F.sort_array("full").alias("spans"))
-    some = base.saved(candidates(postings(texts, asked), {r.kind: queries[r.kind] for _, r in indexed}), "secret-candidates")
+    path = base.scratch(spark, "trigram-index")
+    write_index(texts, asked, path)
+    some = base.saved(candidates(spark, path, {r.kind: queries[r.kind] for _, r in indexed}), "secret-candidates")
     n = some.count()
     # The keys of candidate texts are broadcast while they are few; otherwise texts and keys are shuffled.
     hits = base.semi(texts.select("text_key", "text"), some.select("text_key"), ["text_key"], n).dropDuplicates(["text_key"])
