@@ -1,4 +1,11 @@
-"""A training corpus from `documents`: quality rules, near-duplicates, benchmark leaks, mixing, sharding."""
+"""A training corpus from `documents`: quality rules, near-duplicates, benchmark leaks, mixing, sharding.
+
+Defined cases, in every stage: a null text is the empty one, which the quality rules reject (fewer than 50 words), as
+they do any short one; null ids are ids like others, and rows with a null id and different texts are different rows; rows
+repeated with the same id and text are one after the near-duplicates; a null source is a source of its own; an empty
+table gives an empty result; columns beyond those that a stage reads pass through whatever their names are, up to the
+mix; a label or an item without an id or a text counts for nothing.
+"""
 
 from __future__ import annotations
 
