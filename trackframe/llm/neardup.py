@@ -43,13 +43,17 @@ PIECE = 1 << 16
 PAIRS_PER_COPY = 256
 
 
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
+
+
 class Words(dict):
-    """Hashes of words; forgets when it has grown."""
+    """Hashes of words; forgets when it has grown, and when a task ends (`_forgetful`)."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -58,6 +62,18 @@ class Words(dict):
 _words = Words()
 
 
+def _forgetful(run):
+    """run, which leaves no words behind in its worker."""
+
+    def both(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _words.clear()
+
+    return both
+
+
 def _mix(h):
     import numpy as np
 
@@ -298,7 +314,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, wo
     )
     with_node = salted.select("hub", "copy", "node").join(texts.hint("merge"), "node")
     both = with_node.join(hub_texts.hint("merge"), ["hub", "copy"]).select("hub", "node", "hub_text", "text")
-    return base.saved(both.mapInArrow(_verify(least), "hub binary, node binary"), "links", work)
+    return base.saved(both.mapInArrow(_forgetful(_verify(least)), "hub binary, node binary"), "links", work)
 
 
 def components(links: DataFrame, work: str | None = None) -> DataFrame:
@@ -356,11 +372,11 @@ def _crowded_pairs(docs: DataFrame, nodes: DataFrame, open_: DataFrame, few: int
     if crowded.isEmpty():
         return None
     texts = _texts(docs, nodes, crowded.select("node"), work)
-    rows = texts.select("text").mapInArrow(_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("text").mapInArrow(_forgetful(_counts), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     # COUNTERS numbers, whatever the number of texts.
     counts = np_counts(rows.column(0).to_numpy(), rows.column(1).to_numpy())
     sent = docs.sparkSession.sparkContext.broadcast(counts)
-    keys = base.saved(texts.select("node", "text").mapInArrow(_prefixes(sent, least), "node binary, keys array<long>, places array<long>"), "prefixes", work)
+    keys = base.saved(texts.select("node", "text").mapInArrow(_forgetful(_prefixes(sent, least)), "node binary, keys array<long>, places array<long>"), "prefixes", work)
     split = keys.join(crowded.select("node", "root").hint("merge"), "node").select("node", "root", F.explode(F.arrays_zip("keys", "places")).alias("x"))
     split = split.select("node", "root", F.col("x.keys").alias("bucket"), F.col("x.places").alias("place"))
     mixed = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
@@ -389,7 +405,7 @@ def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
     """(doc_id, node, root) of every row of docs, written; all that was written on the way is removed."""
     spark = docs.sparkSession
     work = base.scratch(spark, "neardup")
-    sketched = base.saved(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, node binary, keys array<long>, kmers long, bits array<long>"), "sketches", work)
+    sketched = base.saved(docs.select("doc_id", "text").mapInArrow(_forgetful(_sketch), "doc_id long, node binary, keys array<long>, kmers long, bits array<long>"), "sketches", work)
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("any_id"), F.first("keys").alias("keys"), F.first("kmers").alias("kmers"), F.first("bits").alias("bits"))
     nodes = base.saved(nodes, "nodes", work)
     entries = _entries(nodes, work)
