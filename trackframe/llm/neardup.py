@@ -282,10 +282,12 @@ def _entries(nodes: DataFrame, work: str) -> DataFrame:
     return base.saved(shared.select("bucket", "node").join(near.hint("merge"), "node"), "entries", work)
 
 
-def _star_pairs(entries: DataFrame, least: float) -> DataFrame:
+def _star_pairs(entries: DataFrame, least: float, work: str) -> DataFrame:
     """(hub, node): the nodes of a bucket beside one hub, for one half of the buckets the node that meets most others, for the rest any node."""
     rank = F.struct(F.when(F.col("bucket") % 2 == 0, -F.col("near")).otherwise(0), F.xxhash64("node", "bucket"), "node", "kmers", "bits")
     hubs = entries.groupBy("bucket").agg(F.min(rank).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.kmers").alias("hub_kmers"), F.col("hub.bits").alias("hub_bits"))
+    # Written, so that the join is of two plain shuffles, of which a hot bucket's can be split.
+    hubs = base.saved(hubs, "hubs", work)
     pairs = entries.join(hubs.hint("merge"), "bucket").filter((F.col("node") != F.col("hub")) & _may_be_similar(least))
     return pairs.select("hub", "node").distinct()
 
@@ -350,7 +352,8 @@ def _open(entries: DataFrame, roots: DataFrame, work: str) -> DataFrame:
     rooted = base.saved(entries.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", work)
     per_class = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     most = per_class.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    return base.saved(rooted.join(most.select("bucket", F.col("most.root").alias("largest"), "others").hint("merge"), "bucket"), "open", work)
+    most = base.saved(most.select("bucket", F.col("most.root").alias("largest"), "others"), "most", work)
+    return base.saved(rooted.join(most.hint("merge"), "bucket"), "open", work)
 
 
 def _few_pairs(open_: DataFrame, few: int, least: float) -> DataFrame:
@@ -409,7 +412,7 @@ def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("any_id"), F.first("keys").alias("keys"), F.first("kmers").alias("kmers"), F.first("bits").alias("bits"))
     nodes = base.saved(nodes, "nodes", work)
     entries = _entries(nodes, work)
-    links = _links(docs, nodes, _star_pairs(entries, least), least, work)
+    links = _links(docs, nodes, _star_pairs(entries, least, work), least, work)
     roots = components(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), work)
     open_ = _open(entries, roots, work)
     pairs = _few_pairs(open_, few, least)
