@@ -276,7 +276,8 @@ def _as_hub(*columns: str) -> list[Column]:
 def _entries(nodes: DataFrame, work: str) -> DataFrame:
     """(bucket, node, kmers, bits, near) of buckets with two nodes and more; near: nodes in all buckets of the node."""
     entries = nodes.select("node", F.explode("keys").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Sizes and other sums per key are written here and below, so that the join is of two plain shuffles, of which a hot key's can be split.
+    sizes = base.saved(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes", work)
     shared = base.saved(entries.join(sizes.hint("merge"), "bucket"), "shared", work)
     near = shared.groupBy("node").agg(F.sum("n").alias("near")).join(nodes.select("node", "kmers", "bits").hint("merge"), "node")
     return base.saved(shared.select("bucket", "node").join(near.hint("merge"), "node"), "entries", work)
@@ -286,7 +287,6 @@ def _star_pairs(entries: DataFrame, least: float, work: str) -> DataFrame:
     """(hub, node): the nodes of a bucket beside one hub, for one half of the buckets the node that meets most others, for the rest any node."""
     rank = F.struct(F.when(F.col("bucket") % 2 == 0, -F.col("near")).otherwise(0), F.xxhash64("node", "bucket"), "node", "kmers", "bits")
     hubs = entries.groupBy("bucket").agg(F.min(rank).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.kmers").alias("hub_kmers"), F.col("hub.bits").alias("hub_bits"))
-    # Written, so that the join is of two plain shuffles, of which a hot bucket's can be split.
     hubs = base.saved(hubs, "hubs", work)
     pairs = entries.join(hubs.hint("merge"), "bucket").filter((F.col("node") != F.col("hub")) & _may_be_similar(least))
     return pairs.select("hub", "node").distinct()
@@ -309,6 +309,7 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, wo
     pairs = base.saved(pairs, "pairs", work)
     texts = _texts(docs, nodes, pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct(), work)
     copies = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", F.ceil(F.col("n") / PAIRS_PER_COPY).cast("int").alias("n_copies"))
+    copies = base.saved(copies, "copies", work)
     salted = pairs.join(copies.hint("merge"), "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("n_copies")).cast("int"))
     hub_texts = (
         texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(copies.hint("merge"), "hub")
@@ -325,10 +326,12 @@ def components(links: DataFrame, work: str | None = None) -> DataFrame:
     links: (a, b). Each step is grouped minima and joins over edges; the edges are written to the shared folder.
     """
 
+    work = work or base.scratch(links.sparkSession, "components")
+
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.filter("b < a")
-        low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = base.saved(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low", work)
         out = near.join(low.hint("merge"), "a")
         if large:
             return out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -383,6 +386,7 @@ def _crowded_pairs(docs: DataFrame, nodes: DataFrame, open_: DataFrame, few: int
     split = keys.join(crowded.select("node", "root").hint("merge"), "node").select("node", "root", F.explode(F.arrays_zip("keys", "places")).alias("x"))
     split = split.select("node", "root", F.col("x.keys").alias("bucket"), F.col("x.places").alias("place"))
     mixed = split.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    mixed = base.saved(mixed, "mixed", work)
     some = split.join(mixed.hint("merge"), "bucket").select("node", "bucket", "place").join(crowded.hint("merge"), "node")
     longer = base.saved(some.withColumn("n", F.col("bits")[BIT_LONGS]), "split", work)
     share = least / (1 + least)
