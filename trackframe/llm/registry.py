@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, infill, licenses, mixing, neardup, pii, quality, secrets, sharding, tokens, topk, warc
+from . import decontamination, infill, licenses, mixing, neardup, negatives, pii, quality, secrets, sharding, tokens, topk, warc
 
-MODULES = (mixing, neardup, pii, secrets, warc, tokens, sharding, licenses, quality, decontamination, topk, infill)
+MODULES = (mixing, neardup, pii, secrets, warc, tokens, sharding, licenses, quality, decontamination, topk, infill, negatives)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -33,7 +33,7 @@ def points(df: DataFrame, scale: int, *more: Column) -> DataFrame:
     return df.filter(F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double"))).alias("values"), *more)
 
 
-def _matrix(lists, dim: int):
+def matrix(lists, dim: int):
     """A matrix of a list array; shorter vectors end in zeros."""
     import numpy as np
 
@@ -45,7 +45,7 @@ def _matrix(lists, dim: int):
     return out
 
 
-def _pack(size: int, lists: bool):
+def _pack(size: int, lists: bool, by: bool):
     """Packs a partition's rows (vec_id, values, label) by size rows. Lists: per component, the row numbers by ascending value."""
 
     def run(batches):
@@ -56,7 +56,7 @@ def _pack(size: int, lists: bool):
             t = pa.Table.from_batches(parts).combine_chunks()
             ids, values, labels = (t.column(k).combine_chunks() for k in (0, 1, 2))
             dim = max(1, int(np.diff(values.offsets.to_numpy()).max(initial=0)))
-            x = _matrix(values, dim)
+            x = matrix(values, dim)
             order = np.argsort(x, axis=0, kind="stable").astype("<u2") if lists else np.zeros(0, dtype="<u2")
             # A null id comes last among ties; no label is null where labels matter.
             known = ids.fill_null(np.iinfo(np.int64).max).to_numpy().astype("<i8"), labels.fill_null(0).to_numpy().astype("<i8")
@@ -65,9 +65,18 @@ def _pack(size: int, lists: bool):
             return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["n", "dim", "ids", "labels", "values", "lists"])
 
         held, n = [], 0
+        number = None
         for b in batches:
             while b.num_rows:
                 part = b.slice(0, size - n)
+                if by:
+                    numbers = part.column(3).to_numpy(zero_copy_only=False)
+                    if n and numbers[0] != number:
+                        yield packed(held)
+                        held, n = [], 0
+                        continue
+                    number = numbers[0]
+                    part = part.slice(0, int(np.searchsorted(numbers, number, side="right")))
                 b = b.slice(part.num_rows)
                 held.append(part)
                 n += part.num_rows
@@ -80,17 +89,23 @@ def _pack(size: int, lists: bool):
     return run
 
 
-def packed(rows: DataFrame, name: str, size: int, lists: bool = False, by: list[Column] | None = None) -> DataFrame:
+def packed(rows: DataFrame, name: str, size: int, lists: bool = False, by: str | None = None, each: int = 1) -> DataFrame:
     """rows (vec_id, values, label) as packed rows of at most size vectors, numbered by `seg`, written and read back.
 
-    by: rows are kept together by these columns, in order; otherwise they are dealt evenly.
+    by: a column of small whole numbers below `each`, of which a packed row has one; rows of one number are still dealt to
+    several tasks where they are many. Without it rows are dealt evenly.
     """
-    spark = rows.sparkSession
-    taken = rows.select("vec_id", "values", "label", *(by or []))
+    taken = rows.select("vec_id", "values", "label", *([by] if by else []))
     n = taken.count()
-    parts = max(1, math.ceil(n / size)) if by else max(1, math.ceil(n / size), min(base.cores(spark), math.ceil(n / 256)))
-    dealt = taken.repartitionByRange(parts, *by).sortWithinPartitions(*by) if by else taken.repartition(parts)
-    return base.saved(dealt.select("vec_id", "values", "label").mapInArrow(_pack(size, lists), PACKED).withColumn("seg", F.monotonically_increasing_id()), name)
+    if by:
+        # Split by a hash, too, so that a hot number is packed by several tasks.
+        parts = max(1, min(each, math.ceil(n / 64)), math.ceil(n / size))
+        dealt = taken.repartitionByRange(parts, by, F.xxhash64("vec_id", "values")).sortWithinPartitions(by)
+    else:
+        parts = max(1, math.ceil(n / size), min(base.cores(rows.sparkSession), math.ceil(n / 256)))
+        dealt = taken.repartition(parts)
+    out = dealt.mapInArrow(_pack(size, lists, bool(by)), PACKED)
+    return base.saved(out.withColumn("seg", F.monotonically_increasing_id()), name)
 
 
 class Pack:
