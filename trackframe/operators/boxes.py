@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.functions import geometry as G
+from trackframe.operators import slices
 
 
 def box_geometry(df: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def with_frame(df: DataFrame, matches: DataFrame) -> DataFrame:
 
 def sample_present_frames(df: DataFrame, every: int = 30) -> DataFrame:
     """Rows of every so many-th frame among those present, by rank within the match."""
-    rank = F.dense_rank().over(W.partitionBy("match_id").orderBy("frame_idx"))
-    return df.withColumn("frame_rank", rank).filter((F.col("frame_rank") - 1) % every == 0).drop("frame_rank")
+    rank = slices.free(df.columns, "frame_rank")
+    return slices.dense_rank(df, ["match_id"], ["frame_idx"], rank).filter((F.col(rank) - 1) % every == 0).drop(rank)
 
 
 def players(df: DataFrame) -> DataFrame:

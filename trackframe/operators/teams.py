@@ -1,4 +1,4 @@
-"""Teams from colours: samples, means, k-means in DataFrame form, names, labels."""
+"""Teams from colours: samples, means, clusters, names, labels."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from trackframe.functions import color as C
 from trackframe.operators import boxes
-from trackframe.sources import io
+from trackframe.operators.clusters import kmeans
 
 UNKNOWN = (-1, "unknown")
-#: Rounds of k-means at most.
-ROUNDS = 100
+#: Starts and rounds of k-means over a box's colours, and the move of a centre at which it ends.
+COLOR_STARTS, COLOR_ROUNDS, COLOR_EPS = 3, 10, 1.0
 
 
 def valid_colors(df: DataFrame) -> DataFrame:
@@ -75,40 +75,6 @@ def predict_team(colors: DataFrame, centers: list[tuple[int, tuple[float, float,
     return colors.withColumns({"team_id": best["team_id"], "distance": best["d"]})
 
 
-def kmeans(points: DataFrame, key: list[str], features: list[str], k: int, rounds: int = ROUNDS) -> DataFrame:
-    """points with `cluster` (0, 1, ... by centre) per key, and `n_points` and centre columns c_<feature>.
-
-    Lloyd's steps as joins and grouped means, until no centre moves (`rounds` at most); centres are written in each
-    round. The first ones are points at even ranks of the sorted features. A key with fewer than k distinct points has
-    as many clusters as those.
-    """
-    points = io.saved(points, "kmeans-points")
-    at = F.struct(*features)
-    distinct = points.select(*key, *features).distinct().withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy(*features)) - 1)
-    sized = distinct.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*key))).withColumn("k", F.least(F.lit(k), "n"))
-    first = sized.withColumn("cluster", F.floor(F.col("i") * F.col("k") / F.col("n"))).groupBy(*key, "cluster").agg(F.min_by(at, "i").alias("at"))
-    centers = io.saved(first, "kmeans-centers")
-
-    def assign(c: DataFrame) -> DataFrame:
-        listed = c.groupBy(*key).agg(F.collect_list(F.struct("cluster", "at")).alias("centers"))
-        near = points.join(listed.hint("merge"), key)
-        best = F.array_min(F.transform("centers", lambda x: F.struct(sum((F.col(f) - x["at"][f]) * (F.col(f) - x["at"][f]) for f in features).alias("d"), x["cluster"].alias("cluster"))))
-        return near.withColumn("cluster", best["cluster"]).drop("centers")
-
-    for _ in range(rounds):
-        # Means of whole numbers or of a few digits: rounding makes them stand still.
-        means = assign(centers).groupBy(*key, "cluster").agg(F.struct(*[F.round(F.avg(f), 9).alias(f) for f in features]).alias("at"))
-        means = io.saved(means, "kmeans-centers")
-        moved = means.join(centers.hint("merge"), [*key, "cluster", "at"], "left_anti")
-        centers = means
-        if moved.isEmpty():
-            break
-    out = io.saved(assign(centers), "kmeans-clusters")
-    final = out.groupBy(*key, "cluster").agg(*[F.avg(f).alias(f"c_{f}") for f in features], F.count(F.lit(1)).alias("n_points"))
-    named = final.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*[f"c_{f}" for f in features])) - 1)
-    return out.join(named.hint("merge"), [*key, "cluster"]).drop("cluster").withColumnRenamed("rank", "cluster")
-
-
 def assign_teams(samples: DataFrame, k: int = 2, min_samples: int = 3, space: str = "hsv") -> DataFrame:
     """match_id, track_id, team_id and the team's centre (in HSV or BGR); matches with fewer tracks than k have no row."""
     found = track_mean_color(valid_colors(samples), min_samples)
@@ -119,10 +85,14 @@ def assign_teams(samples: DataFrame, k: int = 2, min_samples: int = 3, space: st
     return kmeans(mean, ["match_id"], features, k).withColumnRenamed("cluster", "team_id").drop(*features, "n_points")
 
 
-def dominant_color(pixels: DataFrame, areas: DataFrame, k: int = 3) -> DataFrame:
-    """Centre of the largest of k clusters of each box's pixels (first by centre on ties)."""
-    inside = pixels_in_boxes(pixels, areas).select("box_id", *[F.col(c).cast("double").alias(c) for c in "bgr"])
-    found = kmeans(inside, ["box_id"], ["b", "g", "r"], k).select("box_id", "cluster", "c_b", "c_g", "c_r", "n_points").distinct()
+def dominant_color(pixels: DataFrame, areas: DataFrame, k: int = 3, region: str | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Centre of the largest of k clusters of each box's pixels (first by centre on ties); of a region, with the frame's size.
+
+    Pixels count once per colour of their box, with weights.
+    """
+    some = areas if region is None else sampled_areas(areas, region, *size)
+    colors = pixels_in_boxes(pixels, some).groupBy("box_id", "b", "g", "r").agg(F.count(F.lit(1)).alias("n"))
+    found = kmeans(colors, ["box_id"], ["b", "g", "r"], k, "n", COLOR_STARTS, COLOR_ROUNDS, COLOR_EPS)
     best = F.max_by(F.struct("c_b", "c_g", "c_r", "n_points"), F.struct("n_points", -F.col("cluster"))).alias("best")
     return found.groupBy("box_id").agg(best).select("box_id", F.col("best.c_b").alias("b"), F.col("best.c_g").alias("g"), F.col("best.c_r").alias("r"), F.col("best.n_points").alias("n_points"))
 

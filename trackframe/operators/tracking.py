@@ -1,7 +1,7 @@
 """Tracks from detections.
 
 Frames follow each other, so this is one keyed job per (match, type): types never match each other, and only the number
-of frames with any detection is shared, which a window supplies. A track's motion is four independent filters with
+of frames with any detection is shared, which a rank over the distinct frames supplies. A track's motion is four independent filters with
 constant velocity, for centre, area and aspect.
 """
 
@@ -10,29 +10,29 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackframe.operators import slices
 from trackframe.sources import io
 
 #: Fixed noise: of positions, and of velocities by quantity; first variances.
 Q_POS, Q_VEL, P_POS, P_VEL = 1.0, (0.01, 0.01, 0.01, 0.0001), 10.0, 10_000.0
 SCHEMA = (
     "match_id long, object_type string, birth_tick long, birth_slot long, frame_idx long, ts_s double, x1 double, y1 double, x2 double, y2 double, "
-    "confidence double, age long, hits long, time_since_update long"
+    "confidence double, age long, hits long, time_since_update long, confirmed boolean"
 )
 
 
 class Track:
     """State of one track; `step` predicts, `take` takes a detection."""
 
-    __slots__ = ("x", "v", "pxx", "pxv", "pvv", "box", "confidence", "age", "hits", "missed", "confirmed", "born")
+    __slots__ = ("x", "v", "pxx", "pxv", "pvv", "box", "confidence", "age", "hits", "missed", "confirmed", "born", "number")
 
     def __init__(self, box: tuple, confidence: float, born: tuple):
         self.x, self.v = _state(box), [0.0] * 4
         self.pxx, self.pxv, self.pvv = [P_POS] * 4, [0.0] * 4, [P_VEL] * 4
         self.box, self.confidence, self.born = box, confidence, born
-        self.age, self.hits, self.missed, self.confirmed = 0, 1, 0, False
+        self.age, self.hits, self.missed, self.confirmed, self.number = 0, 1, 0, False, None
 
     def step(self) -> None:
         for i in range(4):
@@ -105,22 +105,25 @@ def advance(tracks: list[Track], tick: int, found: list, thresh: float, buffer:
 
 def ticked(detections: DataFrame) -> DataFrame:
     """detections with `tick`, the number of the frame among the match's frames that have any."""
-    return detections.withColumn("tick", F.dense_rank().over(W.partitionBy("match_id").orderBy("frame_idx")).cast("long"))
+    return slices.dense_rank(detections, ["match_id"], ["frame_idx"], "tick")
 
 
 def _tracker(*rules: float):
-    """Sorted rows of whole (match, type) groups in, rows of confirmed tracks out, batch by batch: the live tracks are all that is kept."""
+    """Sorted rows of whole (match, type) groups in, rows of confirmed tracks out, batch by batch: the live tracks are all that is kept.
+
+    A new track has a row of its own, not confirmed, by which births are counted.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+        schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
         group, frame, tracks, found, out = None, None, [], [], []
 
         def close() -> None:
             nonlocal tracks
             tracks = advance(tracks, frame[2], found, *rules)
-            out.extend((*group, *t.born, frame[0], frame[1], *t.box, t.confidence, t.age, t.hits, t.missed) for t in tracks if t.confirmed)
+            out.extend((*group, *t.born, frame[0], frame[1], *t.box, t.confidence, t.age, t.hits, t.missed, t.confirmed) for t in tracks if t.confirmed or t.born[0] == frame[2])
 
         for b in batches:
             for match, kind, idx, ts, tick, slot, x1, y1, x2, y2, confidence in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -144,7 +147,7 @@ def _tracker(*rules: float):
 
 
 def track(detections: DataFrame, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3) -> DataFrame:
-    """Confirmed tracks on every frame of their match while they live, also where only predicted. track_id counts births from 1."""
+    """Confirmed tracks on every frame of their match while they live, also where only predicted. track_id counts a match's births from 1, also those never confirmed."""
     cols = ["match_id", "object_type", "frame_idx", "ts_s", "tick", "slot", "x1", "y1", "x2", "y2", "confidence"]
     rows = ticked(detections).select(*cols)
     frames = rows.groupBy("match_id", "frame_idx", "tick").agg(F.min("ts_s").alias("ts_s"))
@@ -156,6 +159,6 @@ def track(detections: DataFrame, thresh: float = 0.5, buffer: int = 30, min_iou:
     ordered = both.repartition("match_id", "object_type").sortWithinPartitions("match_id", "object_type", "tick", "slot")
     # Written, because both the numbering and the result read it.
     found = io.saved(ordered.mapInArrow(_tracker(thresh, buffer, min_iou, min_hits), SCHEMA), "tracks")
-    births = found.select("match_id", "birth_tick", "birth_slot").distinct()
-    ids = births.withColumn("track_id", F.row_number().over(W.partitionBy("match_id").orderBy("birth_tick", "birth_slot")).cast("long"))
-    return found.join(ids.hint("merge"), ["match_id", "birth_tick", "birth_slot"]).drop("birth_tick", "birth_slot")
+    births = found.filter("NOT confirmed").select("match_id", "birth_tick", "birth_slot")
+    ids = io.saved(slices.row_numbers(births, ["match_id"], ["birth_tick", "birth_slot"], "track_id", None), "track-ids")
+    return found.filter("confirmed").join(ids.hint("merge"), ["match_id", "birth_tick", "birth_slot"]).drop("birth_tick", "birth_slot", "confirmed")

@@ -1,6 +1,10 @@
 """Tracks from a stream of detections: the rules of `tracking.track`, with the live tracks of each match as state.
 
 Detections wait until the watermark has passed their frame; then frames are taken in order. Later ones are dropped.
+Ticks and ids are counted in that order: both are shared by the types of a match, so a match is one key. A match that
+has had no frame for `idle_s` of event time is over: a timer clears its state. Should it go on after that, it is a new
+match with ids from 1.
+
 Input: match_id, frame_idx, slot, event_time (timestamp), object_type, x1, y1, x2, y2, confidence.
 """
 
@@ -14,15 +18,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackframe.operators import tracking as T
 
-OUT = "match_id long, frame_idx long, object_type string, birth_tick long, birth_slot long, x1 double, y1 double, x2 double, y2 double, confidence double, age long, hits long, time_since_update long"
+OUT = "match_id long, track_id long, frame_idx long, object_type string, x1 double, y1 double, x2 double, y2 double, confidence double, age long, hits long, time_since_update long"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
 
 
 class LiveTracks(StatefulProcessor):
-    """State of a match: tick and tracks by type, and per time the detections that wait, each time with its own timer."""
+    """State of a match: ticks, ids given, end and tracks by type, and per time the detections that wait, each time with its own timer."""
 
-    def __init__(self, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3):
+    def __init__(self, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3, idle_s: float = 600.0):
         self.rules = (thresh, buffer, min_iou, min_hits)
+        self.idle_ms = int(idle_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -47,19 +52,35 @@ class LiveTracks(StatefulProcessor):
         import pandas as pd
 
         ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        ready = pickle.loads(bytes(self.waiting.getValue((ms,))[0])) if self.waiting.containsKey((ms,)) else []  # noqa: S301
-        tick, tracks = pickle.loads(bytes(self.live.get()[0])) if self.live.exists() else (0, {})  # noqa: S301
+        tick, last_id, end, tracks = pickle.loads(bytes(self.live.get()[0])) if self.live.exists() else (0, 0, None, {})  # noqa: S301
         out = []
-        for frame in sorted({w[0] for w in ready}):
-            tick += 1
-            here = sorted((w for w in ready if w[0] == frame), key=lambda w: w[1])
-            for kind in sorted({w[2] for w in here} | set(tracks)):
-                found = [(w[1], w[3], w[4]) for w in here if w[2] == kind]
-                tracks[kind] = T.advance(tracks.get(kind, []), tick, found, *self.rules)
-                out += [(key[0], frame, kind, *t.born, *t.box, t.confidence, t.age, t.hits, t.missed) for t in tracks[kind] if t.confirmed]
-        self.live.update((pickle.dumps((tick, tracks)),))
-        if ready:
+        if self.waiting.containsKey((ms,)):
+            if end is not None:
+                self.handle.deleteTimer(end + 1)
+                if ms > end:
+                    # Over before this frame, though the watermark has passed both at once.
+                    tick, last_id, tracks = 0, 0, {}
+            ready = pickle.loads(bytes(self.waiting.getValue((ms,))[0]))  # noqa: S301
+            for frame in sorted({w[0] for w in ready}):
+                tick += 1
+                here = sorted((w for w in ready if w[0] == frame), key=lambda w: w[1])
+                for kind in sorted({w[2] for w in here} | set(tracks)):
+                    found = [(w[1], w[3], w[4]) for w in here if w[2] == kind and w[4] == w[4]]
+                    tracks[kind] = T.advance(tracks.get(kind, []), tick, found, *self.rules)
+                # Births of a frame are counted by slot, whatever their type.
+                for t in sorted((t for own in tracks.values() for t in own if t.number is None), key=lambda t: t.born):
+                    last_id += 1
+                    t.number = last_id
+                out += [(key[0], t.number, frame, kind, *t.box, t.confidence, t.age, t.hits, t.missed) for kind in sorted(tracks) for t in tracks[kind] if t.confirmed]
             self.waiting.removeKey((ms,))
+            end = ms + self.idle_ms
+            if end < timerValues.getCurrentWatermarkInMs() and next(iter(self.waiting.keys()), None) is None:
+                self.live.clear()
+            else:
+                self.handle.registerTimer(end + 1)
+                self.live.update((pickle.dumps((tick, last_id, end, tracks)),))
+        elif ms == end:
+            self.live.clear()
         yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
