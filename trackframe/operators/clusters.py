@@ -47,7 +47,7 @@ def seeded(values: DataFrame, key: list[str], n: int, k: int, starts: int, seed:
         u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "start", *key, "at"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         raced = met.withColumn("d", d).withColumn("race", F.when(F.col("d") > 0, -F.log(u) / F.col("d")))
         drawn = raced.groupBy(*key, "start").agg(F.min(F.when(F.col("race").isNotNull(), F.struct("race", "at"))).alias("best"))
-        listed = io.saved(drawn.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("start", F.col("best.at").alias("at")))).alias("won")), "kmeans-drawn")
+        listed = drawn.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("start", F.col("best.at").alias("at")))).alias("won"))
         grown = F.transform("starts", lambda s: F.struct(
             s["start"].alias("start"), s["still"].alias("still"),
             F.when(F.col("won")[s["start"]].isNull(), s["centres"]).otherwise(F.array_append(s["centres"], F.col("won")[s["start"]])).alias("centres")))
@@ -62,7 +62,7 @@ def advanced(values: DataFrame, state: DataFrame, key: list[str], n: int, eps: f
     sums = near.groupBy(*key, "start", "i").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col("at")[f]).alias(f"s{f}") for f in range(n)])
     # Rounding makes the means of equal sets equal.
     means = sums.select(*key, "start", "i", F.array(*[F.round(F.col(f"s{f}") / F.col("w"), 9) for f in range(n)]).alias("mean"))
-    listed = io.saved(means.groupBy(*key).agg(F.collect_list(F.struct("start", "i", "mean")).alias("means")), "kmeans-means")
+    listed = means.groupBy(*key).agg(F.collect_list(F.struct("start", "i", "mean")).alias("means"))
 
     def moved(s: Column) -> Column:
         own = F.filter("means", lambda m: m["start"] == s["start"])
@@ -94,7 +94,7 @@ def kmeans(points: DataFrame, key: list[str], features: list[str], k: int, weigh
             break
     cost = _by_start(values, state, key).groupBy(*key, "start").agg(F.sum(F.col("w") * _nearest(F.col("at"), F.col("centres"), n)["d"]).alias("cost"))
     # Costs are compared to nine digits: starts that end alike are ties, whatever the order of their sums.
-    best = io.saved(cost.groupBy(*key).agg(F.min(F.struct(F.round("cost", 9), "start")).alias("best")).select(*key, F.col("best.start").alias("start")), "kmeans-best")
+    best = cost.groupBy(*key).agg(F.min(F.struct(F.round("cost", 9), "start")).alias("best")).select(*key, F.col("best.start").alias("start"))
     chosen = io.saved(state.join(best.hint("merge"), key).select(*key, F.filter("starts", lambda s: s["start"] == F.col("start"))[0]["centres"].alias("centres")), "kmeans-centres")
     own = points.join(chosen.hint("merge"), key).withColumn("nearest", _nearest(at, F.col("centres"), n)["i"]).drop("centres")
     out = io.saved(own, "kmeans-nearest")
