@@ -36,6 +36,8 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.8
+#: A row's key: two hashes of 64 bits.
+KEY = ("license_key", "license_key_2")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -65,15 +67,20 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, at), lambda i: i.isNotNull())
 
 
+def _key() -> list[Column]:
+    """128 bits of id and text."""
+    return [F.xxhash64("doc_id", "text").alias(KEY[0]), F.xxhash64(F.lit(KEY[1]), "text", "doc_id").alias(KEY[1])]
+
+
 def _read(docs: DataFrame, vocabulary: list[str], phrases: tuple) -> DataFrame:
-    """doc_id, license_key, n_words, places (array of one array per phrase), has (template words in it), written to the shared folder."""
+    """doc_id, the key's columns, n_words, places (array of one array per phrase), has (template words in it), written to the shared folder."""
     words = F.col("license_words")
     known = sorted({*vocabulary, *(w for p, _ in phrases for w in p.split(" "))})
-    cut = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("license_key"), base.once(license_words(base.text_of())).alias("license_words"))
+    cut = docs.select("doc_id", *_key(), base.once(license_words(base.text_of())).alias("license_words"))
     seen = cut.withColumn("has", base.once(F.array_intersect(F.lit(known), words)))
     none = F.array().cast("array<int>")
     places = F.array(*[F.when(_contains_all(F.col("has"), p), _places(words, p)).otherwise(none) for p, _ in phrases])
-    return base.saved(seen.select("doc_id", "license_key", F.size(words).cast("long").alias("n_words"), places.alias("places"), "has"), "license-words")
+    return base.saved(seen.select("doc_id", *KEY, F.size(words).cast("long").alias("n_words"), places.alias("places"), "has"), "license-words")
 
 
 def _contains_all(has: Column, phrase: str) -> Column:
@@ -84,7 +91,7 @@ def _contains_all(has: Column, phrase: str) -> Column:
 
 
 def containment_join(docs: DataFrame, order: list[str], templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """license_key, label, score for every block of docs (doc_id, text) that contains `threshold` of a template's words.
+    """The key's columns, label, score for every block of docs (doc_id, text) that contains `threshold` of a template's words.
 
     order: the template words, rarest first. The index over the templates' prefixes is as large as the template list,
     a parameter, and is broadcast.
@@ -104,21 +111,21 @@ def containment_join(docs: DataFrame, order: list[str], templates: tuple = TEMPL
     text = base.text_of()
     # The prefix filter for whole texts: without any prefix word no block can pass.
     some = docs.filter(text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, prefixes)) + ")"))
-    cut = some.select(F.xxhash64("doc_id", "text").alias("license_key"), base.once(license_words(text)).alias("license_words"))
+    cut = some.select(*_key(), base.once(license_words(text)).alias("license_words"))
     words = F.col("license_words")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(words) - 1) / step)).cast("int"))
-    blocks = cut.select("license_key", F.explode(F.transform(starts, lambda k: F.array_intersect(F.lit(order), F.slice(words, k * step + 1, size)))).alias("block"))
+    blocks = cut.select(*KEY, F.explode(F.transform(starts, lambda k: F.array_intersect(F.lit(order), F.slice(words, k * step + 1, size)))).alias("block"))
     b = F.size("block")
     hits = (
         blocks.filter(b >= min(need))
-        .select("license_key", "block", F.posexplode(F.slice("block", 1, b - min(need) + 1)).alias("b_at", "token"))
+        .select(*KEY, "block", F.posexplode(F.slice("block", 1, b - min(need) + 1)).alias("b_at", "token"))
         .join(F.broadcast(index), "token")
         .filter((b >= F.col("need")) & (1 + F.least(F.col("t_size") - F.col("t_at") - 1, b - F.col("b_at") - 1) >= F.col("need")))
-        .dropDuplicates(["license_key", "template", "block"])
+        .dropDuplicates([*KEY, "template", "block"])
         .join(F.broadcast(known), "template")
     )
     shared = F.size(F.array_intersect("block", "tokens"))
-    return hits.filter(shared >= F.col("need")).groupBy("license_key", "label").agg(F.max(shared / F.col("t_size")).alias("score"))
+    return hits.filter(shared >= F.col("need")).groupBy(*KEY, "label").agg(F.max(shared / F.col("t_size")).alias("score"))
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, phrases: tuple = PHRASES) -> DataFrame:
@@ -132,11 +139,12 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
     df = {r.w: r["count"] for r in counted.collect()}
     order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
     found = containment_join(docs.select("doc_id", "text"), order, templates, threshold)
-    by_doc = found.groupBy("license_key").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
+    # Written, so that the join is one of two plain shuffles, of which the side of a hot key's rows can be split.
+    by_doc = base.saved(found.groupBy(*KEY).agg(F.collect_set("label").alias("more"), F.max("score").alias("best")), "license-labels")
     places = F.flatten("places")
     base_labels = F.array_sort(F.array_distinct(F.filter(
         F.array(*[F.when(F.size(F.get("places", k)) > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull())))
-    joined = read.join(by_doc.hint("merge"), "license_key", "left")
+    joined = read.join(by_doc.hint("merge"), list(KEY), "left")
     n_base = F.size(places)
     return joined.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"),

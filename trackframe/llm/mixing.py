@@ -6,7 +6,8 @@ order (passes after each other when the target exceeds what there is); the words
 inverse of the cumulative demand, give its position in training. Documents are then range-sorted by position.
 
 Defined cases: a null text or one of white space has size 0 and is never taken; a null source is a source of its own,
-last in order; null ids are ordered first; rows that are repeated are separate documents; an empty table gives an empty
+last in order; null ids are ids like others; rows that are repeated are separate documents, next to each other in their
+source's order; an empty table gives an empty
 mix; extra columns are not read (`mix`) or pass through (`mixed_rows`).
 """
 
@@ -113,7 +114,8 @@ def _sizes(docs: DataFrame) -> DataFrame:
     text = base.text_of()
     return docs.select(
         "doc_id", "source", base.n_words_of(text).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("place"), F.xxhash64("text").alias("tie"),
+        # By id and text, so that rows of one id, or of none, are spread over the slices by their texts.
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary")).alias("place"), F.xxhash64("text").alias("tie"),
     )
 
 
@@ -175,7 +177,7 @@ def _position_sql() -> str:
 ORACLE = {
     "op1_mix": rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank, 2.0::double * source_size AS top FROM s),
 w AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1]::double AS w, 1.5::double * sum(source_size) OVER () AS whole FROM r),

@@ -3,20 +3,25 @@
 A record's key is hashed into one of thousands of virtual slots, for good. Bytes are added up per slot, and a small
 versioned map says which shard has which slot. Rebalancing edits the map: slots move, records never change their slot.
 
+Rows that repeat with id and text would pile up in one slot and break the law of even bytes. They are numbered, without
+any task holding all rows of one, and from the second on the number takes part in the hash.
+
 Defined cases: a null text has no bytes and the checksum of the empty text; null ids hash like any other value; rows
-with the same id and text stay together in one slot and have places of their own; an empty table gives an empty
-result; columns beyond doc_id and text are not read (`shard`) or pass through (`write_shards`).
+that repeat are spread over the slots and have places of their own (which of them gets which is open, they are equal);
+an empty table gives an empty result; columns beyond doc_id and text are not read (`shard`) or pass through
+(`write_shards`).
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackframe.operators import slices
+
 from . import base
 
 N_SLOTS = 4096
@@ -25,9 +30,28 @@ UNEVEN = 1.001
 MAP_SCHEMA = "version int, vslot int, shard int"
 
 
-def vslot_of(doc_id: Column, text: Column, n_slots: int = N_SLOTS) -> Column:
-    """Virtual slot of a record. The text takes part so that a repeated id does not heat one slot."""
-    return F.pmod(F.xxhash64(doc_id, text), F.lit(n_slots)).cast("int")
+def vslot_of(doc_id: Column, text_key: Column, copy: Column, n_slots: int = N_SLOTS) -> Column:
+    """Virtual slot of a record: by id and text, and for a repeated row by its number among its equals, from the second on."""
+    once, again = F.xxhash64(doc_id, text_key), F.xxhash64(doc_id, text_key, copy)
+    return F.pmod(F.when(copy > 1, again).otherwise(once), F.lit(n_slots)).cast("int")
+
+
+def slotted(rows: DataFrame, text_key: Column, n_slots: int = N_SLOTS) -> DataFrame:
+    """row (the columns of rows as a struct) and vslot. rows has doc_id; text_key: a hash of the text."""
+    keyed = rows.select(F.struct("*").alias("row"), F.col("doc_id").alias("slot_id"), text_key.alias("slot_text"))
+    vslot = vslot_of(F.col("slot_id"), F.col("slot_text"), F.col("copy"), n_slots).alias("vslot")
+    repeated = base.saved(
+        keyed.groupBy("slot_id", "slot_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("slot_id").alias("again_id"), F.col("slot_text").alias("again_text")), "shard-repeated")
+    n = repeated.count()
+    if not n:
+        return keyed.withColumn("copy", F.lit(1)).select("row", vslot)
+    side = F.broadcast(repeated) if n <= base.BROADCAST_ROWS else repeated.hint("merge")
+    same = F.col("slot_id").eqNullSafe(F.col("again_id")) & (F.col("slot_text") == F.col("again_text"))
+    single = keyed.join(side, same, "left_anti").withColumn("copy", F.lit(1).cast("long"))
+    # `tie` parts rows that are equal in all else, so that the range sort can split them; it is written before it is sorted by.
+    several = base.saved(keyed.join(side, same, "left_semi").withColumn("tie", F.monotonically_increasing_id()), "shard-copies")
+    numbered = slices.row_numbers(several, ["slot_id", "slot_text"], ["tie"], "copy", None).drop("tie")
+    return single.unionByName(numbered).select("row", vslot)
 
 
 def slot_stats(records: DataFrame) -> DataFrame:
@@ -71,21 +95,32 @@ def rebalanced(old: dict[int, int], weights: dict[int, int], n_shards: int) -> d
     return out
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are whole in the folder of the map, whatever store it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    found = [x.getPath() for x in store.listStatus(at)]
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().partition("=")[2]) for p in found if p.getName().startswith("v=") and store.exists(done(p, "_SUCCESS")))
+
+
+def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v={version}")
+
+
 def store_map(spark: SparkSession, mapping: dict[int, int], path: str, version: int) -> DataFrame:
-    """Appends a version to the map table at path (n_slots rows) and returns that version as read back."""
+    """Writes a version of the map (n_slots rows) to a folder of its own and returns it as read back. Of two callers that write the same one, the second fails."""
     rows = spark.createDataFrame([(version, v, s) for v, s in sorted(mapping.items())], MAP_SCHEMA)
-    rows.coalesce(1).write.mode("append").parquet(path)
-    return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version)
+    rows.coalesce(1).write.mode("error").parquet(f"{path}/v={version}")
+    return read_map(spark, path, version)
 
 
 def load_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
-    """(version, map) of the newest version at path; version 0 and nothing where there is none."""
-    try:
-        stored = spark.read.schema(MAP_SCHEMA).parquet(path)
-    except AnalysisException:
-        return 0, {}
-    newest = stored.agg(F.max("version")).first()[0] or 0
-    return newest, {r.vslot: r.shard for r in stored.filter(F.col("version") == newest).collect()}
+    """(version, map) of the newest version at path; version 0 and nothing where there is none. A map that cannot be read is an error."""
+    newest = max(_versions(spark, path), default=0)
+    return newest, {r.vslot: r.shard for r in read_map(spark, path, newest).collect()} if newest else {}
 
 
 def current_map(spark: SparkSession, path: str, weights: dict[int, int], n_shards: int, n_slots: int = N_SLOTS, uneven: float = UNEVEN) -> DataFrame:
@@ -104,7 +139,7 @@ def current_map(spark: SparkSession, path: str, weights: dict[int, int], n_shard
         edited = rebalanced(mapping, weights, n_shards)
         if edited != mapping:
             return store_map(spark, edited, path, version + 1)
-    return spark.read.schema(MAP_SCHEMA).parquet(path).filter(F.col("version") == version)
+    return read_map(spark, path, version)
 
 
 def weights_of(records: DataFrame) -> dict[int, int]:
@@ -112,12 +147,14 @@ def weights_of(records: DataFrame) -> dict[int, int]:
     return {r.vslot: r.n_bytes for r in slot_stats(records).collect()}
 
 
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def _records(docs: DataFrame, n_slots: int) -> DataFrame:
     text = base.text_of()
-    return docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        vslot_of(F.col("doc_id"), F.col("text"), n_slots).alias("vslot"),
-    )
+    narrow = base.saved(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key().alias("text_key")), "shard-rows")
+    return slotted(narrow, F.col("text_key"), n_slots).select("row.doc_id", "row.size", "row.text_crc32", "vslot")
 
 
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
@@ -145,10 +182,9 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path:
 
 def write_shards(docs: DataFrame, mapping: DataFrame, path: str, n_slots: int = N_SLOTS) -> str:
     """Writes docs partitioned by shard (mapping: vslot, shard; n_slots rows) and returns the name of that column. Each shard's files come from many tasks."""
-    slot, shard_no = base.free(docs.columns, "vslot"), base.free(docs.columns, "shard_no")
-    slotted = docs.withColumn(slot, vslot_of(F.col("doc_id"), F.col("text"), n_slots))
-    placed = slotted.join(F.broadcast(mapping.select(F.col("vslot").alias(slot), F.col("shard").alias(shard_no))), slot)
-    placed.repartition(shard_no, slot).drop(slot).write.partitionBy(shard_no).parquet(path)
+    shard_no = base.free(docs.columns, "shard_no")
+    placed = slotted(docs, text_key(), n_slots).join(F.broadcast(mapping.select("vslot", F.col("shard").alias("to_shard"))), "vslot")
+    placed.repartition("to_shard", "vslot").select("row.*", F.col("to_shard").alias(shard_no)).write.partitionBy(shard_no).parquet(path)
     return shard_no
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from . import base, files
 
+#: Digests that are broadcast at most, about 50 MB.
+FIRSTS = 400_000
 #: A file is closed beyond this size.
 FILE_BYTES = 1 << 30
 PIECE = 1 << 18
@@ -122,18 +124,21 @@ def _fail(what: str):
     raise WarcError(what)
 
 
-def marked(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
+def marked(pages: DataFrame, min_bytes: int = 100, broadcast_rows: int = FIRSTS) -> DataFrame:
     """page_id, url, html, digest, first_id (the response's id; null where the row is no revisit).
 
-    The smallest id per digest is a map-side combined minimum over narrow rows; only digests that occur twice or more
-    come back to the pages, so a hot payload is one row on that side and its pages are the side that AQE can split.
+    The smallest id per digest is a map-side combined minimum over narrow rows; digests that occur twice or more are
+    written. While they are few they are broadcast, and no html is moved at all; beyond that they meet the pages in a merge
+    join of two plain shuffles, of which AQE can split the side of a hot payload's pages.
     """
     rows = pages.select("page_id", "url", base.text_of("html").alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    firsts = (
+    some = (
         rows.filter(F.octet_length("html") >= min_bytes).groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
-    return rows.join(firsts.hint("merge"), "digest", "left").withColumn(
+    firsts = base.saved(some, "warc-firsts")
+    few = firsts.count() <= broadcast_rows
+    return rows.join(F.broadcast(firsts) if few else firsts.hint("merge"), "digest", "left").withColumn(
         "first_id", F.when(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     )
 
