@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackframe.operators.quantiles import exact_quantiles
+from trackframe.sources import io
+
 BY = "match_id"
 
 
@@ -22,16 +25,25 @@ def type_counts(df: DataFrame, key: str = "object_type") -> DataFrame:
     return df.groupBy(BY, key).agg(F.count(F.lit(1)).alias("n")).orderBy(BY, F.desc("n"), key)
 
 
+def _with_quantiles(stats: DataFrame, rows: DataFrame, key: list[str], col: str, at: dict[str, float]) -> DataFrame:
+    """stats (a row per key) with the quantiles of rows, a written table; null where a group has no value."""
+    q = exact_quantiles(rows, key, col, list(at.values()), written=True)
+    q = q.select(*[F.col(c).alias(f"{c}_of_q") for c in key], *[F.get("q", i).alias(name) for i, name in enumerate(at)])
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of_q")) for c in key]
+    return stats.join(q.hint("merge"), same, "left").drop(*[f"{c}_of_q" for c in key])
+
+
 def per_frame_stats(df: DataFrame) -> DataFrame:
     """Mean and median rows per frame, balls included."""
-    return df.groupBy(BY, "frame_idx").count().groupBy(BY).agg(F.avg("count").alias("mean_rows"), F.median("count").alias("median_rows"))
+    frames = io.saved(df.groupBy(BY, "frame_idx").count(), "frame-rows")
+    return _with_quantiles(frames.groupBy(BY).agg(F.avg("count").alias("mean_rows")), frames, [BY], "count", {"median_rows": 0.5})
 
 
 def describe_by(df: DataFrame, key: str = "object_type", col: str = "confidence") -> DataFrame:
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(BY, key).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("lowest"), q.alias("q"), F.max(col).alias("highest"))
-    return out.select(BY, key, "n", "mean", "std", "lowest", F.get("q", 0).alias("p25"), F.get("q", 1).alias("p50"), F.get("q", 2).alias("p75"), "highest")
+    rows = io.saved(df.select(BY, key, col), "described")
+    out = rows.groupBy(BY, key).agg(
+        F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("lowest"), F.max(col).alias("highest"))
+    return _with_quantiles(out, rows, [BY, key], col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(BY, key, "n", "mean", "std", "lowest", "p25", "p50", "p75", "highest")
 
 
 def ball_rate(df: DataFrame) -> DataFrame:
@@ -70,8 +82,9 @@ def track_lengths(df: DataFrame, *more: str) -> DataFrame:
 
 
 def track_length_stats(df: DataFrame) -> DataFrame:
-    return track_lengths(df).groupBy(BY).agg(
-        F.avg("length").alias("mean_length"), F.median("length").alias("median_length"), F.max("length").alias("longest"), F.min("length").alias("shortest"))
+    lengths = io.saved(track_lengths(df), "track-lengths")
+    stats = lengths.groupBy(BY).agg(F.avg("length").alias("mean_length"), F.max("length").alias("longest"), F.min("length").alias("shortest"))
+    return _with_quantiles(stats, lengths, [BY], "length", {"median_length": 0.5})
 
 
 def track_quality(df: DataFrame) -> DataFrame:
@@ -153,7 +166,9 @@ def health_of(matches: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def event_type_counts(df: DataFrame, key: str = BY, types: tuple = ("shot", "goal", "other")) -> DataFrame:
-    return df.groupBy(key).agg(*[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in types])
+    """Counts by type; a missing one counts as other."""
+    kind = F.coalesce("event_type", F.lit("other"))
+    return df.groupBy(key).agg(*[F.count_if(kind == t).alias(f"n_{t}") for t in types])
 
 
 def top_shots(df: DataFrame, n: int = 10) -> DataFrame:
@@ -163,11 +178,16 @@ def top_shots(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def event_timeline(df: DataFrame) -> DataFrame:
-    return df.select(BY, "event_type", "frame_idx", "ts_s", "confidence").orderBy(BY, "ts_s", "frame_idx")
+    return df.select(BY, "event_type", "ts_s", "confidence", "frame_idx").orderBy(BY, "ts_s", "frame_idx")
 
 
 def sample_tracks(df: DataFrame, limit: int = 1000, seed: int = 42) -> DataFrame:
-    """Exactly `limit` rows of each match, chosen by a seeded hash, sorted by frame, with the number of rows there are."""
+    """Exactly `limit` rows of each match, chosen by a seeded hash, sorted by frame, with the number of rows there are.
+
+    The rank stands alone under its filter, so that each task keeps `limit` rows of a match before they are shuffled; the
+    numbers are counted apart.
+    """
     order = W.partitionBy(BY).orderBy(F.md5(F.concat_ws(":", "track_id", "frame_idx", F.lit(seed)).cast("binary")), "track_id", "frame_idx")
-    out = df.withColumn("rank", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy(BY)))
-    return out.filter(F.col("rank") <= limit).drop("rank").orderBy(BY, "frame_idx", "track_id")
+    some = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("rank")
+    total = df.groupBy(BY).agg(F.count(F.lit(1)).alias("total")).withColumnRenamed(BY, "total_of")
+    return some.join(total.hint("merge"), F.col(BY).eqNullSafe(F.col("total_of"))).drop("total_of").orderBy(BY, "frame_idx", "track_id")

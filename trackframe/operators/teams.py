@@ -53,11 +53,19 @@ def sampled_areas(areas: DataFrame, region: str, width: int, height: int) -> Dat
     return out.select("box_id", "frame_idx", *[F.col(f"rect.r{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def region_mean_color(pixels: DataFrame, areas: DataFrame, extract: Callable[[Column, Column, Column], dict[str, Column]] | None = None, region: str | None = None, size: tuple[int, int] | None = None) -> DataFrame:
-    """Mean colour per box, or what the caller's aggregate columns over (b, g, r) make of its pixels; of a region, with the frame's size."""
+def region_mean_color(pixels: DataFrame, areas: DataFrame, extract: Callable[[Column, Column, Column], dict[str, Column]] | None = None, region: str | None = None, size: tuple[int, int] | None = None, most: int | None = None) -> DataFrame:
+    """Mean colour per box, or what the caller's aggregate columns over (b, g, r) make of its pixels; of a region, with the frame's size.
+
+    The columns may be Spark's aggregates, which keep a few numbers per box, or all of them grouped-aggregate pandas UDFs
+    of the caller's own Python, which get a box's pixels at once. `most` bounds those: a box is known to have no more
+    pixels than its area, and one whose area is larger ends the job with an error before any pixel is gathered.
+    """
     b, g, r = F.col("b"), F.col("g"), F.col("r")
     cols = extract(b, g, r) if extract else {"b": F.avg(b), "g": F.avg(g), "r": F.avg(r)}
     some = areas if region is None else sampled_areas(areas, region, *size)
+    if most is not None:
+        area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+        some = some.filter(F.when((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & (area > most), F.raise_error(F.format_string(f"box %s has more than {most} pixels", F.col("box_id").cast("string"))).cast("boolean")).otherwise(True))
     return pixels_in_boxes(pixels, some).groupBy("box_id").agg(*[c.alias(n) for n, c in cols.items()])
 
 

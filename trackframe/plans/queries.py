@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackframe.functions import color as C
@@ -22,6 +23,16 @@ def _ball(b):
     return path.velocity(path.numbered(b))
 
 
+def _python_medians(b, g, r):
+    """A caller's own aggregate: Python that gets all pixels of a box."""
+
+    def median(v: pd.Series) -> float:
+        return float(v.median())
+
+    own = F.pandas_udf(median, "double")
+    return {"b": own(b), "g": own(g), "r": own(r)}
+
+
 def _smooth(b):
     return path.smooth(_ball(b))
 
@@ -111,10 +122,12 @@ query("C1_label_tracks", "SELECT match_id, track_id, frame_idx, i(CASE WHEN trac
 query("C2_with_match", "SELECT d.match_id, frame_idx, i(slot) AS slot, i(width) AS width, i(height) AS height, r(fps) AS fps FROM fx_det d JOIN fx_match m ON d.match_id = m.match_id", "fx_det", "fx_match")(
     lambda d, m: boxes.with_match(d, m).select("match_id", "frame_idx", "slot", "width", "height", "fps"))
 IOU_SQL = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
-query("C3_iou_pairs", f"""WITH d AS MATERIALIZED (SELECT match_id, frame_idx, object_type, slot, x1, y1, x2, y2 FROM fx_det),
-j AS (SELECT a.match_id, a.frame_idx AS pair_frame, a.object_type, a.slot AS a_slot, b.slot AS b_slot, {IOU_SQL} AS i_, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s_
-FROM d a JOIN d b ON a.match_id = b.match_id AND b.frame_idx = a.frame_idx + 1 AND a.object_type = b.object_type)
-SELECT match_id, pair_frame, object_type, i(a_slot) AS a_slot, i(b_slot) AS b_slot, r(i_ / (s_ - i_)) AS iou FROM j WHERE i_ > 0 AND i_ / (s_ - i_) >= 0.3""", "fx_det")(
+query("C3_iou_pairs", f"""WITH d AS MATERIALIZED (SELECT match_id, frame_idx, object_type, list(struct_pack(slot := slot, x1 := x1, y1 := y1, x2 := x2, y2 := y2)) AS boxes FROM fx_det GROUP BY ALL),
+k AS (SELECT l.match_id, l.frame_idx AS pair_frame, l.object_type, l.boxes AS own, n.boxes AS following FROM d l JOIN d n ON n.match_id = l.match_id AND n.frame_idx = l.frame_idx + 1 AND n.object_type = l.object_type),
+u AS (SELECT match_id, pair_frame, object_type, unnest(own) AS a, following FROM k),
+v AS (SELECT match_id, pair_frame, object_type, a, unnest(following) AS b FROM u),
+j AS (SELECT match_id, pair_frame, object_type, a.slot AS a_slot, b.slot AS b_slot, {IOU_SQL} AS i_, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s_ FROM v WHERE a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
+SELECT match_id, pair_frame, object_type, i(a_slot) AS a_slot, i(b_slot) AS b_slot, r(i_ / (s_ - i_)) AS iou FROM j WHERE i_ / (s_ - i_) >= 0.3""", "fx_det")(
     lambda d: boxes.iou_pairs(d.withColumn("pair_frame", F.col("frame_idx")), d.withColumn("pair_frame", F.col("frame_idx") - 1)))
 query("C4_recent_shot", """WITH s AS (SELECT * FROM fx_evt WHERE event_type = 'shot'),
 j AS (SELECT g.match_id, g.frame_idx, min(s.frame_idx) AS shot_frame FROM fx_evt g JOIN s ON g.match_id = s.match_id AND (g.frame_idx - s.frame_idx) / 25.0 BETWEEN 0 AND 3 WHERE g.event_type = 'goal' GROUP BY ALL)
@@ -176,6 +189,8 @@ for _region, _low, _high in (("upper", "y1", "y1 + trunc((y2 - y1) * 0.4)"), ("c
         lambda p, q, region=_region: teams.region_mean_color(p, q, region=region, size=(20, 20)))
 query("K1_own_color_extraction", "SELECT box_id, i(max(b)) AS b, i(min(g)) AS g, r(median(r)) AS r FROM fx_pixel p JOIN fx_box q ON p.frame_idx = q.frame_idx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY box_id", "fx_pixel", "fx_box")(
     lambda p, q: teams.region_mean_color(p, q, lambda b, g, r: {"b": F.max(b), "g": F.min(g), "r": F.median(r)}))
+query("K1_python_color_extraction", "SELECT box_id, r(median(b)) AS b, r(median(g)) AS g, r(median(r)) AS r FROM fx_pixel p JOIN fx_box q ON p.frame_idx = q.frame_idx AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY box_id", "fx_pixel", "fx_box")(
+    lambda p, q: teams.region_mean_color(p, q, _python_medians, most=4096))
 
 # ---- windows and events ------------------------------------------------------------------------------------------
 PATH = "p AS (SELECT *, row_number() OVER o AS row, count(*) OVER (PARTITION BY match_id) AS n FROM fx_ball WINDOW o AS (PARTITION BY match_id ORDER BY frame_idx, track_id))"
@@ -305,14 +320,22 @@ def _as_detections(d):
     return io.packed(d.select("match_id", "frame_idx", "ts_s", "slot", "object_type", F.col("class_id").cast("int"), *BOX, "confidence"))
 
 
-DET_SQL = "SELECT match_id, frame_idx, r(ts_s) AS ts_s, i(slot) AS slot, object_type, r(x1) AS x1, r(y2) AS y2, r(confidence) AS confidence FROM fx_det"
-DET_COLS = ("match_id", "frame_idx", "ts_s", "slot", "object_type", "x1", "y2", "confidence")
-_file("A1_read_detections", DET_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at), lambda s, at: io.read_detections(s, at).select(*DET_COLS))
-_file("A2_detections_json", DET_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at, "json", ("match_id",)), lambda s, at: io.read_detections(s, at, "json").select(*DET_COLS))
-_file("A3_detections_csv", "SELECT match_id, frame_idx, r(ts_s) AS ts_s, i(slot) AS slot, object_type, i(class_id) AS class_id, r(x1) AS x1, r(y1) AS y1, r(x2) AS x2, r(y2) AS y2, r(confidence) AS confidence FROM fx_det", ("fx_det",),
-      lambda at, d: io.write_table(_as_detections(d), at, "csv"),
-      lambda s, at: _csv(s, at, "match_id long, frame_idx long, timestamp double, det_idx long, object_type string, class_id int, confidence double, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double").toDF(
-          "match_id", "frame_idx", "ts_s", "slot", "object_type", "class_id", "confidence", *BOX))
+DET_ALL = ("match_id", "frame_idx", "ts_s", "slot", "object_type", "class_id", *BOX, "confidence", "width", "height", "area")
+DET_SQL = """SELECT match_id, frame_idx, r(ts_s) AS ts_s, i(slot) AS slot, object_type, i(class_id) AS class_id, r(x1) AS x1, r(y1) AS y1, r(x2) AS x2, r(y2) AS y2, r(confidence) AS confidence,
+r(x2 - x1) AS width, r(y2 - y1) AS height, r((x2 - x1) * (y2 - y1)) AS area FROM fx_det"""
+DET_FILE_SQL = DET_SQL.replace(" FROM fx_det", ", r((x1 + x2) / 2) AS center_0, r((y1 + y2) / 2) AS center_1 FROM fx_det")
+
+
+def _centers(d):
+    """Rows as the file has them, with the parts of the center beside what the reader returns."""
+    return io.unpacked(d.withColumns({"center_0": F.get("center", 0), "center_1": F.get("center", 1)})).select(*DET_ALL, "center_0", "center_1")
+
+
+_file("A1_read_detections", DET_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at), lambda s, at: io.read_detections(s, at).select(*DET_ALL))
+_file("A2_detections_json", DET_FILE_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at, "json", ("match_id",)), lambda s, at: _centers(io.read_table(s, at, io.DETECTIONS, "json")))
+DET_CSV = "match_id long, frame_idx long, timestamp double, det_idx long, object_type string, class_id int, confidence double, width double, height double, area double, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double, center_0 double, center_1 double"
+DET_CSV_SQL = DET_FILE_SQL.replace(" AS ts_s", " AS timestamp").replace(" AS slot", " AS det_idx").replace(" AS x1", " AS bbox_0").replace(" AS y1", " AS bbox_1").replace(" AS x2", " AS bbox_2").replace(" AS y2", " AS bbox_3")
+_file("A3_detections_csv", DET_CSV_SQL, ("fx_det",), lambda at, d: io.write_table(_as_detections(d), at, "csv"), lambda s, at: _csv(s, at, DET_CSV))
 TRK_SQL = "SELECT match_id, track_id, frame_idx, r(ts_s) AS ts_s, object_type, r(x1) AS x1, i(hits) AS hits, i(team_id) AS team_id, team_name FROM fx_trk"
 TRK_COLS = ("match_id", "track_id", "frame_idx", "ts_s", "object_type", "x1", "hits", "team_id", "team_name")
 _file("A4_read_tracks", TRK_SQL, ("fx_trk",), lambda at, t: io.write_table(io.packed(t.withColumn("team_id", F.col("team_id").cast("int"))), at), lambda s, at: io.read_tracks(s, at).select(*TRK_COLS))
@@ -346,13 +369,12 @@ def _manifests(m):
 
 
 # ---- the exports of the report scripts, each with all its columns
-FRAME_CSV = "match_id long, frame_idx long, objects string, ts_s double, mean_confidence double"
-DET_CSV = "match_id long, frame_idx long, timestamp double, det_idx long, object_type string, class_id int, confidence double, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double"
 for _name, _where, _pick in (("balls", "object_type = 'ball'", boxes.balls), ("first_minute", "ts_s <= 60", boxes.time_slice)):
-    _file(f"A11_export_{_name}_csv", f"SELECT match_id, frame_idx, r(ts_s) AS timestamp, i(slot) AS det_idx, object_type, i(class_id) AS class_id, r(confidence) AS confidence, r(x1) AS bbox_0, r(y1) AS bbox_1, r(x2) AS bbox_2, r(y2) AS bbox_3 FROM fx_det WHERE {_where}", ("fx_det",),
-          lambda at, d, pick=_pick: io.export_csv(_as_detections(pick(d)), at), lambda s, at: _csv(s, at, DET_CSV))
+    # Times run nine times as fast, so that the first minute ends before the last frame on every scale.
+    _file(f"A11_export_{_name}_csv", DET_CSV_SQL.replace("fx_det", f"(SELECT * REPLACE (ts_s * 9 AS ts_s) FROM fx_det) WHERE {_where}"), ("fx_det",),
+          lambda at, d, pick=_pick: io.export_csv(_as_detections(pick(d.withColumn("ts_s", F.col("ts_s") * 9))), at), lambda s, at: _csv(s, at, DET_CSV))
 _file("A11_export_frame_summary_csv", "SELECT match_id, frame_idx, count(*) FILTER (object_type = 'player') || ' players, ' || count(*) FILTER (object_type = 'ball') || ' balls' AS object_type, r(min(ts_s)) AS timestamp, r(avg(confidence)) AS confidence FROM fx_det GROUP BY match_id, frame_idx", ("fx_det",),
-      lambda at, d: io.export_csv(reports.frame_summary(d), at), lambda s, at: _csv(s, at, FRAME_CSV).toDF("match_id", "frame_idx", "object_type", "timestamp", "confidence"))
+      lambda at, d: io.export_csv(reports.frame_summary(d), at), lambda s, at: _csv(s, at, "match_id long, frame_idx long, object_type string, timestamp double, confidence double"))
 TRK_CSV = "match_id long, track_id long, frame_idx long, timestamp double, object_type string, confidence double, age long, hits long, time_since_update long, team_id int, team_name string, bbox_0 double, bbox_1 double, bbox_2 double, bbox_3 double"
 for _name, _where, _pick in (("tracks", "true", lambda t: t), ("ball_tracks", "object_type = 'ball'", boxes.balls)):
     _file(f"A12_export_{_name}_csv", f"SELECT match_id, track_id, frame_idx, r(ts_s) AS timestamp, object_type, r(confidence) AS confidence, i(age) AS age, i(hits) AS hits, i(time_since_update) AS time_since_update, i(team_id) AS team_id, team_name, r(x1) AS bbox_0, r(y1) AS bbox_1, r(x2) AS bbox_2, r(y2) AS bbox_3 FROM fx_trk WHERE {_where}", ("fx_trk",),
@@ -360,16 +382,23 @@ for _name, _where, _pick in (("tracks", "true", lambda t: t), ("ball_tracks", "o
 _file("A12_export_track_summary_csv", """SELECT match_id, track_id, any_value(object_type) AS object_type_first, min(frame_idx) AS frame_idx_min, max(frame_idx) AS frame_idx_max, i(count(*)) AS frame_idx_count, r(min(ts_s)) AS timestamp_min, r(max(ts_s)) AS timestamp_max,
 r(avg(confidence)) AS confidence_mean, i(max(hits)) AS hits_max, i(max(age)) AS age_max FROM fx_trk GROUP BY match_id, track_id""", ("fx_trk",), lambda at, t: io.export_csv(reports.track_summary(t), at),
       lambda s, at: _csv(s, at, "match_id long, track_id long, object_type_first string, frame_idx_min long, frame_idx_max long, frame_idx_count long, timestamp_min double, timestamp_max double, confidence_mean double, hits_max long, age_max long"))
-_file("A12_export_trajectories_csv", "SELECT match_id, track_id, frame_idx, r(ts_s) AS ts_s, r((x1 + x2) / 2) AS cx, r((y1 + y2) / 2) AS cy FROM fx_trk WHERE object_type = 'player'", ("fx_trk",),
-      lambda at, t: io.export_csv(boxes.player_centers(t).select("match_id", "track_id", "frame_idx", "ts_s", "cx", "cy"), at), lambda s, at: _csv(s, at, "match_id long, track_id long, frame_idx long, ts_s double, cx double, cy double"))
-_file("A13_export_by_team", "SELECT match_id, track_id, frame_idx, team_name, r(x1) AS bbox_0, r(y2) AS bbox_3 FROM fx_trk WHERE team_name <> 'unknown'", ("fx_trk",), lambda at, t: io.export_by_team(io.packed(t), at),
-      lambda s, at: s.read.option("header", True).csv(at).select(*[F.col(c).cast("long").alias(c) for c in ("match_id", "track_id", "frame_idx")], "team_name", *[F.col(c).cast("double").alias(c) for c in ("bbox_0", "bbox_3")]))
-EVT_CSV = "match_id long, event_type string, frame_idx long, ts_s double, confidence double, region string, speed double"
+_file("A12_export_trajectories_csv", "SELECT match_id, track_id, frame_idx, r(ts_s) AS timestamp, r((x1 + x2) / 2) AS center_x, r((y1 + y2) / 2) AS center_y FROM fx_trk WHERE object_type = 'player'", ("fx_trk",),
+      lambda at, t: io.export_csv(boxes.player_centers(t).select("match_id", "track_id", "frame_idx", "ts_s", "cx", "cy"), at),
+      lambda s, at: _csv(s, at, "match_id long, track_id long, frame_idx long, timestamp double, center_x double, center_y double"))
+_file("A13_export_by_team", "SELECT match_id, track_id, frame_idx, team_name, r(ts_s) AS timestamp, i(team_id) AS team_id, r(x1) AS bbox_0, r(y1) AS bbox_1, r(x2) AS bbox_2, r(y2) AS bbox_3 FROM fx_trk WHERE team_name <> 'unknown'", ("fx_trk",), lambda at, t: io.export_by_team(io.packed(t), at),
+      lambda s, at: s.read.option("header", True).csv(at).select(*[F.col(c).cast("long").alias(c) for c in ("match_id", "track_id", "frame_idx", "team_id")], "team_name", *[F.col(c).cast("double").alias(c) for c in ("timestamp", "bbox_0", "bbox_1", "bbox_2", "bbox_3")]))
+_file("A13_export_team_summary", """SELECT match_id, i(team_id) AS team_id, team_name, i(count(DISTINCT track_id)) AS track_id_nunique, min(frame_idx) AS frame_idx_min, max(frame_idx) AS frame_idx_max, i(count(*)) AS frame_idx_count,
+r(avg(confidence)) AS confidence_mean FROM fx_trk GROUP BY match_id, team_id, team_name""", ("fx_trk",), lambda at, t: io.export_csv(reports.team_summary(t), at),
+      lambda s, at: _csv(s, at, "match_id long, team_id int, team_name string, track_id_nunique long, frame_idx_min long, frame_idx_max long, frame_idx_count long, confidence_mean double"))
+#: As the files of events have them, of shots and goals as `all_events` gives them.
+EVT_CSV = "match_id long, event_type string, frame_idx long, timestamp double, confidence double, speed double, target_goal string, duration_frames long, goal_region string, shot_frame long, shot_timestamp double, location_0 double, location_1 double"
+EVT_FILE_SQL = """SELECT match_id, event_type, frame_idx, r(ts_s) AS timestamp, r(confidence) AS confidence, r(1.0) AS location_0, r(2.0) AS location_1, r(speed) AS speed, CASE WHEN event_type = 'shot' THEN region END AS target_goal,
+CAST(NULL AS BIGINT) AS duration_frames, CASE WHEN event_type = 'goal' THEN region END AS goal_region, CAST(NULL AS BIGINT) AS shot_frame, r(CAST(NULL AS DOUBLE)) AS shot_timestamp FROM fx_evt"""
 for _name, _where in (("shots", "event_type = 'shot'"), ("goals", "event_type = 'goal'"), ("events", "true")):
-    _file(f"A14_export_{_name}_csv", f"SELECT match_id, event_type, frame_idx, r(ts_s) AS ts_s, r(confidence) AS confidence, region, r(speed) AS speed FROM fx_evt WHERE {_where}", ("fx_evt",),
-          lambda at, e, kind=_name[:-1]: io.export_csv(e if kind == "event" else boxes.events_of(e, kind), at), lambda s, at: _csv(s, at, EVT_CSV))
-_file("A14_export_event_timeline_csv", "SELECT match_id, event_type, frame_idx, r(ts_s) AS ts_s, r(confidence) AS confidence FROM fx_evt", ("fx_evt",), lambda at, e: io.export_csv(reports.event_timeline(e), at),
-      lambda s, at: _csv(s, at, "match_id long, event_type string, frame_idx long, ts_s double, confidence double"))
+    _file(f"A14_export_{_name}_csv", f"{EVT_FILE_SQL} WHERE {_where}", ("fx_evt",),
+          lambda at, e, kind=_name[:-1]: io.export_csv(io.packed_events(_as_events(e if kind == "event" else boxes.events_of(e, kind))), at), lambda s, at: _csv(s, at, EVT_CSV))
+_file("A14_export_event_timeline_csv", "SELECT match_id, event_type, r(ts_s) AS timestamp, r(confidence) AS confidence, frame_idx FROM fx_evt", ("fx_evt",), lambda at, e: io.export_csv(reports.event_timeline(e), at),
+      lambda s, at: _csv(s, at, "match_id long, event_type string, timestamp double, confidence double, frame_idx long"))
 
 
 # ---- runs

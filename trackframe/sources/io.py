@@ -46,10 +46,21 @@ def unpacked(df: DataFrame) -> DataFrame:
     return out.withColumns({c: F.get("bbox", i) for i, c in enumerate(("x1", "y1", "x2", "y2"))}).drop("bbox", "center")
 
 
+#: Columns whose names in files differ from those inside.
+FILE_NAMES = {"ts_s": "timestamp", "slot": "det_idx", "cx": "center_x", "cy": "center_y", "objects": "object_type", "mean_confidence": "confidence"}
+
+
+def file_names(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({k: v for k, v in FILE_NAMES.items() if k in df.columns and v not in df.columns})
+
+
 def packed(df: DataFrame) -> DataFrame:
-    """Scalar form to file form."""
-    out = df.withColumnRenamed("ts_s", "timestamp").withColumnRenamed("slot", "det_idx")
-    return out.withColumn("bbox", F.array("x1", "y1", "x2", "y2")).drop("x1", "y1", "x2", "y2")
+    """Scalar form to file form. Detections have a slot, and in files also center, width, height and area."""
+    out = df.withColumnsRenamed({"ts_s": "timestamp", "slot": "det_idx"}).withColumn("bbox", F.array("x1", "y1", "x2", "y2"))
+    if "slot" in df.columns:
+        w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+        out = out.withColumns({"center": F.array((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2), "width": w, "height": h, "area": w * h})
+    return out.drop("x1", "y1", "x2", "y2")
 
 
 def read_detections(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -69,6 +80,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
 
 
 def export_csv(df: DataFrame, path: str, partition_by: tuple = ()) -> None:
+    """CSV with a header of the names that files have; arrays as columns of their own."""
+    df = file_names(df)
     arrays = [n for n, t in df.dtypes if t.startswith("array")]
     out = df.withColumns({f"{n}_{i}": F.get(n, i) for n in arrays for i in range(4 if n == "bbox" else 2)}).drop(*arrays)
     out.write.option("header", True).partitionBy(*partition_by).csv(path)
@@ -78,14 +91,20 @@ def export_by_team(tracks: DataFrame, path: str) -> None:
     export_csv(tracks.filter("team_name <> 'unknown'"), path, ("team_name",))
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """events of `all_events` as JSON lines."""
-    meta = [f.split(":")[0].strip() for f in EVENTS[EVENTS.index("STRUCT<") + 7 : -1].split(",")]
+def packed_events(events: DataFrame) -> DataFrame:
+    """Events of `all_events` as files have them: location as an array, the fields of both kinds beside each other, null where there is none."""
     have = set(events.columns)
-    out = events.select(
+    fields = [f.split(":") for f in EVENTS[EVENTS.index("STRUCT<") + 7 : -1].split(",")]
+    return events.select(
         "match_id", "event_type", "frame_idx", F.col("ts_s").alias("timestamp"), "confidence", F.array("x", "y").alias("location"),
-        F.struct(*[F.col(m) if m in have else F.lit(None).cast("string").alias(m) for m in meta]).alias("metadata"))
-    out.write.json(path)
+        *[F.col(m.strip()) if m.strip() in have else F.lit(None).cast(t.strip()).alias(m.strip()) for m, t in fields])
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Events of `all_events` as JSON lines, the fields of each kind under `metadata`."""
+    out = packed_events(events)
+    own = ["match_id", "event_type", "frame_idx", "timestamp", "confidence", "location"]
+    out.select(*own, F.struct(*[c for c in out.columns if c not in own]).alias("metadata")).write.json(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

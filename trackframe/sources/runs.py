@@ -7,28 +7,21 @@ from pyspark.sql import functions as F
 
 from trackframe.operators import reports
 from trackframe.sources import io
+from trackframe.sources.catalogue import read_runs
 
 FILES = {"has_events": "events.jsonl", "has_timeline": "score_timeline.json", "has_manifest": "run_manifest.json"}
-#: run and file in a path; Spark writes a folder of part files under a file's name.
-PLACE = r"([^/]+)/([^/]+[.]jsonl?)(?:/part-[^/]*)?$"
-
-
-def _texts(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """Records of one kind of file with their run; none if no run has it."""
-    reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", not name.endswith("l"))
-    place = F.col("_metadata.file_path")
-    rows = reader.json(root).withColumn("run", F.regexp_extract(place, PLACE, 1))
-    return rows.filter(F.regexp_extract(place, PLACE, 2) == name)
+#: A run has one of these at least.
+KNOWN = (*FILES.values(), "video_metadata.json", "teams.json")
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """run, a flag per kind of file, fps, duration, width, height, and counts of events (0 where there are none)."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    at = names.select(F.regexp_extract("path", PLACE, 1).alias("run"), F.regexp_extract("path", PLACE, 2).alias("file")).filter("run <> ''")
+    at = read_runs(spark, root).filter(F.col("file").isin(*KNOWN))
     flags = at.groupBy("run").agg(*[F.max(F.col("file") == f).alias(n) for n, f in FILES.items()])
-    meta = _texts(spark, root, "video_metadata.json", io.MATCHES).select("run", "fps", "duration", "width", "height")
-    counts = reports.event_type_counts(_texts(spark, root, "events.jsonl", io.EVENTS), "run")
-    out = flags.join(meta, "run", "left").join(counts, "run", "left")
+    meta = read_runs(spark, root, "video_metadata.json", io.MATCHES).select("run", "fps", "duration", "width", "height")
+    counts = reports.event_type_counts(read_runs(spark, root, "events.jsonl", io.EVENTS), "run")
+    # Both sides come from Python; a run is a row.
+    out = flags.join(meta.hint("merge"), "run", "left").join(counts.hint("merge"), "run", "left")
     return out.fillna(0, ["n_shot", "n_goal", "n_other"])
 
 
@@ -36,13 +29,13 @@ def run_metadata(spark: SparkSession, root: str, run: str) -> DataFrame:
     """One row: run, and as structs the run's video_metadata, manifest and teams, each null where the run has none."""
     out = spark.createDataFrame([(run,)], "run string")
     for name, file, schema in (("video_metadata", "video_metadata.json", io.MATCHES), ("manifest", "run_manifest.json", io.MANIFEST), ("teams", "teams.json", io.TEAMS)):
-        doc = _texts(spark, root, file, schema).filter(F.col("run") == run).drop("match_id")
-        out = out.join(doc.select("run", F.struct(*[c for c in doc.columns if c != "run"]).alias(name)), "run", "left")
+        doc = read_runs(spark, root, file, schema, run).drop("match_id")
+        out = out.join(doc.select("run", F.struct(*[c for c in doc.columns if c != "run"]).alias(name)).hint("merge"), "run", "left")
     return out
 
 
 def run_events(spark: SparkSession, root: str, run: str) -> DataFrame:
-    """The run's events, each with their number."""
-    rows = _texts(spark, root, "events.jsonl", io.EVENTS).filter(F.col("run") == run)
+    """The run's events, each with their number. No file of another run is opened."""
+    rows = read_runs(spark, root, "events.jsonl", io.EVENTS, run)
     # One row is broadcast.
     return rows.join(F.broadcast(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n_events"))), "run")
