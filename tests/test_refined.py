@@ -227,3 +227,14 @@ def test_headers_are_those_of_files(spark, tmp_path):
     assert header(f"{tmp_path}/timeline") == ["match_id", "event_type", "timestamp", "confidence", "frame_idx"]
     io.export_csv(io.packed_events(shots), f"{tmp_path}/shots")
     assert header(f"{tmp_path}/shots")[:6] == ["match_id", "event_type", "frame_idx", "timestamp", "confidence", "speed"]
+
+
+def test_what_is_written_on_the_way_goes(spark):
+    df = io.saved(spark.range(5), "some")
+    at = io.scratch_dir(spark)
+    assert df.count() == 5
+    assert io.scratch(spark, "x").startswith(at + "/")
+    io.clear_scratch(spark)
+    store, path = io._hadoop(spark, at)
+    assert not store.exists(path)
+    assert io.saved(spark.range(3), "more").count() == 3

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -303,7 +301,7 @@ def _file(name: str, sql: str | None, inputs: tuple, write, read) -> None:
     """A query that writes a fixture to a new folder of the session's shared one and reads it back."""
 
     def run(spark, sf_dir):
-        at = f"{io.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        at = io.scratch(spark, name)
         write(at, *[fx(spark, sf_dir, i) for i in inputs])
         return rounded(read(spark, at))
 
@@ -354,7 +352,7 @@ _file("A7_score_document", "SELECT match_id, r(ts_s) AS ts_s, frame_idx, i(count
       lambda at, e: io.write_score(events.score_timeline(e.filter("event_type = 'goal'").withColumnRenamed("region", "goal_region")), at), io.read_score)
 _file("A8_team_document", "SELECT match_id, track_id, i(team_id) AS team_id, team_name, r(team_id * 10.0) AS b, r(2.0) AS g, r(3.0) AS r FROM (SELECT DISTINCT match_id, track_id, team_id, team_name FROM fx_trk WHERE team_id >= 0)", ("fx_trk",),
       lambda at, t: io.write_teams(t.filter("team_id >= 0").select("match_id", "team_id", "team_name", (F.col("team_id") * 10.0).alias("b"), F.lit(2.0).alias("g"), F.lit(3.0).alias("r")).distinct(), t.filter("team_id >= 0").select("match_id", "team_id", "track_id").distinct(), at),
-      lambda s, at: (lambda named, who: who.join(named, ["match_id", "team_id"]).select("match_id", "track_id", "team_id", "team_name", "b", "g", "r"))(*io.read_teams(s, at)))
+      lambda s, at: (lambda named, who: who.join(named.hint("merge"), ["match_id", "team_id"]).select("match_id", "track_id", "team_id", "team_name", "b", "g", "r"))(*io.read_teams(s, at)))
 _file("A9_read_matches", "SELECT match_id, r(fps) AS fps, i(total_frames) AS total_frames, i(width) AS width, i(height) AS height, r(duration) AS duration, 'avc1' AS codec FROM fx_match", ("fx_match",),
       lambda at, m: io.write_documents(m.withColumn("codec", F.lit("avc1")), at), io.read_matches)
 _file("A10_read_manifests", """SELECT match_id, '1.0' AS schema_version, 'v' || match_id || '.mp4' AS video_path, 'runs/' || match_id AS output_dir, '2024-01-01T10:00:00' AS start_time, '2024-01-01T11:00:00' AS end_time,

@@ -18,6 +18,10 @@ SCORES = "match_id BIGINT, goals BIGINT, final_score STRUCT<team_a: BIGINT, team
 MANIFEST = "match_id BIGINT, schema_version STRING, video_path STRING, output_dir STRING, start_time STRING, end_time STRING, config STRING, stages ARRAY<STRING>"
 
 
+_own: dict[str, str] = {}
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only in local mode, where a session may name none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -25,12 +29,50 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="trackframe-")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="trackframe-")
+    return _own[app]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, for what is written on the way. It goes when the driver ends, or by `clear_scratch`."""
+    app, shared = spark.sparkContext.applicationId, shared_dir(spark)
+    path = f"{shared}/trackframe-{app}"
+    if _scratch.get(app) != path:
+        store, at = _hadoop(spark, path)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _scratch[app] = path
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    store, at = _hadoop(spark, path)
+    store.delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that has been written on the way. Results that have not been read or written by then are lost."""
+    remove(spark, scratch_dir(spark))
+    _scratch.pop(spark.sparkContext.applicationId)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: it is computed once, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: it is computed once, lineage is cut, and a lost executor costs no recomputation."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
