@@ -2,55 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackframe.sources.io import remove, saved, scratch, shared_dir  # noqa: F401  also for the modules of this folder
+
 #: White space as the contracts define it; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
 #: A broadcast side holds at most this many rows of a few numbers each (about 64 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
-_own: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only in local mode, where a session may name none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="trackframe-")
-    return _own[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of `scratch` that nothing reads any more, in whatever store it is."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def free(taken: list[str], name: str) -> str:
     """name, or with underscores after it, so that no column is called like that."""
     used = {x.lower() for x in taken}

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +21,19 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: White space next to white space, where a space or line feed need not start a token. Elsewhere it always does in a
-#: byte-level BPE of this family, and a line feed is a token of its own, so a text may be cut there.
-DOUBLED = re.compile(r"\s\s")
+#: White space of Unicode.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts that are encoded whole: empty ones, and those with white space next to white space or at an end, where a space or
+#: line feed need not start a token. Elsewhere it always does in a byte-level BPE of this family, and a line feed is a
+#: token of its own, so a text may be cut there.
+WHOLE = rf"\A\z|\A{BLANK}|{BLANK}\z|{BLANK}{BLANK}"
 #: Punctuation that may follow a word: a token of its own behind letters. Not the quote, with which contractions begin.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A worker remembers words and their ids up to this many bytes; then it starts anew. Longer words are not remembered.
+#: A worker remembers words and their ids up to this many bytes, and forgets those that it has not met for long. Longer words are not remembered.
 REMEMBERED_BYTES = 128 << 20
 WORD_BYTES = 256
-#: Rows encoded at once.
-ROWS = 256
+#: Rows and bytes encoded at once (one row at least).
+ROWS, BYTES = 10_000, 4 << 20
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true", "compression": "zstd"}
 END = 2
 
@@ -69,8 +71,9 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.bpe = self.model.model
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.room = REMEMBERED_BYTES
+        self.room = REMEMBERED_BYTES // 2
         #: A text with one of these is encoded whole: they are found before the text is cut.
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         feed = self._ids("\n")
@@ -92,62 +95,130 @@ class Encoder:
         ids = [t.id for t in self.bpe.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, new: list[str]) -> None:
-        """Letters and punctuation behind them are two pieces. Other words go through the tokenizer as lines of one text: each line feed comes out as one id and parts them."""
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of new words. Letters and punctuation behind them are two pieces. Other words go through the tokenizer as lines of one text: each line feed comes out as one id and parts them."""
         import numpy as np
 
-        others, feed, space = [], struct.pack("<I", self.feed), self.letters[32]
-        tokenize, words, parts, letters = self.bpe.tokenize, self.words, self.parts, self.letters
+        out, others, feed, space = [b""] * len(new), [], struct.pack("<I", self.feed), self.letters[32]
+        tokenize, parts, letters = self.bpe.tokenize, self.parts, self.letters
         if len(parts) > 10_000:
             parts.clear()
-        for w in new:
+        for k, w in enumerate(new):
             core = w.rstrip(TAIL)
-            ascii_ = core.isascii()
-            if not core.isalpha() or not (ascii_ or max(core) < "\u0250"):
-                others.append(w)
+            lined = core[:1] == "\n"
+            plain = core[1:] if lined else core
+            ascii_ = plain.isascii()
+            if not plain.isalpha() or not (ascii_ or max(plain) < "\u0250"):
+                others.append(k)
                 continue
-            ids = [t.id for t in tokenize(space + (core if ascii_ else core.encode().decode("latin-1").translate(letters)))]
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            # A word that is known without its punctuation needs no second look.
+            ids = None if len(core) == len(w) else self.words.get(core) or self.older.get(core)
+            if ids is None:
+                found = [t.id for t in tokenize(("" if lined else space) + (plain if ascii_ else plain.encode().decode("latin-1").translate(letters)))]
+                ids = struct.pack(f"<{len(found)}I", *found)
+                ids = feed + ids if lined else ids
             if len(core) < len(w):
                 tail = w[len(core) :]
                 if tail not in parts:
                     parts[tail] = self._part(tail)
-                out += parts[tail]
-            words[w] = out
-        for k in range(0, len(others), 2000):
-            some = others[k : k + 2000]
-            ids = self._ids("\n".join([w[1:] if w[0] == "\n" else " " + w for w in some]))
+                ids += parts[tail]
+            out[k] = ids
+        for at in range(0, len(others), 2000):
+            some = others[at : at + 2000]
+            ids = self._ids("\n".join([new[k][1:] if new[k][0] == "\n" else " " + new[k] for k in some]))
             ends = np.append(np.flatnonzero(ids == self.feed), len(ids)) * 4
             raw, i = ids.tobytes(), 0
-            for w, j in zip(some, ends.tolist(), strict=True):
-                words[w] = feed + raw[i:j] if w[0] == "\n" else raw[i:j]
+            for k, j in zip(some, ends.tolist(), strict=True):
+                out[k] = feed + raw[i:j] if new[k][0] == "\n" else raw[i:j]
                 i = j + 4
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """A word stands for itself behind a space, or behind a line feed where it begins with one, as the first does."""
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if not t or not self.cuts or DOUBLED.search(t) or t[0].isspace() or t[-1].isspace() or any(a in t for a in self.added):
-                cut.append(None)
-            else:
-                cut.append(("\n" + t.replace("\n", " \n")).split(" "))
-                new.update(set(cut[-1]).difference(self.words))
-        if new:
-            self._learn(list(new))
-        known = self.words.__getitem__
-        out = [self._ids(t).tobytes() if c is None else b"".join(map(known, c))[4:] for t, c in zip(texts, cut, strict=True)]
-        for w in new:
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of words. What is remembered has two generations: a word of the older one that is met moves to the newer, and
+        when that is full, it becomes the older one, and what has not been met meanwhile is forgotten."""
+        out = list(map(self.words.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        older = self.older.get
+        new, room = [], self.room
+        for k in missing:
+            w = words[k]
+            ids = older(w)
+            if ids is None:
+                new.append(k)
+                continue
+            out[k] = self.words[w] = ids
+            room -= 2 * len(w) + len(ids) + 180
+        for k, ids in zip(new, self._learn([words[k] for k in new]) if new else [], strict=True):
+            out[k], w = ids, words[k]
             # A word, its ids and its place in the dict.
-            size = 2 * len(w) + len(self.words[w]) + 180
-            if size > WORD_BYTES + 180:
-                del self.words[w]
-            else:
-                self.room -= size
-        if self.room < 0:
-            self.words, self.room = {}, REMEMBERED_BYTES
+            size = 2 * len(w) + len(ids) + 180
+            if size <= WORD_BYTES + 180:
+                self.words[w] = ids
+                room -= size
+        if room < 0:
+            self.words, self.older, room = {}, self.words, REMEMBERED_BYTES // 2
+        self.room = room
         return out
 
+    def ids_of(self, texts):
+        """(ids of all texts in a row, number of ids of each); texts is an Arrow array without nulls.
+
+        A word stands for itself behind a space, or behind a line feed where it begins with one, as the first does.
+        Arrow cuts the texts and counts equal words as one, so that Python sees each word of the texts once.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        n = len(texts)
+        whole = np.ones(n, dtype=bool)
+        if self.cuts:
+            odd = pc.match_substring_regex(texts, WHOLE)
+            for a in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, a))
+            whole = odd.to_numpy(zero_copy_only=False)
+        sizes, parts = np.zeros(n, dtype=np.int64), {}
+        for k in np.flatnonzero(whole).tolist():
+            parts[k] = self._ids(texts[k].as_py())
+            sizes[k] = len(parts[k])
+        if len(parts) == n:
+            return (np.concatenate(list(parts.values())) if n else np.zeros(0, dtype="<u4")), sizes
+        cut = texts.filter(pa.array(~whole)) if parts else texts
+        lined = pc.binary_join_element_wise("\n", pc.replace_substring(cut, "\n", " \n"), "")
+        lists = pc.split_pattern(lined, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        known = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(known), dtype="<u4")
+        own = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        codes = coded.indices.to_numpy()
+        lengths = own[codes]
+        upto = np.concatenate([[0], lengths.cumsum()])
+        at = np.repeat(((own.cumsum() - own)[codes] - upto[:-1]).astype(np.int32), lengths)
+        at += np.arange(upto[-1], dtype=np.int32)
+        flat = ids[at]
+        ends = upto[ends - ends[0]]
+        # The first id of each is the line feed that is not the text's.
+        keep = np.ones(len(flat), dtype=bool)
+        keep[ends[:-1]] = False
+        sizes[~whole] = np.diff(ends) - 1
+        flat = flat[keep]
+        if not parts:
+            return flat, sizes
+        out, starts = np.empty(sizes.sum(), dtype="<u4"), sizes.cumsum() - sizes
+        inside = np.repeat(~whole, sizes)
+        out[inside] = flat
+        for k, x in parts.items():
+            out[starts[k] : starts[k] + len(x)] = x
+        return out, sizes
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+
+        flat, sizes = self.ids_of(pa.array(texts, pa.string()))
+        ends = sizes.cumsum().tolist()
+        return [flat[j - int(m) : j].tobytes() for j, m in zip(ends, sizes, strict=True)]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -163,16 +234,23 @@ def _encode(path: str, end: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        encoder, last = _encoder(path), np.asarray([end], dtype="<u4").tobytes()
+        encoder = _encoder(path)
         for b in batches:
-            for k in range(0, b.num_rows, ROWS):
-                part = b.slice(k, ROWS)
-                ids = [x + last for x in encoder.encode(part.column(1).to_pylist())]
-                sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+            k = 0
+            while k < b.num_rows:
+                n = max(1, min(ROWS, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + BYTES, side="right")) - k))
+                part = b.slice(k, n)
+                k += n
+                flat, own = encoder.ids_of(part.column(1))
+                # Each row ends with the end id.
+                ends = own.cumsum()
+                flat = np.insert(flat, ends, end).astype(np.int32)
+                own = own + 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), flat)],
+                    [part.column(0), part.column(2), part.column(3), pa.array(own), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], own.cumsum()]).astype(np.int32)), pa.array(flat))],
                     names=["doc_id", "part", "row", "n_tokens", "ids"],
                 )
 
