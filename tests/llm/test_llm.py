@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from trackframe.llm import base, decontamination, licenses, mixing, neardup, pii, quality, secrets, sharding, tokens, warc
+from trackframe.llm import base, decontamination, infill, licenses, mixing, neardup, pii, quality, secrets, sharding, tokens, warc
 
 WORDS = [f"{a}{b}" for a in "ba de fi go lu me no pa ri su".split() for b in "ka le mi no ru sa te vu wo xi".split()]
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,7 +26,7 @@ def empty(df):
 
 def clashing(df):
     """Extra columns with the names that operators use themselves."""
-    return df.withColumns({c: F.lit("mine") for c in ("size", "place", "tie", "rank", "slot", "shard", "node", "keys", "q", "words", "text_key", "license_key", "run", "before", "row", "part", "key", "n", "root", "dedup_key", "mix_no", "mix_hash", "mix_position", "nth", "position", "vslot", "shard_no", "shard_vslot", "tie", "spans", "found", "item_id", "hash", "id", "no_id")})
+    return df.withColumns({c: F.lit("mine") for c in ("size", "place", "tie", "rank", "slot", "shard", "node", "keys", "q", "words", "text_key", "license_key", "run", "before", "row", "part", "key", "n", "root", "dedup_key", "mix_no", "mix_hash", "mix_position", "nth", "position", "vslot", "shard_no", "shard_vslot", "tie", "spans", "found", "item_id", "hash", "id", "no_id", "n_tokens", "ids", "digest", "first_id", "record_type", "whole", "h", "form", "again_id", "slot_id", "copy")})
 
 
 #: A benchmark for the operators that need one.
@@ -42,13 +42,26 @@ def sharded(df):
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def tokenized(df):
+    path = base.scratch(df.sparkSession, "tokens")
+    tokens.write_tokens(df, path)
+    return tokens.token_index(tokens.read_tokens(df.sparkSession, path))
+
+
+def archived(df):
+    """Rows as pages, written as archives and read back."""
+    pages = df.withColumnsRenamed({"doc_id": "page_id", "text": "html", "source": "url"})
+    return warc.read_archives(warc.write_archives(pages, base.scratch(df.sparkSession, "warc"))).withColumnRenamed("page_id", "doc_id")
+
+
 EVERY = {
+    "tokens": tokenized, "warc": archived, "infill": infill.transformed,
     "overlaps": lambda d: decontamination.overlaps(d, bench_of(d)), "clean_rows": lambda d: decontamination.clean_rows(d, bench_of(d)),
     "redact": lambda d: pii.redact(d, pii.detect(d)), "write_shards": sharded,
     "mix": mixing.mix, "mixed_rows": mixing.mixed_rows, "shard": sharding.shard, "pii": pii.detect, "secrets": secrets.scan, "licenses": licenses.scan,
     "quality": lambda d: quality.judged(d, []), "kept_rows": lambda d: quality.kept_rows(d, []), "classes": neardup.classes, "deduplicated": neardup.deduplicated,
 }
-PER_ROW = ("write_shards", "redact", "mix", "shard", "pii", "secrets", "licenses", "quality", "classes")
+PER_ROW = ("tokens", "warc", "infill", "write_shards", "redact", "mix", "shard", "pii", "secrets", "licenses", "quality", "classes")
 
 
 @pytest.mark.parametrize("name", sorted(EVERY))
@@ -56,6 +69,15 @@ def test_odd_rows(odd, name):
     got = EVERY[name](clashing(odd)).collect()
     if name in PER_ROW:
         assert sorted(collections.Counter(r.doc_id for r in got).items(), key=str) == sorted(collections.Counter(r.doc_id for r in odd.collect()).items(), key=str)
+    if name == "warc":
+        # Equal payloads are short here, so all are responses, with the digests of their own.
+        want = collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect() if len(r.text or "") < 100)
+        assert collections.Counter((r.doc_id, r.payload_digest) for r in got if r.payload_bytes < 100) == want
+        assert {r.record_type for r in got} == {"response"}
+    if name == "tokens":
+        model = __import__("tokenizers").Tokenizer.from_file(tokens.tokenizer_path())
+        counts = collections.Counter((r.doc_id, len(model.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in odd.collect())
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == counts
     if name in ("mixed_rows", "kept_rows", "deduplicated", "clean_rows", "redact", "write_shards"):
         # All odd rows are too short or repeat themselves for kept_rows.
         assert got or name == "kept_rows"
