@@ -157,6 +157,17 @@ def test_live_tracks_are_those_of_the_table(spark, tmp_path, ended):
     assert state == {"live": set() if ended else {1, 2}, "waiting": {9}}
 
 
+def test_a_replayed_table_gives_its_tracks(spark):
+    """The whole of a finished table, streamed, equals the keyed job; so does a table with one frame, and none gives none."""
+    df = spark.createDataFrame(detections(4, 40), DETECTION)
+    names = ["match_id", "object_type", "frame_idx", "track_id", "age", "hits", "time_since_update"]
+    for part in (df, df.filter("frame_idx = 3"), df.limit(0)):
+        got = {tuple(r) for r in live.replay(part, min_hits=2).select(*names, F.round("x1", 6)).collect()}
+        want = {tuple(r) for r in tracking.track(part, min_hits=2).select(*names, F.round("x1", 6)).collect()}
+        assert got == want
+    assert spark.conf.get(live.PROVIDER) == live.ROCKS
+
+
 def test_a_match_that_goes_on_after_its_end_is_a_new_one(spark, tmp_path):
     """Two stretches of one match with a pause longer than the idle time: ids begin at 1 twice, however the rows come."""
     rows = [r for r in detections(3, 20) if r[0] == 1]

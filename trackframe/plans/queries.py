@@ -11,6 +11,7 @@ from trackframe.operators import boxes, display, events, path, reports, teams, t
 from trackframe.plans.fixtures import FIXTURES, fx
 from trackframe.plans.registry import ORACLE, QUERIES, oracle, query, rounded
 from trackframe.sources import io, runs
+from trackframe.streaming import live
 
 KEY = "match_id, frame_idx, slot"
 BOX = ("x1", "y1", "x2", "y2")
@@ -284,6 +285,7 @@ query("H9_clock", "SELECT match_id, frame_idx, CAST(floor(ts_s / 60) AS BIGINT)
 
 # ---- multi-step --------------------------------------------------------------------------------------------------
 query("I3_track", None, "fx_det")(lambda d: tracking.track(d))
+query("J1_track_stream", None, "fx_det")(lambda d: live.replay(d))
 query("I5_assign_teams", None, "fx_det")(lambda d: teams.assign_teams(boxes.players(_present(d)).withColumn("track_id", F.col("slot"))))
 query("I6_name_teams", "SELECT DISTINCT match_id, i(slot % 6) AS team_id, CASE WHEN slot % 6 < 4 THEN 'team_' || chr(CAST(65 + slot % 6 AS INTEGER)) ELSE 'team_' || (slot % 6) END AS team_name FROM fx_det", "fx_det")(
     lambda d: teams.name_teams(d.select("match_id", (F.col("slot") % 6).alias("team_id")).distinct()))

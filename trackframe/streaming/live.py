@@ -14,9 +14,11 @@ import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trackframe.operators import tracking as T
+from trackframe.sources import io
 
 OUT = "match_id long, track_id long, frame_idx long, object_type string, x1 double, y1 double, x2 double, y2 double, confidence double, age long, hits long, time_since_update long"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
@@ -90,3 +92,26 @@ class LiveTracks(StatefulProcessor):
 def track_stream(detections: DataFrame, delay: str = "1 second", **rules: float) -> DataFrame:
     return detections.withWatermark("event_time", delay).groupBy("match_id").transformWithStateInPandas(
         LiveTracks(**rules), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+
+
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A match that no table has; its one row, far ahead, lets the watermark pass all others.
+LAST = -(1 << 62)
+
+
+def replay(detections: DataFrame, **rules: float) -> DataFrame:
+    """A finished table (with ts_s) through the live tracker: a stream over a written copy, run until all of it is used. Returns what it has written."""
+    spark, at = detections.sparkSession, io.scratch(detections.sparkSession, "replay")
+    cols = ["match_id", "frame_idx", "slot", "object_type", "x1", "y1", "x2", "y2", "confidence"]
+    # A day on: rows at the epoch would be late from the start.
+    rows = detections.select(*cols, F.timestamp_millis(F.round(F.col("ts_s") * 1000).cast("long") + 86_400_000).alias("event_time"))
+    end = rows.agg(F.max("event_time").alias("event_time")).select(*[F.lit({"match_id": LAST, "object_type": "none"}.get(c, 0)).cast(dict(rows.dtypes)[c]).alias(c) for c in cols], F.coalesce("event_time", F.timestamp_millis(F.lit(0))) + F.expr("INTERVAL 1 DAY"))
+    rows.unionByName(end.toDF(*rows.columns)).write.parquet(f"{at}/in")
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        found = track_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), **rules).filter(F.col("match_id") != LAST)
+        found.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return spark.read.schema(OUT).parquet(f"{at}/out")
