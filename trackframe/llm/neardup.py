@@ -206,8 +206,8 @@ def _verify(least: float):
                 if x != hub:
                     hub, h = x, labelled(s.as_py())
                 keep.append(similarity(h, labelled(t.as_py()), least) >= least)
-            some = b.filter(pa.array(keep, pa.bool_()))
-            yield some.select(["hub", "node"])
+            # Without the texts: a batch of them is not copied.
+            yield b.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
