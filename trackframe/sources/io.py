@@ -58,6 +58,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _hadoop(spark, path)
+    return store.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
     store, at = _hadoop(spark, path)
