@@ -378,6 +378,27 @@ def test_lists_are_read_by_trigram(spark, docs):
     assert sorted((r.both, r.either) for r in found) == [(False, True), (False, True), (True, True)]
 
 
+def test_a_kept_index_serves_later_rules(spark, docs):
+    """Lists that are there are read, not made: the texts are looked at for trigrams that no earlier rule set has asked for, and only then."""
+    one, other = secrets.BASE_RULES[:2], (secrets.Rule("word", "secret=[a-z]+"), secrets.Rule("new", "quux-[0-9]+"), secrets.Rule("none", "zzyzx[0-9]"))
+    d = docs([(1, "secret=abcdef quux-17", "a"), (2, "AKIA" + "Z" * 17, "a"), (None, None, None), (4, "quux-1 Quux-2", "b"), (4, "quux-1 Quux-2", "b")])
+    path = base.scratch(spark, "kept")
+    assert secrets.indexed_trigrams(spark, path) == []
+    for rules in (one, other, one + other):
+        got, want = ([(x.doc_id, [tuple(s) for s in x.spans]) for x in secrets.scan(d, rules, p).collect()] for p in (path, None))
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert {"sec", "aki", "quu", "ux-", "zzy"} <= set(secrets.indexed_trigrams(spark, path))
+    unread = spark.range(3).select(F.raise_error(F.lit("read")).alias("text"), F.lit(b"x").alias("text_key"))
+    assert secrets.write_index(unread, ["sec", "zzy"], path) == []
+    with pytest.raises(Exception, match="read"):
+        secrets.write_index(unread, ["sec", "+++"], path)
+    assert "+++" not in secrets.indexed_trigrams(spark, path)
+    # Lists that a lost job has written twice count once.
+    texts = d.select("doc_id", "text", secrets.text_key().alias("text_key"))
+    secrets.postings(texts, ["sec"]).select("text_key", F.hex("trigram").alias("list")).write.mode("append").partitionBy("list").parquet(f"{path}/lists")
+    assert [(x.doc_id, len(x.spans)) for x in secrets.scan(d, other[:1], path).filter("size(spans) > 0").collect()] == [(1, 1)]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query(r"(?i:foo|quux)[0-9]+bar?z")
     assert frozenset({frozenset({"foo"}), frozenset({"quu", "uux"})}) in q
@@ -518,9 +539,18 @@ def test_near_duplicates_match_brute_force(docs):
         v[3 * i] = f"only{i}"
         rows.append((2000 + i, " ".join(v), "a"))
     rows += [(5000, "", "a"), (5001, None, "a"), (5002, "two words", "a"), (5003, "two  words", "a"), (5004, "words two", "a")]
-    got = {x.doc_id: x.class_id for x in neardup.classes(docs(rows)).collect()}
+    found = neardup.classes(docs(rows)).collect()
+    got = {x.doc_id: x.class_id for x in found}
     want = brute_classes(rows)
     assert got == want
+    # Links are of different texts that are similar, and connect those of a class.
+    text = {i: " ".join((t or "").split()) for i, t, _ in rows}
+    for x in found:
+        different = {text[i] for i, c in want.items() if c == x.class_id}
+        similar = [neardup.similarity(neardup.labelled(a), neardup.labelled(b)) >= 0.8 for a, b in itertools.combinations(sorted(different), 2)] if x.class_id == x.doc_id else None
+        assert x.class_texts >= len(different) and x.class_links >= x.class_texts - 1
+        if similar is not None and x.class_texts == len(different):
+            assert x.class_links <= sum(similar)
     assert sorted(x.doc_id for x in neardup.deduplicated(docs(rows + rows[:3])).collect()) == sorted(set(want.values()))
 
 
@@ -590,8 +620,8 @@ def test_prefixes_of_similar_texts_meet():
 def test_near_copies_with_null_ids(docs):
     a, b, c = (prose(20 + i, 100) for i in range(3))
     rows = [(None, a, "a"), (None, a + " end", "a"), (None, a, "a"), (0, b, "a"), (None, b + " end", "a"), (None, c, "a"), (None, None, "a")]
-    got = collections.Counter((x.doc_id, x.class_id, x.class_rows) for x in neardup.classes(docs(rows)).collect())
-    assert got == {(None, None, 3): 3, (0, 0, 2): 1, (None, 0, 2): 1, (None, None, 1): 2}
+    got = collections.Counter(tuple(x) for x in neardup.classes(docs(rows)).collect())
+    assert got == {(None, None, 3, 2, 1): 3, (0, 0, 2, 2, 1): 1, (None, 0, 2, 2, 1): 1, (None, None, 1, 1, 0): 2}
     assert neardup.deduplicated(docs(rows)).count() == 4
 
 

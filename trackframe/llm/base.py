@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.sources.io import remove, saved, scratch, shared_dir  # noqa: F401  also for the modules of this folder
+from trackframe.sources.io import exists, remove, saved, scratch, shared_dir  # noqa: F401  also for the modules of this folder
 
 #: White space as the contracts define it; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"

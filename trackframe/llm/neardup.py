@@ -408,37 +408,66 @@ def np_counts(at, n):
     return out
 
 
-def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
-    """(doc_id, node, root) of every row of docs, written; all that was written on the way is removed."""
-    spark = docs.sparkSession
-    work = base.scratch(spark, "neardup")
+def _settled(docs: DataFrame, least: float, few: int, work: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketched rows, links of both rounds, roots of the nodes with links), all written below work."""
     sketched = base.saved(docs.select("doc_id", "text").mapInArrow(_forgetful(_sketch), "doc_id long, node binary, keys array<long>, kmers long, bits array<long>"), "sketches", work)
     nodes = sketched.groupBy("node").agg(F.min("doc_id").alias("any_id"), F.first("keys").alias("keys"), F.first("kmers").alias("kmers"), F.first("bits").alias("bits"))
     nodes = base.saved(nodes, "nodes", work)
     entries = _entries(nodes, work)
-    links = _links(docs, nodes, _star_pairs(entries, least, work), least, work)
-    roots = components(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), work)
+    first = _links(docs, nodes, _star_pairs(entries, least, work), least, work)
+    roots = components(first.select(F.col("hub").alias("a"), F.col("node").alias("b")), work)
     open_ = _open(entries, roots, work)
     pairs = _few_pairs(open_, few, least)
     crowded = _crowded_pairs(docs, nodes, open_, few, least, work)
     pairs = pairs if crowded is None else pairs.union(crowded)
-    links = _links(docs, nodes, pairs.distinct(), least, work)
+    second = _links(docs, nodes, pairs.distinct(), least, work)
     # Classes so far are stars already: with the links between them, few steps are left.
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links.select("hub", "node"))
-    roots = components(edges, work)
-    roots = base.saved(roots, "roots", work)
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second.select("hub", "node"))
+    roots = base.saved(components(edges, work), "roots", work)
+    return sketched, first.union(second), roots
+
+
+def _with_roots(sketched: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, node, root) of every row, written."""
     members = sketched.select("doc_id", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    out = base.saved(members, "neardup-members")
-    base.remove(spark, work)
+    return base.saved(members, "neardup-members")
+
+
+def _links_per_class(links: DataFrame, roots: DataFrame, work: str) -> DataFrame:
+    """(root, class_links): different pairs of texts that the alignment has accepted, whichever of the two was the hub."""
+    pairs = base.saved(links.select(F.least("hub", "node").alias("node"), F.greatest("hub", "node").alias("other")).distinct(), "different-links", work)
+    # A hub's links are of one node: the join is of two plain shuffles, so they can be split.
+    return base.saved(pairs.join(roots.hint("merge"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("class_links")), "class-links", work)
+
+
+def _members(docs: DataFrame, least: float, few: int = FEW) -> DataFrame:
+    """(doc_id, node, root) of every row of docs, written; all that was written on the way is removed."""
+    work = base.scratch(docs.sparkSession, "neardup")
+    sketched, _, roots = _settled(docs, least, few, work)
+    out = _with_roots(sketched, roots)
+    base.remove(docs.sparkSession, work)
     return out
 
 
 def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the lowest id of its class), class_rows; one row per row of docs."""
-    members = _members(docs, least)
-    # Sums per root are map-side combined and written; the join is of two plain shuffles, whose hot side AQE can split.
-    named = base.saved(members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")), "neardup-classes")
-    return members.join(named.hint("merge"), "root").select("doc_id", "class_id", "class_rows")
+    """doc_id, class_id (the lowest id of its class), class_rows, class_texts (its different texts), class_links; one row per row of docs.
+
+    class_links counts the pairs of different texts of the class that were laid side by side and accepted. It is one less
+    than class_texts at least, and 0 for a class of copies of one text; pairs within a class that others have already
+    linked are not all compared.
+    """
+    spark = docs.sparkSession
+    work = base.scratch(spark, "neardup")
+    sketched, links, roots = _settled(docs, least, FEW, work)
+    members = _with_roots(sketched, roots)
+    n_links = _links_per_class(links, roots, work)
+    # Sums per node and root are map-side combined and written; the joins are of plain shuffles, whose hot side AQE can split.
+    per_node = members.groupBy("root", "node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    sums = per_node.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
+    sums = sums.join(n_links.hint("merge"), "root", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0)))
+    named = base.saved(sums, "neardup-classes")
+    base.remove(spark, work)
+    return members.join(named.hint("merge"), "root").select("doc_id", "class_id", "class_rows", "class_texts", "class_links")
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:

@@ -4,7 +4,9 @@ From each rule's regex a Boolean trigram query is derived: what every match must
 sets. The index is a table of postings (trigram, text), stored by trigram: a query reads the lists of its own trigrams
 and no others. Lists are intersected by counting: a text is in the intersection of a set's lists if it is in all of
 them. Only texts that a rule's query lets through are verified with its regex. A rule whose regex has no mandatory
-trigram is matched against every text. The index holds the trigrams that some rule asks for, in lower case.
+trigram is matched against every text. The index holds the trigrams that some rule has asked for, in lower case. It can
+be kept at a path: a later rule set reads the lists that are there, and only trigrams that no earlier one has asked for
+are looked up in the texts and added.
 
 A text is known in the index by the digest of its id and content.
 
@@ -126,16 +128,34 @@ def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     return lower.select("text_key", F.explode(F.filter(F.lit(sorted(trigrams)), lambda t: F.contains(F.col("lower"), t))).alias("trigram"))
 
 
-def write_index(texts: DataFrame, trigrams: list[str], path: str) -> None:
-    """The inverted index at path, a folder per trigram; a long list is in several files, as its texts hash."""
-    hexed = F.hex("trigram").alias("list")
-    spread = F.pmod(F.xxhash64("text_key"), F.lit(SPREAD))
-    postings(texts, trigrams).select("text_key", hexed).repartition("list", spread).write.partitionBy("list").parquet(path)
+def write_index(texts: DataFrame, trigrams: list[str], path: str) -> list[str]:
+    """The inverted index at path, a folder per trigram; a long list is in several files, as its texts hash. Returns the trigrams that were added.
+
+    Lists that the index has already are not made again, and if none is missing the texts are not read. Which lists it
+    has is noted after they are written: a job that is lost in between writes them once more, and a text that stands in
+    a list twice counts once. The texts have to be those that the index was made of.
+    """
+    spark = texts.sparkSession
+    missing = sorted(set(trigrams) - set(indexed_trigrams(spark, path)))
+    if missing:
+        hexed = F.hex("trigram").alias("list")
+        spread = F.pmod(F.xxhash64("text_key"), F.lit(SPREAD))
+        postings(texts, missing).select("text_key", hexed).repartition("list", spread).write.mode("append").partitionBy("list").parquet(f"{path}/lists")
+        spark.createDataFrame([(t,) for t in missing], "trigram string").coalesce(1).write.mode("append").parquet(f"{path}/trigrams")
+    return missing
+
+
+def indexed_trigrams(spark: SparkSession, path: str) -> list[str]:
+    """The trigrams whose lists are in the index at path, also those that no text has; none where there is no index."""
+    if not base.exists(spark, f"{path}/trigrams"):
+        return []
+    # As many as the rules have asked for.
+    return [r.trigram for r in spark.read.schema("trigram string").parquet(f"{path}/trigrams").distinct().collect()]
 
 
 def read_lists(spark: SparkSession, path: str, trigrams: list[str]) -> DataFrame:
     """(list, text_key): the lists of these trigrams; the others are not opened."""
-    stored = spark.read.schema("text_key binary, list string").parquet(path)
+    stored = spark.read.schema("text_key binary, list string").parquet(f"{path}/lists")
     return stored.filter(F.col("list").isin([_list_of(t) for t in trigrams]))
 
 
@@ -194,8 +214,11 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.regex)), folded).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
-    """doc_id and `spans`, an array of (start, number, end) sorted by start, then rule; one row per row of docs."""
+def scan(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES, index_path: str | None = None) -> DataFrame:
+    """doc_id and `spans`, an array of (start, number, end) sorted by start, then rule; one row per row of docs.
+
+    index_path: where the index of these rows is kept for later rule sets; without it, it goes with the application.
+    """
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_key().alias("text_key"), base.text_of().alias("text"))
     queries = {r.kind: trigram_query(r.regex) for r in rules}
@@ -206,7 +229,7 @@ def scan(docs: DataFrame, rules: tuple = BASE_RULES + MORE_RULES) -> DataFrame:
     scanned = texts.select("doc_id", "text_key", F.concat(none, *[spans_of(F.col("text"), r, i) for i, r in full]).alias("full"))
     if not indexed:
         return scanned.select("doc_id", F.sort_array("full").alias("spans"))
-    path = base.scratch(spark, "trigram-index")
+    path = index_path or base.scratch(spark, "trigram-index")
     write_index(texts, asked, path)
     some = base.saved(candidates(spark, path, {r.kind: queries[r.kind] for _, r in indexed}), "secret-candidates")
     n = some.count()
