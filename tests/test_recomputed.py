@@ -130,6 +130,18 @@ def test_tracker_runs_once(spark):
     assert "Python" not in plan
 
 
+def test_tracks_take_one_pass(spark, monkeypatch):
+    """Frames and births are counted as the rows pass: only the tracks are written, and births of two types in one slot are two tracks."""
+    names, saved = [], io.saved
+    monkeypatch.setattr(io, "saved", lambda df, name, *a: names.append(name) or saved(df, name, *a))
+    rows = [(1, f, f / 25, 0, kind, x, 0.0, x + 40.0, 90.0, 0.9) for f in range(0, 20, 2) for kind, x in (("ball", 10.0), ("player", 500.0))]
+    # The second frame has two times; the lesser one counts.
+    rows[2] = (*rows[2][:2], 7.5, *rows[2][3:])
+    got = tracking.track(spark.createDataFrame(rows, DETECTION), min_hits=2).collect()
+    assert names == ["tracks"]
+    assert sorted((r.object_type, r.track_id, r.frame_idx, r.ts_s, r.hits) for r in got) == [(kind, i, f, f / 25, f // 2 + 1) for i, kind in ((1, "ball"), (2, "player")) for f in range(2, 20, 2)]
+
+
 @pytest.mark.parametrize("ended", [False, True])
 def test_live_tracks_are_those_of_the_table(spark, tmp_path, ended):
     """ended: a row of another match, far ahead, ends all matches before it."""

@@ -1,8 +1,8 @@
 """Tracks from detections.
 
-Frames follow each other, so this is one keyed job per (match, type): types never match each other, and only the number
-of frames with any detection is shared, which a rank over the distinct frames supplies. A track's motion is four independent filters with
-constant velocity, for centre, area and aspect.
+Frames follow each other, so this is one keyed job per match: types never match each other, but they share the number of
+frames and that of births, which both are counted as the match's rows pass in order. A track's motion is four independent
+filters with constant velocity, for centre, area and aspect.
 """
 
 from __future__ import annotations
@@ -15,44 +15,55 @@ from pyspark.sql import functions as F
 from trackframe.operators import slices
 from trackframe.sources import io
 
-#: Fixed noise: of positions, and of velocities by quantity; first variances.
-Q_POS, Q_VEL, P_POS, P_VEL = 1.0, (0.01, 0.01, 0.01, 0.0001), 10.0, 10_000.0
+#: Fixed noise: of positions, of velocities, and of that of the aspect; first variances.
+Q_POS, Q_VEL, Q_VEL_ASPECT, P_POS, P_VEL = 1.0, 0.01, 0.0001, 10.0, 10_000.0
 SCHEMA = (
-    "match_id long, object_type string, birth_tick long, birth_slot long, frame_idx long, ts_s double, x1 double, y1 double, x2 double, y2 double, "
-    "confidence double, age long, hits long, time_since_update long, confirmed boolean"
+    "match_id long, object_type string, frame_idx long, ts_s double, x1 double, y1 double, x2 double, y2 double, "
+    "confidence double, age long, hits long, time_since_update long, track_id long"
 )
+#: Rows of tracks in a batch that leaves a task.
+BATCH = 20_000
 
 
 class Track:
-    """State of one track; `step` predicts, `take` takes a detection."""
+    """State of one track; `step` predicts, `take` takes a detection. Variances follow from the noise and from when there were
+    detections alone, so centre and area, whose noise is the same, share theirs (p); the aspect has its own (q)."""
 
-    __slots__ = ("x", "v", "pxx", "pxv", "pvv", "box", "confidence", "age", "hits", "missed", "confirmed", "born", "number")
+    __slots__ = ("x", "v", "pxx", "pxv", "pvv", "qxx", "qxv", "qvv", "box", "confidence", "age", "hits", "missed", "confirmed", "born", "number")
 
     def __init__(self, box: tuple, confidence: float, born: tuple):
         self.x, self.v = _state(box), [0.0] * 4
-        self.pxx, self.pxv, self.pvv = [P_POS] * 4, [0.0] * 4, [P_VEL] * 4
+        self.pxx = self.qxx = P_POS
+        self.pxv = self.qxv = 0.0
+        self.pvv = self.qvv = P_VEL
         self.box, self.confidence, self.born = box, confidence, born
         self.age, self.hits, self.missed, self.confirmed, self.number = 0, 1, 0, False, None
 
     def step(self) -> None:
-        for i in range(4):
-            self.x[i] += self.v[i]
-            self.pxx[i] += 2 * self.pxv[i] + self.pvv[i] + Q_POS
-            self.pxv[i] += self.pvv[i]
-            self.pvv[i] += Q_VEL[i]
+        self.x = [a + b for a, b in zip(self.x, self.v, strict=True)]
+        self.pxx += 2 * self.pxv + self.pvv + Q_POS
+        self.pxv += self.pvv
+        self.pvv += Q_VEL
+        self.qxx += 2 * self.qxv + self.qvv + Q_POS
+        self.qxv += self.qvv
+        self.qvv += Q_VEL_ASPECT
         self.box = _box(self.x)
         self.age += 1
         self.missed += 1
 
     def take(self, box: tuple, confidence: float, min_hits: int) -> None:
-        for i, z in enumerate(_state(box)):
-            s = self.pxx[i] + 1.0
-            kx, kv, y = self.pxx[i] / s, self.pxv[i] / s, z - self.x[i]
-            self.x[i] += kx * y
-            self.v[i] += kv * y
-            self.pvv[i] -= kv * self.pxv[i]
-            self.pxv[i] -= kx * self.pxv[i]
-            self.pxx[i] -= kx * self.pxx[i]
+        s, r = self.pxx + 1.0, self.qxx + 1.0
+        kx, kv, lx, lv = self.pxx / s, self.pxv / s, self.qxx / r, self.qxv / r
+        y = [a - b for a, b in zip(_state(box), self.x, strict=True)]
+        (a, b, c, d), (e, f, g, h) = self.x, self.v
+        self.x = [a + kx * y[0], b + kx * y[1], c + kx * y[2], d + lx * y[3]]
+        self.v = [e + kv * y[0], f + kv * y[1], g + kv * y[2], h + lv * y[3]]
+        self.pvv -= kv * self.pxv
+        self.pxv -= kx * self.pxv
+        self.pxx -= kx * self.pxx
+        self.qvv -= lv * self.qxv
+        self.qxv -= lx * self.qxv
+        self.qxx -= lx * self.qxx
         self.box, self.confidence, self.missed = box, confidence, 0
         self.hits += 1
         self.confirmed = self.confirmed or self.hits >= min_hits
@@ -78,9 +89,17 @@ def _iou(a: tuple, b: tuple) -> float:
     return w * h / union if union > 0 else 0.0
 
 
+def _near(box: tuple, found: list, min_iou: float) -> list[int]:
+    """Places of the detections that can overlap: those beside the box are told by two comparisons."""
+    if not min_iou > 0:
+        return list(range(len(found)))
+    left, right = box[0], box[2]
+    return [j for j, d in enumerate(found) if not (d[1][0] >= right or d[1][2] <= left)]
+
+
 def _match(tracks: list[Track], found: list, min_iou: float, min_hits: int) -> tuple[list[Track], list]:
     """Greedy one-to-one matching by overlap; returns what is left of both."""
-    pairs = sorted(((-v, i, j) for i, t in enumerate(tracks) for j, d in enumerate(found) if (v := _iou(t.box, d[1])) >= min_iou))
+    pairs = sorted((-v, i, j) for i, t in enumerate(tracks) for j in _near(t.box, found, min_iou) if (v := _iou(t.box, found[j][1])) >= min_iou)
     used_t, used_d = set(), set()
     for _, i, j in pairs:
         if i not in used_t and j not in used_d:
@@ -108,57 +127,78 @@ def ticked(detections: DataFrame) -> DataFrame:
     return slices.dense_rank(detections, ["match_id"], ["frame_idx"], "tick")
 
 
-def _tracker(*rules: float):
-    """Sorted rows of whole (match, type) groups in, rows of confirmed tracks out, batch by batch: the live tracks are all that is kept.
+def next_frame(tracks: dict[str | None, list[Track]], tick: int, last_id: int, here: list, rules: tuple) -> int:
+    """Takes the tracks of all types of a match to their next frame, with detections `here` (slot, type, box, confidence) in order of slots.
 
-    A new track has a row of its own, not confirmed, by which births are counted.
+    A type also ages where only others were seen. Births of a frame are counted by slot, whatever their type; returns the last number given.
     """
+    found: dict = {kind: [] for kind in tracks}
+    for slot, kind, box, confidence in here:
+        own = found.setdefault(kind, [])
+        if confidence is not None and confidence == confidence:
+            own.append((slot, box, confidence))
+    born = []
+    for kind in sorted(found, key=str):
+        tracks[kind] = advance(tracks.get(kind, []), tick, found[kind], *rules)
+        born += [t for t in tracks[kind] if t.number is None]
+    for t in sorted(born, key=lambda t: t.born):
+        last_id += 1
+        t.number = last_id
+    return last_id
+
+
+def _values(column) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _tracker(*rules: float):
+    """Rows of whole matches in order of frames and slots in, rows of confirmed tracks out, batch by batch: the live tracks and one frame are all that is kept."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
-        group, frame, tracks, found, out = None, None, [], [], []
+        schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
+        match, frame, ts, tick, last_id, tracks, here, out, open_ = None, None, None, 0, 0, {}, [], [], False
 
         def close() -> None:
-            nonlocal tracks
-            tracks = advance(tracks, frame[2], found, *rules)
-            out.extend((*group, *t.born, frame[0], frame[1], *t.box, t.confidence, t.age, t.hits, t.missed, t.confirmed) for t in tracks if t.confirmed or t.born[0] == frame[2])
+            nonlocal tick, last_id
+            tick += 1
+            last_id = next_frame(tracks, tick, last_id, here, rules)
+            out.extend((match, kind, frame, ts, *t.box, t.confidence, t.age, t.hits, t.missed, t.number) for kind, own in tracks.items() for t in own if t.confirmed)
+
+        def batch():
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+            return done
 
         for b in batches:
-            for match, kind, idx, ts, tick, slot, x1, y1, x2, y2, confidence in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if frame is None or tick != frame[2] or (match, kind) != group:
-                    if frame is not None:
+            for m, idx, slot, kind, s, x1, y1, x2, y2, confidence in zip(*(_values(c) for c in b.columns), strict=True):
+                if not open_ or idx != frame or m != match:
+                    if open_:
                         close()
-                    if (match, kind) != group:
-                        group, tracks = (match, kind), []
-                    frame, found = (idx, ts, tick), []
-                if slot is not None and confidence is not None and confidence == confidence:
-                    found.append((slot, (x1, y1, x2, y2), confidence))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out.clear()
-        if frame is not None:
+                        if len(out) >= BATCH:
+                            yield batch()
+                    if m != match:
+                        tick, last_id, tracks = 0, 0, {}
+                    match, frame, ts, here, open_ = m, idx, s, [], True
+                # A frame's time is the least of its rows'.
+                elif s is not None and (ts is None or ts != ts or s < ts):
+                    ts = s
+                if slot is not None:
+                    here.append((slot, kind, (x1, y1, x2, y2), confidence))
+        if open_:
             close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield batch()
 
     return run
 
 
 def track(detections: DataFrame, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3) -> DataFrame:
     """Confirmed tracks on every frame of their match while they live, also where only predicted. track_id counts a match's births from 1, also those never confirmed."""
-    cols = ["match_id", "object_type", "frame_idx", "ts_s", "tick", "slot", "x1", "y1", "x2", "y2", "confidence"]
-    rows = ticked(detections).select(*cols)
-    frames = rows.groupBy("match_id", "frame_idx", "tick").agg(F.min("ts_s").alias("ts_s"))
-    types = rows.select("match_id", "object_type").distinct()
-    # A type also ages on frames where only others were seen: every frame of the match comes with an empty row, which sorts first.
-    empty = frames.join(types, "match_id").select(
-        "match_id", "object_type", "frame_idx", "ts_s", "tick", F.lit(None).cast("long").alias("slot"), *[F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "confidence")])
-    both = rows.withColumn("slot", F.col("slot").cast("long")).unionByName(empty)
-    ordered = both.repartition("match_id", "object_type").sortWithinPartitions("match_id", "object_type", "tick", "slot")
-    # Written, because both the numbering and the result read it.
-    found = io.saved(ordered.mapInArrow(_tracker(thresh, buffer, min_iou, min_hits), SCHEMA), "tracks")
-    births = found.filter("NOT confirmed").select("match_id", "birth_tick", "birth_slot")
-    ids = io.saved(slices.row_numbers(births, ["match_id"], ["birth_tick", "birth_slot"], "track_id", None), "track-ids")
-    return found.filter("confirmed").join(ids.hint("merge"), ["match_id", "birth_tick", "birth_slot"]).drop("birth_tick", "birth_slot", "confirmed")
+    spark = detections.sparkSession
+    rows = detections.filter("match_id IS NOT NULL").select("match_id", "frame_idx", F.col("slot").cast("long").alias("slot"), "object_type", "ts_s", "x1", "y1", "x2", "y2", "confidence")
+    # With their number given, partitions stay as many: tracking takes longer than their bytes tell.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "match_id").sortWithinPartitions("match_id", "frame_idx", "slot")
+    # Written, so that readers of several columns or times find the tracks and do not run Python again.
+    return io.saved(dealt.mapInArrow(_tracker(thresh, buffer, min_iou, min_hits), SCHEMA), "tracks")
