@@ -3,8 +3,10 @@
 import collections
 import random
 from datetime import UTC, datetime
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,57 @@ def test_a_replayed_table_gives_its_tracks(spark):
     assert spark.conf.get(live.PROVIDER) == live.ROCKS
 
 
+class Handle:
+    """State and timers of one match, in memory, with counts of what is asked."""
+
+    def __init__(self):
+        self.value, self.found, self.timers, self.asked = None, {}, set(), collections.Counter()
+
+    def getValueState(self, *_):  # noqa: N802
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: self._set(v), clear=lambda: self._set(None))
+
+    def getMapState(self, *_):  # noqa: N802
+        return SimpleNamespace(keys=lambda: iter(list(self.found)), containsKey=self.found.__contains__, getValue=self.found.get, updateValue=lambda k, v: self._put(k, v), removeKey=self.found.pop)
+
+    def _set(self, value):
+        self.asked["live"] += 1
+        self.value = value
+
+    def _put(self, k, v):
+        self.asked["waiting"] += 1
+        self.found[k] = v
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.asked["timers"] += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.timers.discard(ms)
+
+
+def test_frames_that_wait_share_a_timer(spark):
+    """A watermark that passes 80 frames at once costs one timer and one writing of the live tracks; one within a bucket takes its first frames only."""
+    rows = [r for r in detections(5, 100) if r[0] == 1]
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTION.split(", ")]).sample(frac=1, random_state=1)
+    pdf["ms"] = 1_000_000 + pdf.frame_idx * 40
+    pdf["event_time"] = pd.to_datetime(pdf["ms"], unit="ms")
+    h, p, got = Handle(), live.LiveTracks(), []
+    p.init(h)
+    list(p.handleInputRows((1,), iter([pdf.iloc[:100], pdf.iloc[100:]]), None))
+    assert h.asked["timers"] == 1
+    assert h.asked["waiting"] == 4
+    for at in (1_003_201, 9_000_000):
+        assert (due := sorted(t for t in h.timers if t < at))
+        h.timers -= set(due)
+        h.asked.clear()
+        got.append(pd.concat(list(p.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda at=at: at), SimpleNamespace(getExpiryTimeInMs=lambda due=due: due[0])))))
+        assert h.asked["live"] == 1
+    assert (got[0].frame_idx.max(), got[1].frame_idx.min()) == (80, 81)
+    assert (h.value, h.found) == (None, {})
+    want = {(r.object_type, r.frame_idx, r.track_id, r.hits) for r in tracking.track(spark.createDataFrame(rows, DETECTION)).collect()}
+    assert {(r.object_type, r.frame_idx, r.track_id, r.hits) for r in pd.concat(got).itertuples()} == want
+
+
 def test_a_match_that_goes_on_after_its_end_is_a_new_one(spark, tmp_path):
     """Two stretches of one match with a pause longer than the idle time: ids begin at 1 twice, however the rows come."""
     rows = [r for r in detections(3, 20) if r[0] == 1]
