@@ -3,6 +3,7 @@
 import collections
 import csv
 import glob
+import gzip
 import json
 import random
 
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackframe.operators import events, quantiles, reports, teams
 from trackframe.sources import catalogue, io, runs
@@ -181,6 +183,35 @@ def test_a_partition_per_run(spark, saved_runs):
     assert catalogue.read_runs(spark, f"{saved_runs}/nowhere").count() == 0
 
 
+def test_large_files_of_a_run_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Every record once, wherever a range ends: in a line, at its end, within one longer than ranges, at blank lines and at bare or full returns."""
+    r, records = random.Random(9), []
+    for name, n in (("a", 300), ("b", 3)):
+        parts = tmp_path / name / "events.jsonl"
+        parts.mkdir(parents=True)
+        for k in range(2):
+            text = ""
+            for i in range(n):
+                own = {"event_type": r.choice(["shot", "goal", "ü\u2028\x0c"]) + "x" * r.choice([0, 0, 5, 900 if i == 7 else 1]), "frame_idx": 1000 * k + i, "confidence": 1}
+                records.append((name, own["event_type"], own["frame_idx"], 1.0))
+                text += json.dumps(own, ensure_ascii=i % 2 == 0) + r.choice(["\n", "\n", "\r\n", "\r", "\n\n", "\n \n"])
+            (parts / f"part-{k}.json").write_bytes(text.encode() if k else text.rstrip().encode())
+    (tmp_path / "b" / "events.jsonl" / "part-2.json.gz").write_bytes(gzip.compress(b'{"event_type": "goal", "frame_idx": 9, "confidence": 1}\n' * 50))
+    records += [("b", "goal", 9, 1.0)] * 50
+    want = collections.Counter(records)
+    for split in (97, 256, 4096):
+        monkeypatch.setattr(catalogue, "SPLIT", split)
+        reader = catalogue.RunReader(StructType.fromDDL("run string, event_type string, frame_idx long, confidence double"), {"root": str(tmp_path), "file": "events.jsonl"})
+        parts = reader.partitions()
+        assert sum(p.run == "a" for p in parts) > 30_000 / split
+        got = [tuple(x.values()) for p in parts for b in reader.read(p) for x in b.to_pylist()]
+        assert collections.Counter(got) == want
+        count = catalogue.RunReader(StructType.fromDDL("run string"), {"root": str(tmp_path), "file": "events.jsonl"})
+        assert sum(b.num_rows for p in count.partitions() for b in count.read(p)) == len(records)
+    monkeypatch.undo()
+    assert runs.run_events(spark, str(tmp_path), "b").filter("n_events = 56").count() == 56
+
+
 def test_filters_choose_partitions(spark, saved_runs):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     try:

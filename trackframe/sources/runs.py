@@ -37,5 +37,6 @@ def run_metadata(spark: SparkSession, root: str, run: str) -> DataFrame:
 def run_events(spark: SparkSession, root: str, run: str) -> DataFrame:
     """The run's events, each with their number. No file of another run is opened."""
     rows = read_runs(spark, root, "events.jsonl", io.EVENTS, run)
-    # One row is broadcast.
-    return rows.join(F.broadcast(rows.groupBy("run").agg(F.count(F.lit(1)).alias("n_events"))), "run")
+    # One row is broadcast; for it, lines are counted and not parsed.
+    count = read_runs(spark, root, "events.jsonl", "", run).groupBy("run").agg(F.count(F.lit(1)).alias("n_events"))
+    return rows.join(F.broadcast(count), "run")
