@@ -19,7 +19,7 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame:
     at = read_runs(spark, root).filter(F.col("file").isin(*KNOWN))
     flags = at.groupBy("run").agg(*[F.max(F.col("file") == f).alias(n) for n, f in FILES.items()])
     meta = read_runs(spark, root, "video_metadata.json", io.MATCHES).select("run", "fps", "duration", "width", "height")
-    counts = reports.event_type_counts(read_runs(spark, root, "events.jsonl", io.EVENTS), "run")
+    counts = reports.event_type_counts(read_runs(spark, root, "events.jsonl", "event_type STRING"), "run")
     # Both sides come from Python; a run is a row.
     out = flags.join(meta.hint("merge"), "run", "left").join(counts.hint("merge"), "run", "left")
     return out.fillna(0, ["n_shot", "n_goal", "n_other"])
