@@ -260,6 +260,16 @@ def test_headers_are_those_of_files(spark, tmp_path):
     assert header(f"{tmp_path}/shots")[:6] == ["match_id", "event_type", "frame_idx", "timestamp", "confidence", "speed"]
 
 
+@pytest.mark.parametrize("fmt", ["json", "csv", "parquet"])
+def test_folders_are_not_written_by_every_task(spark, tmp_path, fmt):
+    """Sixteen tasks hold rows of each of five matches: a folder has one file, not sixteen; a null key has its folder, too."""
+    rows = [(None if i % 5 == 4 else i % 5, i) for i in range(800)]
+    io.write_table(spark.createDataFrame(rows, "match_id long, frame_idx long").repartition(16), f"{tmp_path}/out", fmt, ("match_id",))
+    assert collections.Counter(f.rsplit("/", 2)[1] for f in glob.glob(f"{tmp_path}/out/*/part-*")) == {f"match_id={m}": 1 for m in (0, 1, 2, 3, "__HIVE_DEFAULT_PARTITION__")}
+    if fmt != "csv":
+        assert sorted(map(str, (tuple(r) for r in io.read_table(spark, f"{tmp_path}/out", "match_id long, frame_idx long", fmt).select("match_id", "frame_idx").collect()))) == sorted(map(str, rows))
+
+
 def test_what_is_written_on_the_way_goes(spark):
     df = io.saved(spark.range(5), "some")
     at = io.scratch_dir(spark)

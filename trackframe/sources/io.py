@@ -118,11 +118,16 @@ def read_tracks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return unpacked(read_table(spark, path, TRACKS, fmt))
 
 
+def _gathered(df: DataFrame, partition_by: tuple) -> DataFrame:
+    """Rows of a folder in few tasks, so that there are about as many files as folders and not as folders times tasks; Spark splits what is too large for one."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple = ()) -> None:
     """fmt: parquet, json or csv; csv gets scalar columns for arrays."""
     if fmt == "csv":
         return export_csv(df, path, partition_by)
-    df.write.format(fmt).partitionBy(*partition_by).save(path)
+    _gathered(df, partition_by).write.format(fmt).partitionBy(*partition_by).save(path)
     return None
 
 
@@ -131,7 +136,7 @@ def export_csv(df: DataFrame, path: str, partition_by: tuple = ()) -> None:
     df = file_names(df)
     arrays = [n for n, t in df.dtypes if t.startswith("array")]
     out = df.withColumns({f"{n}_{i}": F.get(n, i) for n in arrays for i in range(4 if n == "bbox" else 2)}).drop(*arrays)
-    out.write.option("header", True).partitionBy(*partition_by).csv(path)
+    _gathered(out, partition_by).write.option("header", True).partitionBy(*partition_by).csv(path)
 
 
 def export_by_team(tracks: DataFrame, path: str) -> None:
