@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackframe.operators import clusters, teams, tracking
+from trackframe.plans import queries
 from trackframe.sources import io, runs
 from trackframe.streaming import live
 
@@ -144,6 +145,16 @@ def test_tracks_take_one_pass(spark, monkeypatch):
     assert sorted((r.object_type, r.track_id, r.frame_idx, r.ts_s, r.hits) for r in got) == [(kind, i, f, f / 25, f // 2 + 1) for i, kind in ((1, "ball"), (2, "player")) for f in range(2, 20, 2)]
 
 
+def test_shots_are_found_from_written_tracks(spark, monkeypatch):
+    """The way from detections to shots ranks no frames and joins no ids: what is written is the tracks and the numbered path of the ball."""
+    names, saved = [], io.saved
+    monkeypatch.setattr(io, "saved", lambda df, name, *a: names.append(name) or saved(df, name, *a))
+    rows = [(1, f, f / 25, 0, "ball", 100.0, 10.0 + 4 * f, 116.0, 26.0 + 4 * f, 0.9) for f in range(40)]
+    (shot,) = queries._end_to_end(spark.createDataFrame(rows, DETECTION)).collect()
+    assert (shot.target_goal, round(shot.speed, 2)) == ("bottom", 4.0)
+    assert names == ["tracks", "sorted", "counts"]
+
+
 @pytest.mark.parametrize("ended", [False, True])
 def test_live_tracks_are_those_of_the_table(spark, tmp_path, ended):
     """ended: a row of another match, far ahead, ends all matches before it."""
