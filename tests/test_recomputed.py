@@ -1,6 +1,7 @@
 """Sequential and iterative operators against plain Python."""
 
 import collections
+import itertools
 import random
 from datetime import UTC, datetime
 from types import SimpleNamespace
@@ -155,6 +156,50 @@ def test_shots_are_found_from_written_tracks(spark, monkeypatch):
     assert names == ["tracks", "sorted", "counts"]
 
 
+def test_tracks_of_some_types_are_those_of_all(spark):
+    """Other types' frames and times count though their boxes are left out; repeated, null and empty rows of the wanted type are kept as they are."""
+    rows = detections(5)
+    extra = [
+        (1, 200, 8.0, 0, "ball", 5.0, 5.0, 21.0, 21.0, 0.9), (1, 201, 8.04, 0, "ball", 5.0, 5.0, 21.0, 21.0, float("nan")), (1, 202, 8.08, 0, "ball", 5.0, 5.0, 21.0, 21.0, None),
+        (1, 203, 8.12, None, "ball", 5.0, 5.0, 21.0, 21.0, 0.9), (1, 204, 8.16, 3, None, 5.0, 5.0, 21.0, 21.0, 0.9), (1, 204, 8.17, 0, "ball", 5.0, 5.0, 21.0, 21.0, 0.9),
+        (1, 205, None, 0, "ball", 5.0, 5.0, 21.0, 21.0, 0.9), (1, 205, 8.2, 4, "player", 5.0, 5.0, 21.0, 21.0, 0.9), (1, 206, None, 0, "ball", 5.0, 5.0, 21.0, 21.0, 0.9), (1, None, 8.3, 4, "player", 5.0, 5.0, 21.0, 21.0, 0.9),
+        (None, 1, 0.0, 0, "ball", 5.0, 5.0, 21.0, 21.0, 0.9), *[(3, f, f / 25, s, "ball", 5.0, 5.0, 21.0, 21.0, 0.9) for f in range(6) for s in (0, 0, 1)], *[(4, f, f / 25, 0, "player", 5.0, 5.0, 45.0, 95.0, 0.9) for f in range(6)]]
+    df = spark.createDataFrame(rows + extra, DETECTION)
+    values = ["match_id", "object_type", "frame_idx", "ts_s", "x1", "y1", "x2", "y2", "confidence", "age", "hits", "time_since_update"]
+    told = lambda r: tuple(str(r[c]) for c in values)
+    for kinds in (("ball",), ("player",), ("ball", "player"), ("referee",)):
+        every, some = (sorted(t.collect(), key=lambda r: (told(r), r.track_id)) for t in (tracking.track(df).filter(F.col("object_type").isin(*kinds)), tracking.track(df, kinds=kinds)))
+        assert [told(r) for r in some] == [told(r) for r in every]
+        # Births are counted among these types, in the same order.
+        ids = collections.defaultdict(set)
+        for a, b in zip(every, some, strict=True):
+            ids[a.match_id].add((a.track_id, b.track_id))
+        for pairs in ids.values():
+            assert all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(sorted(pairs)))
+    assert len(tracking.track(df, kinds=("ball",)).filter("match_id = 3").select("track_id").distinct().collect()) == 3
+
+
+def test_shots_track_the_ball_alone(spark, monkeypatch):
+    """Python gets the ball's rows and one row for all others of a frame."""
+    seen, run = spark.sparkContext.accumulator(0), tracking._tracker
+
+    def counting(*rules):
+        inner = run(*rules)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return lambda batches: inner(count(batches))
+
+    monkeypatch.setattr(tracking, "_tracker", counting)
+    rows = [(1, f, f / 25, s, "ball" if s == 0 else "player", 100.0 * s, 10.0 + 4 * f, 100.0 * s + 16, 26.0 + 4 * f, 0.9) for f in range(40) for s in range(20)]
+    (shot,) = queries._end_to_end(spark.createDataFrame(rows, DETECTION)).collect()
+    assert (shot.target_goal, round(shot.speed, 2)) == ("bottom", 4.0)
+    assert seen.value == 80
+
+
 @pytest.mark.parametrize("ended", [False, True])
 def test_live_tracks_are_those_of_the_table(spark, tmp_path, ended):
     """ended: a row of another match, far ahead, ends all matches before it."""

@@ -194,11 +194,26 @@ def _tracker(*rules: float):
     return run
 
 
-def track(detections: DataFrame, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3) -> DataFrame:
-    """Confirmed tracks on every frame of their match while they live, also where only predicted. track_id counts a match's births from 1, also those never confirmed."""
-    spark = detections.sparkSession
+def _of_kinds(rows: DataFrame, kinds: tuple[str, ...], parts: int) -> DataFrame:
+    """Rows of these types, by match; all others of a frame become one row, which has their least time and no slot."""
+    values = ["slot", "x1", "y1", "x2", "y2", "confidence"]
+    own = F.coalesce(F.col("object_type").isin(*kinds), F.lit(False))
+    dealt = rows.withColumns({c: F.when(own, F.col(c)) for c in ("object_type", *values)}).repartition(parts, "match_id")
+    # Rows of these types are told apart by a number, so that none is lost; the others have none and fall together.
+    told = dealt.withColumn("own", F.when(F.col("object_type").isNotNull(), F.monotonically_increasing_id()))
+    return told.groupBy("match_id", "frame_idx", "object_type", "own").agg(F.min("ts_s").alias("ts_s"), *[F.first(c).alias(c) for c in values]).select(*rows.columns)
+
+
+def track(detections: DataFrame, thresh: float = 0.5, buffer: int = 30, min_iou: float = 0.3, min_hits: int = 3, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Confirmed tracks on every frame of their match while they live, also where only predicted. track_id counts a match's births from 1, also those never confirmed.
+
+    kinds: only tracks of these types are wanted. Types never match each other, so the tracks are the same without the others'
+    boxes; their frames and times still count. Births are then counted among these types, in the same order.
+    """
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = detections.filter("match_id IS NOT NULL").select("match_id", "frame_idx", F.col("slot").cast("long").alias("slot"), "object_type", "ts_s", "x1", "y1", "x2", "y2", "confidence")
     # With their number given, partitions stay as many: tracking takes longer than their bytes tell.
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "match_id").sortWithinPartitions("match_id", "frame_idx", "slot")
+    dealt = rows.repartition(parts, "match_id") if kinds is None else _of_kinds(rows, kinds, parts)
+    ordered = dealt.sortWithinPartitions("match_id", "frame_idx", "slot")
     # Written, so that readers of several columns or times find the tracks and do not run Python again.
-    return io.saved(dealt.mapInArrow(_tracker(thresh, buffer, min_iou, min_hits), SCHEMA), "tracks")
+    return io.saved(ordered.mapInArrow(_tracker(thresh, buffer, min_iou, min_hits), SCHEMA), "tracks")

@@ -294,7 +294,7 @@ query("X1_detections_to_shots", None, "fx_det")(lambda d: _end_to_end(d))
 
 
 def _end_to_end(d):
-    p = path.smooth(path.velocity(path.ball_path(tracking.track(d))))
+    p = path.smooth(path.velocity(path.ball_path(tracking.track(d, kinds=("ball",)))))
     return events.shots(p, speed=2.0)
 
 
